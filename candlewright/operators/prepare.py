@@ -1,0 +1,153 @@
+"""Preparation of raw bars: corporate actions, the quality gate, trading costs, calendars."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+PRICES = ("open", "high", "low", "close")
+LISTED = 5
+
+
+@dataclass(frozen=True)
+class Calendar:
+    """periods_per_year is a convention, not a count of sessions."""
+
+    name: str
+    periods_per_year: int
+    max_gap_days: int
+    all_days: bool
+
+
+CALENDARS = {c.name: c for c in (Calendar("us_equity", 252, 5, False), Calendar("crypto_24_7", 365, 1, True))}
+ASSET_CALENDAR = {"etf": "us_equity", "equity": "us_equity", "index": "us_equity", "crypto": "crypto_24_7", "crypto_alt": "crypto_24_7"}
+
+
+def calendar(name: str) -> Calendar:
+    if name not in CALENDARS:
+        raise KeyError(f"unknown calendar {name}; known: {', '.join(sorted(CALENDARS))}")
+    return CALENDARS[name]
+
+
+def sessions(spark: SparkSession, name: str, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
+    """(date) of the sessions between two days: all days, or weekdays without ``holidays`` (date)."""
+    days = spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS date")
+    if calendar(name).all_days:
+        return days
+    days = days.where(F.weekday("date") < 5)
+    return days if holidays is None else days.join(holidays.select("date"), "date", "left_anti")
+
+
+def adjust(raw: DataFrame) -> DataFrame:
+    """Prices and volume adjusted for dividends and splits, the last row of each symbol unchanged.
+
+    ratio = (1 / split) * (1 - dividend / previous close); a price is multiplied by the ratios of all later rows, the volume by
+    all later splits. A split of 0 or NULL counts as 1, a dividend of NULL as 0, a factor that isn't finite as 1.
+    """
+    w = Window.partitionBy("symbol").orderBy("date")
+    later = Window.partitionBy("symbol").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    split = F.coalesce(F.when((F.col("split_factor") != 0) & ~F.isnan("split_factor"), F.col("split_factor")), F.lit(1.0))
+    div = F.coalesce(F.when(~F.isnan("div_cash"), F.col("div_cash")), F.lit(0.0))
+    ratio = F.try_divide(F.lit(1.0), F.col("_split")) * (1 - F.coalesce(F.try_divide(F.col("_div"), F.lag("close").over(w)), F.lit(0.0)))
+    d = raw.withColumns({"_split": split, "_div": div})
+    d = d.withColumn("_ratio", F.coalesce(F.when((F.abs(ratio) < 1e300) & ~F.isnan(ratio), ratio), F.lit(1.0)))
+    d = d.withColumns({"_pf": F.coalesce(F.product("_ratio").over(later), F.lit(1.0)), "_vf": F.coalesce(F.product("_split").over(later), F.lit(1.0))})
+    return d.select("symbol", "date", *((F.col(c) * F.col("_pf")).alias(c) for c in PRICES), (F.col("volume") * F.col("_vf")).alias("volume"))
+
+
+def _dates(c: str = "date"):
+    return F.concat_ws(", ", F.transform(F.slice(F.array_sort(F.collect_list(c)), 1, LISTED), lambda x: F.date_format(x, "yyyy-MM-dd")))
+
+
+def quality_issues(bars: DataFrame, requested: DataFrame | None = None, calendar_days: DataFrame | None = None, max_gap_days: int = 5) -> DataFrame:
+    """Everything that is wrong with the bars: (symbol, kind, severity, n, detail).
+
+    bars: symbol, date, fields and, where order matters, ``ordinal``. requested: symbol, start, end. With calendar_days (date) the
+    exact checks run (missing_days, unexpected_session), without it the gap check; never both. Errors stop a load, warnings
+    don't. At most five dates are listed.
+    """
+    day = F.to_date("date")
+    out = []
+
+    def per(cond, kind, severity):
+        return bars.groupBy("symbol").agg(F.sum(F.coalesce(cond, F.lit(False)).cast("long")).alias("n")).where("n > 0").select("symbol", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "n", F.lit("").alias("detail"))
+
+    if requested is not None:
+        out.append(requested.join(bars, "symbol", "left_anti").select("symbol", F.lit("empty").alias("kind"), F.lit("error").alias("severity"), F.lit(0).cast("long").alias("n"), F.lit("").alias("detail")))
+    if "ordinal" in bars.columns:
+        back = bars.withColumn("_b", F.lag("date").over(Window.partitionBy("symbol").orderBy("ordinal")) > F.col("date"))
+        out.append(back.groupBy("symbol").agg(F.sum(F.coalesce("_b", F.lit(False)).cast("long")).alias("n")).where("n > 0").select("symbol", F.lit("unsorted").alias("kind"), F.lit("error").alias("severity"), "n", F.lit("").alias("detail")))
+    dup = bars.groupBy("symbol").agg((F.count("*") - F.count_distinct("date")).alias("n")).where("n > 0")
+    out.append(dup.select("symbol", F.lit("duplicate_dates").alias("kind"), F.lit("error").alias("severity"), "n", F.lit("").alias("detail")))
+    # one pass for all that is counted row by row
+    checks = {f"nan_{c}": (F.col(c).isNull() | F.isnan(c), "nan", "warning", c) for c in PRICES}
+    checks |= {f"pos_{c}": (F.col(c) <= 0, "nonpositive_price", "warning", c) for c in PRICES}
+    checks |= {"hl": (F.col("high") < F.col("low"), "high_lt_low", "error", ""), "vol": (F.coalesce(F.nanvl("volume", F.lit(0.0)), F.lit(0.0)) <= 0, "zero_volume", "warning", "")}
+    flat = bars.groupBy("symbol").agg(*(F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(k) for k, (c, *_) in checks.items()))
+    rows = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(sev).alias("severity"), F.col(k).alias("n"), F.lit(d).alias("detail")) for k, (_, kind, sev, d) in checks.items()))
+    out.append(flat.select("symbol", F.explode(rows).alias("r")).select("symbol", "r.*").where("n > 0"))
+    span = bars.groupBy("symbol").agg(F.min(day).alias("d0"), F.max(day).alias("d1"))
+    have = bars.select("symbol", day.alias("date")).distinct()
+    if calendar_days is not None:
+        cal = calendar_days.select("date")
+        due = span.join(F.broadcast(cal), F.col("date").between(F.col("d0"), F.col("d1"))).select("symbol", "date")  # a calendar: one row a day
+        for frame, kind in ((due.join(have, ["symbol", "date"], "left_anti"), "missing_days"), (have.join(cal, "date", "left_anti"), "unexpected_session")):
+            out.append(frame.groupBy("symbol").agg(F.count("*").alias("n"), _dates().alias("detail")).select("symbol", F.lit(kind).alias("kind"), F.lit("warning").alias("severity"), "n", "detail"))
+    else:
+        gap = have.withColumn("g", F.date_diff("date", F.lag("date").over(Window.partitionBy("symbol").orderBy("date")))).where(F.col("g") > max_gap_days)
+        out.append(gap.groupBy("symbol").agg(F.count("*").alias("n"), _dates().alias("detail")).select("symbol", F.lit("calendar_gap").alias("kind"), F.lit("warning").alias("severity"), "n", "detail"))
+    if requested is not None:
+        j = span.join(requested, "symbol")
+        if calendar_days is not None:
+            c2 = calendar_days.select(F.col("date").alias("cd"))
+            k = j.join(F.broadcast(c2), F.col("cd").between(F.least("start", "d0"), F.greatest("end", "d1"))).groupBy("symbol").agg(F.sum((F.col("cd") < F.col("d0")).cast("long")).alias("a"), F.sum((F.col("cd") > F.col("d1")).cast("long")).alias("b"))
+        else:
+            k = j.select("symbol", F.greatest(F.date_diff("d0", "start"), F.lit(0)).cast("long").alias("a"), F.greatest(F.date_diff("end", "d1"), F.lit(0)).cast("long").alias("b"))
+        side = F.array(F.struct(F.lit("start").alias("detail"), F.col("a").alias("n")), F.struct(F.lit("end").alias("detail"), F.col("b").alias("n")))
+        out.append(k.select("symbol", F.explode(side).alias("s")).where("s.n > 0").select("symbol", F.lit("coverage_truncated").alias("kind"), F.lit("warning").alias("severity"), F.col("s.n").alias("n"), F.col("s.detail").alias("detail")))
+    total = out[0]
+    for o in out[1:]:
+        total = total.unionByName(o)
+    return total.select("symbol", "kind", "severity", "n", "detail")
+
+
+def universe_ok(issues: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, ok, n_issues): ok where no issue is an error."""
+    a = issues.groupBy("symbol").agg(F.sum((F.col("severity") == "error").cast("int")).alias("e"), F.count("*").alias("n"))
+    return symbols.select("symbol").distinct().join(a, "symbol", "left").select("symbol", (F.coalesce("e", F.lit(0)) == 0).alias("ok"), F.coalesce("n", F.lit(0)).alias("n_issues"))
+
+
+#: Costs a side in basis points by asset class.
+COST_CLASSES = [("etf", 1.0, 2.0, 2.0), ("equity", 2.0, 5.0, 4.0), ("crypto", 10.0, 8.0, 6.0), ("crypto_alt", 15.0, 20.0, 16.0)]
+
+
+def resolve_costs(symbols: DataFrame, overrides: DataFrame, class_of: DataFrame, classes: DataFrame, default_class: str = "equity") -> DataFrame:
+    """(symbol, asset_class, fees_bps, slippage_bps, spread_bps, effective_slippage_bps, total_bps).
+
+    overrides (symbol, fees_bps, slippage_bps, spread_bps; NULL falls back to the class) beat the class of ``class_of`` (symbol,
+    asset_class), which beats the default; symbols compare without case. The spread's half counts as slippage.
+    """
+    key = F.upper("symbol")
+    s = symbols.select("symbol", key.alias("_k"))
+    o = overrides.select(key.alias("_k"), *(F.col(c).alias(f"_o_{c}") for c in ("fees_bps", "slippage_bps", "spread_bps")))
+    c = class_of.select(key.alias("_k"), F.col("asset_class").alias("_c"))
+    j = s.join(o, "_k", "left").join(c, "_k", "left").withColumn("asset_class", F.coalesce("_c", F.lit(default_class))).join(classes, "asset_class", "left")
+    j = j.select("symbol", "asset_class", *(F.coalesce(f"_o_{x}", x).alias(x) for x in ("fees_bps", "slippage_bps", "spread_bps")))
+    eff = F.col("slippage_bps") + F.col("spread_bps") / 2
+    return j.withColumns({"effective_slippage_bps": eff, "total_bps": F.col("fees_bps") + eff})
+
+
+def calendar_conflicts(classes_of: DataFrame, expected: str) -> DataFrame:
+    """Symbols whose class trades on another calendar than the universe's: (symbol, asset_class, calendar)."""
+    calendar(expected)
+    names = F.create_map(*[F.lit(x) for kv in ASSET_CALENDAR.items() for x in kv])
+    return classes_of.withColumn("calendar", names[F.col("asset_class")]).where(F.col("calendar").isNull() | (F.col("calendar") != expected)).select("symbol", "asset_class", "calendar")
+
+
+def require_one_calendar(classes_of: DataFrame, expected: str) -> None:
+    """Raises where any symbol's calendar isn't the universe's."""
+    bad = calendar_conflicts(classes_of, expected).limit(5).collect()
+    if bad:
+        raise ValueError(f"mixed calendars: {[r['symbol'] for r in bad]} don't trade on {expected}")
