@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright import queries_data, queries_signals  # noqa: F401  (they register themselves)
+from candlewright import queries_data, queries_signals, queries_sim  # noqa: F401  (they register themselves)
 from candlewright.plans.registered import QUERIES, SQL
 
 

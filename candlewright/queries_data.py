@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from candlewright.operators import prepare as P
 from candlewright.plans import sqltext as Q
 from candlewright.plans.registered import query
-from candlewright.queries_signals import order_panel, panel
+from candlewright.queries_signals import order_panel
 from candlewright.sources import bars as B
 from candlewright.sources import parsers as X
 
@@ -273,5 +273,3 @@ def content_counts(spark, d):
 def order_close_panel(spark, d):
     return order_panel(spark, d).select("symbol", "date", "close")
 
-
-__all__ = ["panel"]
