@@ -61,7 +61,7 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", alpha: float = 0.05
     """``tests`` with q_value and significant. NULL and NaN p-values are 1 but count; one row a test, so one window is enough."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie in (0, 1)")
-    x = F.coalesce(F.least(F.greatest(F.when(~F.isnan(p), F.col(p)), F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    x = F.when(F.col(p).isNull() | F.isnan(p), F.lit(1.0)).otherwise(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)))
     d = tests.withColumn("_p", x)
     w = Window.orderBy("_p", order)
     d = d.withColumns({"_i": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy(F.lit(1)))})
