@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, blocks, fresh, small_batches, text_buffers
 
 BITS, DIM, NGRAMS, CLASSES = 17, 8, (3, 5), 3
-TRAIN_ROWS, EPOCHS, RATE, SCALE = 8000, 5, 0.3, 64.0
+TRAIN_ROWS, EPOCHS, RATE, SCALE = 8000, 4, 0.3, 64.0
 
 
 def ngram_buckets(data: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
@@ -43,6 +43,12 @@ def features(text: bytes, bits: int = BITS) -> np.ndarray:
     return np.concatenate([word_buckets(w, bits), *(ngram_buckets(data, n, bits) for n in NGRAMS)])
 
 
+def bag(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how often) of one document, in six bytes a bucket."""
+    b, n = np.unique(features(text, bits), return_counts=True)
+    return b.astype(np.int32), np.minimum(n, 65535).astype(np.uint16)
+
+
 class Model:
     """vectors [2^bits, dim], out [dim, classes], bias [classes]."""
 
@@ -53,22 +59,23 @@ class Model:
         self.out = g.normal(0, 1 / np.sqrt(dim), (dim, CLASSES))
         self.bias = np.zeros(CLASSES)
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 32, seed: int = 7) -> Model:
-        """Minibatch SGD; classes weigh by the square root of their inverse frequency."""
+    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 32, seed: int = 7) -> Model:
+        """Minibatch SGD over bags of (bucket, count); classes weigh by the square root of their inverse frequency."""
         g = np.random.default_rng(seed)
         v, o, c = self.vectors, self.out, self.bias
         size, dim = v.shape
         freq = np.maximum(np.bincount(y, minlength=CLASSES), 1) / max(len(y), 1)
         weight = 1 / np.sqrt(freq)
         sv, so, sc = np.full(size, 1e-6), np.full(o.shape, 1e-6), np.full(CLASSES, 1e-6)
-        bags = [np.unique(d, return_counts=True) for d in docs]
+        done, total = 0, epochs * -(-len(docs) // batch)
         for _ in range(epochs):
             order = g.permutation(len(docs))
             for at in range(0, len(order), batch):
+                step, done = rate * max(0.05, 1 - done / total), done + 1
                 pick = order[at : at + batch]
-                n = np.array([len(bags[i][0]) for i in pick])
-                idx = np.concatenate([bags[i][0] for i in pick])
-                share = np.concatenate([bags[i][1] / max(bags[i][1].sum(), 1) for i in pick])
+                n = np.array([len(docs[i][0]) for i in pick])
+                idx = np.concatenate([docs[i][0] for i in pick])
+                share = np.concatenate([docs[i][1] / max(int(docs[i][1].sum(dtype=np.int64)), 1) for i in pick])
                 row = np.repeat(np.arange(len(pick)), n)
                 x = np.stack([np.bincount(row, v[idx, k] * share, minlength=len(pick)) for k in range(dim)], axis=1) * SCALE
                 z = x @ o + c
@@ -82,9 +89,9 @@ class Model:
                 sv[used] += (gv**2).mean(1)
                 so += go**2
                 sc += gc**2
-                v[used] -= rate * gv / np.sqrt(sv[used])[:, None]
-                o -= rate * go / np.sqrt(so)
-                c -= rate * gc / np.sqrt(sc)
+                v[used] -= step * gv / np.sqrt(sv[used])[:, None]
+                o -= step * go / np.sqrt(so)
+                c -= step * gc / np.sqrt(sc)
         return self
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed
     m = Model(seed=seed)
     if not got.num_rows:
         return m
-    order = np.lexsort((got["y"].to_numpy(), got["doc_id"].to_numpy()))
+    y = got["y"].to_numpy()
+    order = np.lexsort((y, got["doc_id"].to_numpy()))
     text = got["text"]
-    bags = [features(text[int(i)].as_py().encode(), m.bits) for i in order]
-    return m.fit(bags, got["y"].to_numpy()[order].astype(np.int64), seed=seed)
+    bags = [bag(text[int(i)].as_py().encode(), m.bits) for i in order]
+    del got, text
+    return m.fit(bags, y[order].astype(np.int64), seed=seed)
 
 
 def score_documents(docs: DataFrame, model: Model, p_col: str = "p") -> DataFrame:
