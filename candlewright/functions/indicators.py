@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from candlewright.shipping import ensure
+
 #: Decimals to which two values are compared; sums of floats differ by engine in the last bits.
 COMPARE = 9
 
@@ -124,6 +126,7 @@ def sequential(df: DataFrame, jobs: list[tuple[str, str, str, object]], keys: tu
 
     One shuffle on the keys whatever the number of jobs; results are NULL where undefined.
     """
+    ensure(df.sparkSession)
     schema = StructType([*df.schema.fields, *(StructField(new, DoubleType()) for new, *_ in jobs)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.shipping import ensure
+
 LADDERS = {
     1: ["neutral"], 2: ["bull", "bear"], 3: ["bull", "neutral", "bear"],
     4: ["strong_bull", "bull", "bear", "crisis"], 5: ["strong_bull", "bull", "neutral", "bear", "crisis"],
@@ -141,6 +143,7 @@ def label_series(feats: DataFrame, n_states: int = 3, train_rows: int | None = N
         names = name_states(m)
         yield pd.DataFrame({"date": pdf["date"].to_numpy(), "state": s, "label": [names[i] for i in s], "confidence": p.max(1)})
 
+    ensure(feats.sparkSession)
     return feats.coalesce(1).mapInPandas(run, "date timestamp_ntz, state int, label string, confidence double")
 
 
@@ -166,6 +169,7 @@ def causal_labels(bench: DataFrame, n_states: int, window: int, train_rows: int)
         lab = [names[i] for i in s]
         yield pd.DataFrame({"date": pdf["date"].to_numpy(), "label": lab, "risk_off": [x in bad and i > train_rows for x, i in zip(lab, pdf["i"], strict=True)]})
 
+    ensure(bench.sparkSession)
     return f.join(numbered, "date").coalesce(1).mapInPandas(run, "date timestamp_ntz, label string, risk_off boolean")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.indicators import by_symbol
 
+from candlewright.shipping import ensure
+
 PROFIT_FACTOR_CAP = 1e6
 
 
@@ -189,6 +191,7 @@ def simulate(signals: DataFrame, config: Config | None = None, what: str = "equi
     Signals are lagged first. Runs are independent, so a grid or a fold is one more key, and the cluster's parallelism is the
     number of runs. ``what``: equity, orders or trades.
     """
+    ensure(signals.sparkSession)
     c = config or Config()
     s = lag_signals(signals, c.execution_lag, (*keys, "symbol"))
     h = s.withColumn("held", held(F.col("entry"), F.col("exit"), by_symbol((*keys, "symbol"))))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from candlewright.shipping import ensure
+
 EULER = 0.5772156649015329
 MULTIPLIERS = (0.5, 1.0, 1.5, 2.0, 3.0, 5.0)
 
@@ -47,6 +49,7 @@ def moments(returns: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def probabilistic_sharpe(m: DataFrame, benchmark_annual: float = 0.0, periods_per_year: float = 252.0) -> DataFrame:
     """``moments`` with sr_period, sigma_sr, psr and p_value = 1 - psr; under three returns psr is 0 and the p-value 1."""
+    ensure(m.sparkSession)
     ok = (F.col("n_obs") >= 3) & (F.col("std") >= 1e-12)
     sr = F.when(ok, F.col("mean") / F.col("std")).otherwise(F.lit(0.0))
     d = m.withColumn("sr_period", sr)
@@ -79,6 +82,7 @@ def expected_max_sharpe(n_trials: int, variance: float) -> float:
 
 def deflated_sharpe(stats: DataFrame) -> DataFrame:
     """For each run (run_id, n_obs, sr_period, skew, kurt): threshold sr_star and dsr, with all runs as the trials."""
+    ensure(stats.sparkSession)
     a = stats.where("sr_period is not null").agg(F.count("*").alias("n"), F.var_samp("sr_period").alias("v")).first()
     star = expected_max_sharpe(a["n"], a["v"] or 0.0)
     var = F.greatest(1 - F.col("skew") * F.col("sr_period") + (F.col("kurt") - 1) / 4 * F.col("sr_period") ** 2, F.lit(1e-12))
@@ -114,6 +118,7 @@ def bootstrap(returns: DataFrame, resamples: int = 1000, block: float | None = N
     ``parts`` > 1 spreads the resamples over so many tasks, each with its own seed; 1 draws all from one generator. Under eight
     finite returns a run has no row.
     """
+    ensure(returns.sparkSession)
     names = list(keys)
     rows = returns.where("r is not null and not isnan(r)").groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("date", "r"))).alias("x"), F.count("*").alias("n_obs")).where("n_obs >= 8")
     work = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from candlewright.shipping import ensure
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -15,7 +18,13 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         if key in QUERIES:
             raise ValueError(f"{key} is registered already")
-        QUERIES[key] = f
+
+        @wraps(f)
+        def run(spark, sf_dir):
+            ensure(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             SQL[key] = sql
         return f

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.shipping import ensure
+
 
 def ticks(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Stream of (symbol, ts, seq, price) from Parquet files of events; event time is a zoned timestamp, as watermarks need."""
@@ -44,6 +46,7 @@ def running_ema(t: DataFrame, span: int) -> DataFrame:
         state.update((y,))
         yield pd.DataFrame({"symbol": key[0], "seq": pdf["seq"].to_numpy(), "ema": out})
 
+    ensure(t.sparkSession)
     return t.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, ema double", "y double", "append", "NoTimeout")
 
 
