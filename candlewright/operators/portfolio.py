@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-METHODS = ("equal", "inverse_vol", "risk_parity", "min_variance", "mean_variance")
+METHODS = tuple("equal inverse_vol risk_parity min_variance mean_variance".split())
 MIN_OBS = 60
 
 
@@ -23,12 +23,12 @@ class Covariance:
 
 @dataclass(frozen=True)
 class Constraints:
-    max_weight: float = 1.0
-    min_weight: float = 0.0
     gross: float = 1.0
-    max_turnover: float | None = None
-    target_volatility: float | None = None
+    min_weight: float = 0.0
+    max_weight: float = 1.0
     max_leverage: float = 1.0
+    target_volatility: float | None = None
+    max_turnover: float | None = None
 
     def check(self, n: int) -> None:
         if n < 1 or self.min_weight < 0 or not 0 < self.max_weight <= 1 or self.min_weight > self.max_weight or self.gross <= 0 or self.max_leverage <= 0:

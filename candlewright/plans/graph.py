@@ -215,7 +215,7 @@ def compile_graph(graph: dict, panel: DataFrame, keep: tuple[str, ...] = ()) ->
 def catalog() -> list[dict]:
     """What an editor needs to know of every node type."""
     return [
-        {"type": t, "ports": list(n.ports), "takes": n.takes, "gives": n.gives, "params": [{"name": p.name, "kind": p.kind, "default": p.default, "min": p.least} for p in n.params]}
+        {"type": t, "ports": list(n.ports), "takes": n.takes, "gives": n.gives, "params": [vars(p) for p in n.params]}
         for t, n in sorted(NODES.items())
     ]
 

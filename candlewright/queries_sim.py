@@ -28,7 +28,7 @@ def r6(df, *cols, digits=6):
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if c in cols else c for c in df.columns))
 
 
-# ---- simulation -------------------------------------------------------------------------------------------------------------
+# simulation
 _SIG = f"{Q.PANEL}, st AS (SELECT *, {Q.gt(Q.sma('close', 5), Q.sma('close', 20))} AS st FROM p), sig AS (SELECT symbol, date, rn, close, {Q.rising('st')} AS entry, {Q.falling('st')} AS exit FROM st), {Q.HELD}"
 
 
@@ -135,7 +135,7 @@ def backtest(spark, d):
     return M.metrics(eq).join(M.trade_metrics(tr), "run_id").join(M.turnover(od, eq), "run_id")
 
 
-# ---- sweep and walk-forward ----------------------------------------------------------------------------------------------------
+# sweep and walk-forward
 SPACE = {"fast": [2, 3, 5], "slow": [10, 20]}
 
 
@@ -310,7 +310,7 @@ def _one(spark, d):
     return stored_returns(spark, d).where("run_id = 'ASIA'").select("date", "r")
 
 
-@query(f"""WITH {_ONE}, m AS (SELECT unnest([0.5, 1.0, 1.5, 2.0, 3.0, 5.0])::DOUBLE AS multiplier), k AS (SELECT 12.0::DOUBLE * 7 / 1e4 AS drag), s AS (SELECT multiplier, r, r - (multiplier - 1) * drag / 252 AS s, drag FROM one, m, k),
+@query(f"""WITH {_ONE}, m AS (SELECT unnest([1, 2, 3, 4, 6, 10]) / 2 AS multiplier), k AS (SELECT 12.0::DOUBLE * 7 / 1e4 AS drag), s AS (SELECT multiplier, r, r - (multiplier - 1) * drag / 252 AS s, drag FROM one, m, k),
  a AS (SELECT multiplier, any_value(drag) AS drag, avg(r) * 252 + any_value(drag) AS g, avg(s) / stddev_samp(s) * sqrt(252) AS sh, pow(product(1 + s), 252.0::DOUBLE / count(*)) - 1 AS cagr FROM s GROUP BY multiplier)
  SELECT multiplier, round(multiplier * 7, 6) AS cost_bps, round(multiplier * drag, 6) AS annual_drag, round(sh, 6) AS sharpe, round(cagr, 6) AS cagr, round(CASE WHEN g > 0 THEN g * 1e4 / 12 END, 4) AS break_even_bps, round(CASE WHEN g > 0 THEN g * 1e4 / 12 / 7 END, 4) AS buffer FROM a""")
 def cost_sensitivity(spark, d):
@@ -349,7 +349,7 @@ def survivorship_audit(spark, d):
     return T.survivorship(u, "2026-01-01")
 
 
-# ---- regimes ---------------------------------------------------------------------------------------------------------------------
+# regimes
 def _bench(spark, d):
     return order_panel(spark, d).groupBy("date").agg(F.avg("close").alias("close"))
 
@@ -405,7 +405,7 @@ def regime_runs(spark, d):
     return r6(R.run_diagnostics(_labels(spark, d)), "occupancy", "mean_length", "flicker_share")
 
 
-# ---- portfolio and book -------------------------------------------------------------------------------------------------------------
+# portfolio and book
 @query(f"WITH {_COMMON} SELECT x.run_id AS a, y.run_id AS b, round(covar_pop(x.r, y.r) * 1e6, 4) AS cov, count(*) AS n FROM cm x JOIN cm y USING (date) GROUP BY ALL")
 def sample_covariance(spark, d):
     return O.covariance_pairs(_symbol_returns(spark, d)).select("a", "b", F.round(F.col("cov") * 1e6, 4).alias("cov"), "n")
@@ -496,7 +496,7 @@ def registry_weights_score(spark, d):
     return K.symbol_weights(K.parse_notes(_notes(spark, d)), u, "score")
 
 
-# ---- evaluation ------------------------------------------------------------------------------------------------------------------------
+# evaluation
 def _results(spark, d):
     s = B.table(spark, d, "supplier")
     k = F.col("s_suppkey")
@@ -535,7 +535,7 @@ def report(spark, d):
     return r6(K.report(r).select("n", "avg_sharpe", "avg_cagr", "deepest").crossJoin(r.agg(F.max("sharpe").alias("top"))), "avg_sharpe", "avg_cagr", "deepest", "top")
 
 
-# ---- streaming --------------------------------------------------------------------------------------------------------------------------
+# streaming
 def _ticks(spark, d):
     return ST.ticks(spark, f"{d}/events*.parquet", spark.read.parquet(f"{d}/events.parquet").schema)
 

@@ -111,7 +111,7 @@ def test_metrics_of_a_flat_account_are_zero(spark):
     assert all(r[c] == 0 for c in r.asDict() if c != "run_id")
 
 
-# ---- causality -------------------------------------------------------------------------------------------------------------------
+# causality
 def walk(spark, n=320, symbols=("A", "B", "C"), seed=2):
     rng = np.random.default_rng(seed)
     rows = []
@@ -153,7 +153,7 @@ def test_kalman_follows_a_trend():
     assert np.isnan(I.kalman_slope(np.array([np.nan, 0.0, -1.0]))).all()
 
 
-# ---- graphs ------------------------------------------------------------------------------------------------------------------------
+# graphs
 def test_graph_has_31_node_types():
     assert len(G.NODES) == 31 and len(G.catalog()) == 31
 
@@ -191,7 +191,7 @@ def test_graph_cycle_override_and_pruning(spark):
     assert c.warnings == ["idle isn't used"] and "idle" not in c.order
 
 
-# ---- validation, statistics ----------------------------------------------------------------------------------------------------------
+# validation, statistics
 def test_walk_forward_splits_dont_touch():
     for k, a, b, c, d in W.split_walk_forward(1000, 5, 0.6, 20):
         assert a <= b < c - 20 <= c <= d and b - a + 1 >= 40
@@ -284,7 +284,7 @@ def test_attribution_recovers_betas(spark):
     assert a["exposures"][0][2] == pytest.approx(b[1] / math.sqrt((inv @ s @ inv)[1, 1]), rel=1e-6)
 
 
-# ---- portfolios, regimes -----------------------------------------------------------------------------------------------------------------
+# portfolios, regimes
 COV = O.Covariance(["a", "b", "c"], np.array([[0.04, 0.006, 0.0], [0.006, 0.09, 0.002], [0.0, 0.002, 0.01]]), 500)
 
 
@@ -342,7 +342,7 @@ def test_hmm_recovers_regimes_causally():
         R.GaussianHMM(3).fit(x[:10])
 
 
-# ---- preparation and the book --------------------------------------------------------------------------------------------------------------
+# preparation and the book
 def test_adjustment_anchors_the_last_row(spark):
     rows = [("A", datetime.fromisoformat("2021-01-01"), 100.0, 100.0, 100.0, 100.0, 10.0, 0.0, 1.0), ("A", datetime.fromisoformat("2021-01-02"), 50.0, 50.0, 50.0, 50.0, 20.0, None, 2.0), ("A", datetime.fromisoformat("2021-01-03"), 49.0, 49.0, 49.0, 49.0, 20.0, 1.0, 0.0)]
     df = spark.createDataFrame(rows, BARS + ", div_cash double, split_factor double")
