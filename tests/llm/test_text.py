@@ -12,7 +12,7 @@ from candlewright.llm import chat, hmm_lm, mixing, quality, resharding, sentence
 DOCS = "doc_id long, text string, source string"
 
 
-# ---- SentencePiece -----------------------------------------------------------------------------------------------------------
+# SentencePiece
 def brute_encode(a, text):
     """Quadratic Viterbi over all pieces."""
     s = b" " + text.encode()
@@ -70,7 +70,7 @@ def test_sentencepiece_frames(spark):
     assert sentencepieces.encode(df.limit(0)).count() == 0
 
 
-# ---- quality classifier --------------------------------------------------------------------------------------------------------
+# quality classifier
 def labelled(n=400, seed=1):
     rng = random.Random(seed)
     docs, labels = [], []
@@ -122,7 +122,7 @@ def test_quality_edges(spark):
     assert quality.classify(df, lab.limit(0)).count() == df.count()
 
 
-# ---- hidden Markov model -----------------------------------------------------------------------------------------------------------
+# hidden Markov model
 def brute_likelihood(m, obs):
     """Sum over all paths."""
     from itertools import product
@@ -176,7 +176,7 @@ def test_hmm_training_raises_likelihood_and_edges(spark):
     assert hmm_lm.score(df.limit(0), hmm_lm.fit(df.limit(0), 2, 64, 1)).count() == 0
 
 
-# ---- mixing -------------------------------------------------------------------------------------------------------------------------
+# mixing
 def brute_mix(rows, weights, fraction, seed=5):
     import hashlib
 
@@ -216,7 +216,7 @@ def test_mixing_repeated_rows_and_edges(spark):
         mixing.schedule(df, {"a": 0.0})
 
 
-# ---- resharding -----------------------------------------------------------------------------------------------------------------------
+# resharding
 def test_flow_is_least_cost():
     rng = random.Random(3)
     for _ in range(30):
@@ -262,7 +262,7 @@ def test_reshard_plan_and_rewrite(spark, tmp_path):
     assert resharding.plan(df.limit(0)).count() == 0
 
 
-# ---- chats -----------------------------------------------------------------------------------------------------------------------------
+# chats
 SCHEMAS = {"add": {"type": "object", "properties": {"a": {"type": ["number", "string"]}, "b": {"type": "integer", "minimum": 0}}, "required": ["a"], "additionalProperties": False}}
 
 
