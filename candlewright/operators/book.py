@@ -145,3 +145,9 @@ def compare(results: DataFrame, contains: str = "", by: str = "sharpe", k: int =
 def report(results: DataFrame) -> DataFrame:
     """One row of averages and extremes over all results."""
     return results.agg(F.count("*").alias("n"), F.avg("sharpe").alias("avg_sharpe"), F.avg("cagr").alias("avg_cagr"), F.max_by("strategy_id", "sharpe").alias("best"), F.min("max_drawdown").alias("deepest"), F.min_by("strategy_id", "max_drawdown").alias("deepest_id"))
+
+
+def dry_run(orders: DataFrame, as_of: str) -> DataFrame:
+    """What would be sent: each order with an id that is the same for the same day, symbol, side and quantity; nothing is sent."""
+    key = F.concat_ws("|", F.lit(as_of), "symbol", "side", F.format_number("quantity", 6))
+    return orders.select("seq", F.substring(F.sha2(key, 256), 1, 24).alias("client_id"), "symbol", "side", "quantity", F.lit("dry_run").alias("status"))

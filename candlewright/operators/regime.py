@@ -255,3 +255,8 @@ def diagnostics(feats: np.ndarray, n_states: int = 3) -> dict:
     out = {"adf_trend": adf_test(feats[:, 0]), "adf_vol": adf_test(feats[:, 1]), "switches": switches, "flicker": float((lens <= 2).mean()), "agreement": refit_stability(feats, n_states), **t}
     out["warnings"] = [w for w, bad in (("flicker", out["flicker"] > 0.25), ("unstable", out["agreement"] < 0.8), ("drift", out["tv_distance"] > 0.25)) if bad]
     return out
+
+
+def current(labels: DataFrame) -> DataFrame:
+    """The newest row of a label series."""
+    return labels.orderBy(F.desc("date")).limit(1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candlewright.operators import load as L
 from candlewright.operators import prepare as P
 from candlewright.plans import sqltext as Q
 from candlewright.plans.registered import query
@@ -273,3 +274,40 @@ def content_counts(spark, d):
 def order_close_panel(spark, d):
     return order_panel(spark, d).select("symbol", "date", "close")
 
+
+
+_ADJ = f"""{Q.ORDER_BARS}, r AS (SELECT *, CASE WHEN dayofyear(date) % 45 = 0 THEN close * 0.01 ELSE 0 END AS dv, CASE WHEN dayofyear(date) % 180 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS sp FROM bars),
+ q AS (SELECT *, (1 / sp) * (1 - coalesce(dv / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0), 0)) AS ratio FROM r),
+ f AS (SELECT symbol, date, close * coalesce(product(ratio) OVER w, 1) AS close FROM q WINDOW w AS (PARTITION BY symbol ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"""WITH {_ADJ} SELECT s.symbol, d.date, round(f.close, 4) AS close FROM (SELECT DISTINCT date FROM f) d CROSS JOIN (SELECT DISTINCT symbol FROM f) s LEFT JOIN f ON f.symbol = s.symbol AND f.date = d.date""")
+def load_panel(spark, d):
+    raw = _raw(spark, d)
+    names = raw.select("symbol").distinct()
+    req = names.select("symbol", F.lit("1995-01-01").cast("date").alias("start"), F.lit("2001-08-01").cast("date").alias("end"))
+    p = L.load_panel(raw, req, names.withColumn("asset_class", F.lit("etf")), "us_equity")
+    return p.select("symbol", "date", F.round("close", 4).alias("close"))
+
+
+@query(f"""WITH {Q.EVENT_BARS} SELECT symbol, date, {FIELDS} FROM bars""")
+def refresh_symbols(spark, d):
+    """Half of the bars are stored, the other half comes from a fetch of the gaps; together they are all."""
+    b = B.event_bars(spark, d)
+    half = b.where("date < timestamp_ntz'2024-01-15'")
+    cov = half.groupBy("symbol").agg(F.to_date(F.min("date")).alias("start"), F.lit("2024-01-14").cast("date").alias("end"))
+    req = b.groupBy("symbol").agg(F.to_date(F.min("date")).alias("start"), F.to_date(F.max("date")).alias("end"))
+
+    def fetch(plan):
+        p = plan.withColumnRenamed("symbol", "s")
+        return b.join(p, (F.col("symbol") == F.col("s")) & F.to_date("date").between(F.col("start"), F.col("end"))).select("symbol", "date", *B.FIELDS)
+
+    return L.refresh(half, cov, req, fetch)[0]
+
+
+@query(f"SELECT symbol, CASE WHEN asset_class = 'crypto' THEN 'crypto_24_7' ELSE 'us_equity' END AS calendar FROM (SELECT symbol, {_CLASS} AS asset_class FROM ({_COST}))")
+def route_by_calendar(spark, d):
+    p = B.table(spark, d, "part")
+    k = F.col("p_size") % 4
+    s = p.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.when(k == 0, "etf").when(k == 1, "equity").when(k == 2, "crypto").alias("asset_class"))
+    return L.route_by_calendar(s.select("symbol"), s)

@@ -373,6 +373,11 @@ def regime_labels(spark, d):
     return R.label_series(R.features(_bench(spark, d)))
 
 
+@query()
+def current_regime(spark, d):
+    return R.current(R.label_series(R.features(_bench(spark, d))))
+
+
 @query()
 def regime_diagnostics(spark, d):
     x = R.features(_bench(spark, d)).orderBy("date").toPandas()[["trend", "vol"]].to_numpy()
@@ -448,6 +453,11 @@ def rebalance_plan(spark, d):
     return r6(o, "quantity", "current_shares", "target_shares", "notional")
 
 
+@query()
+def execution_dry_run(spark, d):
+    return K.dry_run(K.plan_rebalance(*_book(spark, d), 50_000.0), "2024-01-31")
+
+
 @query(f"""WITH {_BOOK}, h AS (SELECT symbol, q * price / 50000 AS c FROM o JOIN x USING (symbol)), j AS (SELECT coalesce(t.symbol, h.symbol) AS symbol, coalesce(weight, 0) AS t, coalesce(c, 0) AS c FROM t FULL JOIN h ON t.symbol = h.symbol)
  SELECT symbol, round(t, 6) AS target_weight, round(c, 6) AS current_weight, round(c - t, 6) AS drift, abs(c - t) >= 0.05 AS alert FROM j""")
 def drift_rows(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewright.functions import indicators as I
 from candlewright.operators import book as K
+from candlewright.operators import load as L
 from candlewright.operators import portfolio as O
 from candlewright.operators import prepare as P
 from candlewright.operators import regime as R
@@ -17,6 +18,7 @@ from candlewright.operators import stats as T
 from candlewright.operators import strategies as S
 from candlewright.operators import sweep as W
 from candlewright.plans import graph as G
+from candlewright.plans import notes as N
 from candlewright.sources import bars as B
 from candlewright.sources import parsers as X
 
@@ -388,3 +390,33 @@ def test_as_of_join_and_merge(spark):
     a = spark.createDataFrame([("A", 1), ("A", 5), ("B", 3)], "k string, t int")
     b = spark.createDataFrame([("A", 2, 1.0), ("A", 5, 2.0), ("B", 9, 3.0)], "k string, t int, v double")
     assert {tuple(r) for r in B.as_of_join(a, b, "k", "t", "v").collect()} == {("A", 1, None), ("A", 5, 2.0), ("B", 3, None)}
+
+
+def test_graph_notes_round_trip():
+    g = G.preset("rsi_2")
+    assert N.from_note(N.to_note("my-graph", g)) == ("my-graph", g)
+    with pytest.raises(ValueError):
+        N.to_note("Bad Slug", g)
+    with pytest.raises(G.GraphError):
+        N.from_note("---\nslug: x\ngraph: {\"nodes\": []}\n---\n")
+    with pytest.raises(ValueError):
+        N.from_note("# nothing")
+
+
+def test_load_stops_at_errors(spark):
+    rows = [("A", datetime(2021, 1, 4), 1.0, 0.5, 1.0, 1.0, 1.0, 0.0, 1.0)]
+    bars = spark.createDataFrame(rows, BARS + ", div_cash double, split_factor double")
+    req = spark.sql("SELECT 'A' AS symbol, DATE '2021-01-04' AS start, DATE '2021-01-04' AS end")
+    cls = spark.createDataFrame([("A", "etf")], "symbol string, asset_class string")
+    with pytest.raises(L.QualityError):
+        L.load_panel(bars, req, cls, "us_equity")
+    assert L.load_panel(bars.withColumn("high", F.lit(1.0)), req, cls, "us_equity").count() == 1
+    assert L.periods_per_year("crypto_24_7") == 365 and L.periods_per_year("us_equity", 260) == 260
+    u = L.universe_table(spark, {"x": {"provider": "tiingo", "delisted_included": "yes", "last_audit_date": "2025-01-01", "symbols": ["A", "B"]}})
+    assert u.count() == 2 and u.first()["delisted_included"] is None
+
+
+def test_dry_run_ids_repeat(spark):
+    o = spark.createDataFrame([(1, "A", "BUY", 2.0), (2, "B", "SELL", 2.0)], "seq int, symbol string, side string, quantity double")
+    a, b = (sorted(r["client_id"] for r in K.dry_run(o, "2024-01-01").collect()) for _ in range(2))
+    assert a == b and len(set(a)) == 2
