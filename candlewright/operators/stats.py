@@ -272,22 +272,28 @@ def rolling_attribution(x: DataFrame, y: str, factor: str, window: int = 126, st
     return d.where((F.col("i") >= window) & ((F.col("i") - window) % step == 0)).drop("i")
 
 
+def safe_corr(x: str, y: str, over=None) -> Column:
+    """Correlation by population moments; NULL without spread (the built-in one fails there)."""
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    c, sx, sy = (p.over(over) for p in parts) if over is not None else parts
+    return F.when((sx >= 1e-15) & (sy >= 1e-15), F.try_divide(c, sx * sy))
+
+
 def correlations(returns: DataFrame) -> DataFrame:
     """(a, b, corr) of every pair of symbols over the dates that all have; 0 for one without spread."""
     n = returns.select("symbol").distinct().count()
     common = returns.groupBy("date").agg(F.count("r").alias("c")).where(F.col("c") == n).select("date")
     d = returns.join(common, "date", "left_semi")
     a, b = d.select("date", F.col("symbol").alias("a"), F.col("r").alias("ra")), d.select("date", F.col("symbol").alias("b"), F.col("r").alias("rb"))
-    ok = (F.stddev_pop("ra") >= 1e-15) & (F.stddev_pop("rb") >= 1e-15)
-    return a.join(b, "date").groupBy("a", "b").agg(F.coalesce(F.when(ok, F.corr("ra", "rb")), F.lit(0.0)).alias("corr"))
+    return a.join(b, "date").groupBy("a", "b").agg(F.coalesce(safe_corr("ra", "rb"), F.lit(0.0)).alias("corr"))
 
 
 def rolling_correlation(pairs: DataFrame, window: int = 60) -> DataFrame:
-    """(date, corr) of columns ra and rb over their common days, full windows only."""
+    """(date, corr) of columns ra and rb over their common days, full windows with spread only."""
     w = Window.orderBy("date")
     f = w.rowsBetween(-(window - 1), 0)
     d = pairs.where("ra is not null and rb is not null")
-    return d.select("date", F.when(F.count("*").over(f) == window, F.corr("ra", "rb").over(f)).alias("corr")).where("corr is not null")
+    return d.select("date", F.when(F.count("*").over(f) == window, safe_corr("ra", "rb", f)).alias("corr")).where("corr is not null")
 
 
 def cluster_order(names: list[str], corr: np.ndarray) -> list[str]:
@@ -313,8 +319,7 @@ def uniqueness(returns: DataFrame, candidate: str, periods_per_year: float = 252
     cand = returns.where(F.col("name") == candidate).select("date", F.col("r").alias("c"))
     rest = returns.where(F.col("name") != candidate)
     j = rest.join(cand, "date")
-    ok = (F.stddev_pop("r") >= 1e-15) & (F.stddev_pop("c") >= 1e-15)
-    corr = j.groupBy("name").agg(F.coalesce(F.when(ok, F.corr("r", "c")), F.lit(0.0)).alias("corr")).agg(F.max("corr").alias("max_corr"), F.avg("corr").alias("mean_corr"), F.count("*").alias("n_book"))
+    corr = j.groupBy("name").agg(F.coalesce(safe_corr("r", "c"), F.lit(0.0)).alias("corr")).agg(F.max("corr").alias("max_corr"), F.avg("corr").alias("mean_corr"), F.count("*").alias("n_book"))
     book = rest.groupBy("date").agg(F.avg("r").alias("b"), F.count("*").alias("k")).join(cand, "date").withColumn("w", (F.col("b") * F.col("k") + F.col("c")) / (F.col("k") + 1))
     sr = lambda c: F.when(F.stddev_samp(c) >= 1e-12, F.avg(c) / F.stddev_samp(c) * math.sqrt(periods_per_year)).otherwise(F.lit(0.0))
     b = book.agg(sr("c").alias("sharpe_candidate"), sr("b").alias("sharpe_book"), sr("w").alias("sharpe_with"), F.count("*").alias("n_obs"))

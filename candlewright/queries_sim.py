@@ -206,7 +206,7 @@ def _splits(n):
     return W.split_walk_forward(n, 4, 0.6, 20)
 
 
-@query("""WITH n AS (SELECT count(DISTINCT o_orderdate::DATE) AS n FROM orders), k AS (SELECT k, n // 4 AS f, n FROM n, range(4) t(k)), b AS (SELECT k, k * f AS a, least(k * f + f - 1, n - 1) AS z, greatest(0, k * f - round(f * 0.6 / 0.4)::BIGINT - 20) AS s, k * f - 21 AS e FROM k)
+@query("""WITH n AS (SELECT count(DISTINCT o_orderdate::DATE) AS n FROM orders), k AS (SELECT k, n // 4 AS f, n FROM n, range(4) t(k)), b AS (SELECT k, k * f AS a, least(k * f + f - 1, n - 1) AS z, greatest(0, k * f - round_even(f * 0.6::DOUBLE / (1.0::DOUBLE - 0.6::DOUBLE), 0)::BIGINT - 20) AS s, k * f - 21 AS e FROM k)
  SELECT k AS fold_id, 'train' AS phase, s AS lo, e AS hi FROM b WHERE e >= 0 AND e - s + 1 >= 40 UNION ALL SELECT k, 'test', a, z FROM b WHERE e >= 0 AND e - s + 1 >= 40""")
 def fold_bounds(spark, d):
     n = B.table(spark, d, "orders").select(F.to_date("o_orderdate")).distinct().count()
@@ -262,7 +262,7 @@ def factor_attribution(spark, d):
 
 
 @query(f"""WITH {_WIDE}, x AS (SELECT date, row_number() OVER (ORDER BY date) AS i, regr_intercept(AFRICA, ASIA) OVER f * 252 AS a, regr_slope(AFRICA, ASIA) OVER f AS b, regr_r2(AFRICA, ASIA) OVER f AS r2 FROM wd WINDOW f AS (ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW))
- SELECT date, round(a, 4) AS alpha_annual, round(b, 4) AS beta, round(r2, 4) AS r_squared FROM x WHERE i >= 126 AND (i - 126) % 5 = 0""")
+ SELECT date, round(a, 4) + 0.0::DOUBLE AS alpha_annual, round(b, 4) + 0.0::DOUBLE AS beta, round(r2, 4) + 0.0::DOUBLE AS r_squared FROM x WHERE i >= 126 AND (i - 126) % 5 = 0""")
 def rolling_attribution(spark, d):
     return r6(T.rolling_attribution(_wide_returns(spark, d), "AFRICA", "ASIA"), "alpha_annual", "beta", "r_squared", digits=4)
 
@@ -279,7 +279,7 @@ def correlation_matrix(spark, d):
     return r6(T.correlations(_symbol_returns(spark, d)), "corr")
 
 
-@query(f"""WITH {_WIDE}, x AS (SELECT date, corr(AFRICA, ASIA) OVER f AS c, count(*) OVER f AS n FROM wd WHERE AFRICA IS NOT NULL AND ASIA IS NOT NULL WINDOW f AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT date, round(c, 4) + 0.0::DOUBLE AS corr FROM x WHERE n = 60 AND c IS NOT NULL""")
+@query(f"""WITH {_WIDE}, x AS (SELECT date, CASE WHEN stddev_pop(AFRICA) OVER f >= 1e-15 AND stddev_pop(ASIA) OVER f >= 1e-15 THEN covar_pop(AFRICA, ASIA) OVER f / (stddev_pop(AFRICA) OVER f * stddev_pop(ASIA) OVER f) END AS c, count(*) OVER f AS n FROM wd WHERE AFRICA IS NOT NULL AND ASIA IS NOT NULL WINDOW f AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT date, round(c, 4) + 0.0::DOUBLE AS corr FROM x WHERE n = 60 AND c IS NOT NULL""")
 def rolling_correlation(spark, d):
     return r6(T.rolling_correlation(_wide_returns(spark, d).select("date", F.col("AFRICA").alias("ra"), F.col("ASIA").alias("rb"))), "corr", digits=4)
 

@@ -1,5 +1,7 @@
 """Every registered query of the engine proper against its SQL."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
@@ -41,4 +43,6 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"walk_forward", "walk_forward_stitched"}))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
-    assert catalog.queries()[name](spark, sf_dir).count() > 0
+    """The smallest tables are too sparse for signals; the next larger ones aren't."""
+    big = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    assert catalog.queries()[name](spark, big if os.path.isdir(big) else sf_dir).count() > 0
