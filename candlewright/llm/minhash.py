@@ -2,10 +2,11 @@
 
 Plan: exact copies collapse on a 128-bit text key. Each distinct text gets ``registers`` buckets over its word ``k``-grams; a
 register packs the leading-zero count of the bucket's least hash with ``MANTISSA`` further bits. Bands of ``rows`` registers are
-hash-partitioned; inside a bucket a breadth-first pass over a 128-bit sketch of the registers links members, so thousands of
-copies cost a pass each and not a pair each, and nobody is dropped. The links' components bring together the few documents that
-can be near copies; each such component is settled once, in one task, with the collision-corrected estimate as filter and the
-exact Jaccard of the k-gram sets as proof. No bound on bucket or group size exists.
+hash-partitioned. Inside a bucket a sketch of one bit a register decides: members whose sketches agree beyond doubt are
+linked by a spanning tree, so thousands of copies cost a pass each and not a pair each; all further pairs that may reach the
+threshold become candidates. A candidate pair is then estimated from the full registers, collision-corrected, and what is left
+is proved by the exact Jaccard of the k-gram sets. Proved pairs give the groups (connected components). No bound on bucket or
+group size exists, and no task ever holds a whole group.
 """
 
 from __future__ import annotations
@@ -56,6 +57,26 @@ def registers(d: np.ndarray, g: np.ndarray, n: int, m: int) -> np.ndarray:
     return pack_registers(least).reshape(n, m)
 
 
+def densify(r: np.ndarray) -> np.ndarray:
+    """Registers without empty buckets: each takes the value of the first non-empty bucket of a probe sequence of its own.
+
+    The sequence is the same for all documents, so two documents agree in a bucket with a chance near their Jaccard, however
+    few k-grams they have. Rows without any register stay empty.
+    """
+    n, m = r.shape
+    out = r.copy()
+    row, col = np.nonzero((r == 0) & r.any(axis=1)[:, None])
+    t = 0
+    while len(row):
+        t += 1
+        src = (mix64(col.astype(U64) * U64(0x10001) + U64(t) * U64(0x9E3779B97F4A7C15)) % U64(m)).astype(np.int64)
+        got = r[row, src]
+        out[row, col] = got
+        more = got == 0
+        row, col = row[more], col[more]
+    return out
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na, nb) -> np.ndarray:
     """Jaccard estimate from registers (last axis), less the matches that two different minima give by chance."""
     any_ = (a > 0) | (b > 0)
@@ -66,6 +87,17 @@ def estimate(a: np.ndarray, b: np.ndarray, na, nb) -> np.ndarray:
     return np.maximum(0.0, (same - chance) / n)
 
 
+def sketch_names(m: int) -> list[str]:
+    return [f"s{i}" for i in range(-(-m // 64))]
+
+
+def sketch_words(packed: np.ndarray) -> list[np.ndarray]:
+    """Columns of 64 bits of sketches packed in bytes, padded by zeros."""
+    wide = np.zeros((len(packed), -(-packed.shape[1] // 8) * 8), np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    return list(wide.view(np.uint64).T)
+
+
 def _bands(k: int, m: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nb = m // rows
@@ -78,12 +110,11 @@ def _bands(k: int, m: int, rows: int):
                 d, g = shingles(w, k)
                 r = registers(d, g, j - i, m)
                 full = w.counts > 0
-                r, ids = r[full], uid[i:j][full]
+                r, ids = densify(r[full]), uid[i:j][full]
                 if not len(ids):
                     continue
                 x = mix64(r.astype(U64) + U64(0x51ED27) * np.arange(1, m + 1, dtype=U64))
-                bits = (x & U64(1)).astype(np.uint8)
-                sk = np.packbits(bits[:, :128], axis=1).view(np.uint64)
+                sk = np.packbits((x & U64(1)).astype(np.uint8), axis=1)
                 part = r.reshape(len(ids), nb, rows)
                 key = np.zeros((len(ids), nb), U64)
                 for q in range(rows):
@@ -91,41 +122,61 @@ def _bands(k: int, m: int, rows: int):
                 key = mix64(key + salt)
                 at, band = np.nonzero(part.any(axis=2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at, band].view(np.int64)), pa.array(ids[at]), pa.array(sk[at, 0].view(np.int64)), pa.array(sk[at, 1].view(np.int64))],
-                    names=["key", "uid", "s1", "s2"],
+                    [pa.array(key[at, band].view(np.int64)), pa.array(ids[at]), *(pa.array(np.ascontiguousarray(c[at]).view(np.int64)) for c in sketch_words(sk))],
+                    names=["key", "uid", *sketch_names(m)],
                 )
 
     return run
 
 
-def _links(least_same: int):
-    """Spanning links inside each bucket of equal keys; input is sorted by key within the partition."""
+def _links(m: int, sure: int, least_same: int):
+    """Candidate pairs inside each bucket of equal keys; input is sorted by key within the partition."""
+
+    def agree(sk: list[np.ndarray], q, at) -> np.ndarray:
+        far = np.zeros(np.shape(at), np.int64)
+        for s in sk:
+            far += np.bitwise_count(s[at] ^ s[q])
+        return m - far
 
-    def bucket(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, out: list) -> None:
-        left = np.arange(len(ids))
-        while len(left) > 1:
+    def bucket(ids: np.ndarray, sk: list[np.ndarray], out: list) -> None:
+        def same(q, at):
+            return agree(sk, q, at)
+
+        part, left, c = np.full(len(ids), -1), np.arange(len(ids)), 0
+        while len(left):
+            part[left[0]] = c
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 q = queue.pop()
-                far = np.bitwise_count(s1[left] ^ s1[q]) + np.bitwise_count(s2[left] ^ s2[q])
-                hit = far <= 128 - least_same
+                hit = same(q, left) >= sure
                 new = left[hit]
                 if len(new):
                     out.append((np.full(len(new), ids[q]), ids[new]))
+                    part[new] = c
                     queue.extend(new)
                     left = left[~hit]
-
-    def emit(key, ids, s1, s2) -> pa.RecordBatch | None:
+            c += 1
+        if c > 1:
+            at = np.arange(len(ids))
+            for q in range(len(ids) - 1):
+                rest = at[q + 1 :]
+                may = rest[(same(q, rest) >= least_same) & (part[rest] != part[q])]
+                if len(may):
+                    out.append((np.full(len(may), ids[q]), ids[may]))
+
+    def emit(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        key, ids, *sk = cols
+        sk = [s.view(U64) for s in sk]
         out: list = []
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         sizes = np.diff(cut)
         two = cut[:-1][sizes == 2]
         if len(two):
-            near = np.bitwise_count(s1[two] ^ s1[two + 1]) + np.bitwise_count(s2[two] ^ s2[two + 1]) <= 128 - least_same
+            near = agree(sk, two, two + 1) >= least_same
             out.append((ids[two[near]], ids[two[near] + 1]))
         for i in np.flatnonzero(sizes > 2):
             a, b = cut[i], cut[i + 1]
-            bucket(ids[a:b], s1[a:b], s2[a:b], out)
+            bucket(ids[a:b], [s[a:b] for s in sk], out)
         if not out:
             return None
         a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
@@ -137,95 +188,90 @@ def _links(least_same: int):
         for batch in batches:
             if not len(batch):
                 continue
-            cols = [batch.column(c).to_numpy() for c in ("key", "uid", "s1", "s2")]
+            cols = [batch.column(c).to_numpy() for c in ("key", "uid", *sketch_names(m))]
             if hold and cols[0][-1] == hold[-1][0][-1]:  # the whole batch may continue one bucket
                 hold.append(cols)
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             hold.append([c[:cut] for c in cols])
             got = [np.concatenate(x) for x in zip(*hold, strict=True)]
-            if len(got[0]) and (rb := emit(got[0], got[1], got[2].view(U64), got[3].view(U64))) is not None:
+            if len(got[0]) and (rb := emit(got)) is not None:
                 yield rb
             hold = [[c[cut:] for c in cols]]
         if hold:
             got = [np.concatenate(x) for x in zip(*hold, strict=True)]
-            if len(got[0]) and (rb := emit(got[0], got[1], got[2].view(U64), got[3].view(U64))) is not None:
+            if len(got[0]) and (rb := emit(got)) is not None:
                 yield rb
 
     return run
 
 
-def cluster_exact(texts: list[str], k: int, m: int, threshold: float) -> np.ndarray:
-    """Single-linkage cluster numbers of these texts: linked where the exact Jaccard of k-gram sets is at least threshold.
+GRAM_BYTES = 5
 
-    Pairs whose collision-corrected estimate is more than four standard errors below the threshold aren't compared.
-    """
-    data, off = text_buffers(pa.array(texts, pa.large_string()))
-    n = len(texts)
-    sets: list[np.ndarray] = []
-    regs = np.zeros((n, m), np.uint16)
-    for i, j in blocks(off):
-        w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        d, g = shingles(w, k)
-        regs[i:j] = registers(d, g, j - i, m)
-        order = np.lexsort((g, d))
-        d, g = d[order], g[order]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-        d, g = d[new], g[new]
-        cut = np.searchsorted(d, np.arange(j - i + 1))
-        sets += [g[cut[q] : cut[q + 1]] for q in range(j - i)]
-    size = np.array([len(s) for s in sets])
-    label = np.full(n, -1)
-    left, c = np.arange(n), 0
-    while len(left):
-        label[left[0]] = c
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            q = queue.pop()
-            used = np.maximum(((regs[left] > 0) | (regs[q] > 0)).sum(1), 1)
-            slack = 4 * np.sqrt(threshold * (1 - threshold) / used) + 1 / used
-            # sizes alone bound the Jaccard from above
-            can = (np.minimum(size[left], size[q]) >= threshold * np.maximum(size[left], size[q]) - 1e-9) & (size[left] > 0)
-            can &= estimate(regs[left], regs[q], size[left], size[q]) >= threshold - slack
-            hit = np.zeros(len(left), bool)
-            for x in np.flatnonzero(can):
-                s = sets[left[x]]
-                both = np.searchsorted(s, sets[q])
-                both[both == len(s)] = 0
-                common = int((s[both] == sets[q]).sum())
-                hit[x] = common >= threshold * (len(s) + size[q] - common) - 1e-9
-            label[left[hit]] = c
-            queue.extend(left[hit])
-            left = left[~hit]
-        c += 1
-    return label
-
-
-def _settle(k: int, m: int, threshold: float):
-    def group(rows: list[tuple]) -> list[tuple]:
-        label = cluster_exact([r[3] for r in rows], k, m, threshold)
-        best: dict[int, tuple] = {}
-        for lab, r in zip(label, rows, strict=True):
-            rank = (r[4] is None, r[4] if r[4] is not None else 0, r[1], r[2])
-            if lab not in best or rank < best[lab]:
-                best[lab] = rank
-        return [(r[1], r[2], None if best[lab][0] else best[lab][1], (r[1], r[2]) == best[lab][2:], int((label == lab).sum())) for lab, r in zip(label, rows, strict=True)]
+
+def pack_grams(g: np.ndarray) -> np.ndarray:
+    """The upper 40 bits of each hash, five bytes each, in the given order."""
+    return np.ascontiguousarray((g >> U64(64 - 8 * GRAM_BYTES)).view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES])
+
+
+def unpack_grams(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).reshape(-1, GRAM_BYTES)
+    out = np.zeros((len(b), 8), np.uint8)
+    out[:, :GRAM_BYTES] = b
+    return out.view(np.uint64).ravel()
+
+
+def _features(k: int, m: int):
+    """Registers and sorted k-gram hashes (40 bits) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            g = group(rows)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in g], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["h1", "h2", "group_id", "wins", "n_texts"])
+        for batch in batches:
+            data, off = text_buffers(batch.column("text"))
+            for i, j in blocks(off):
+                w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                d, g = shingles(w, k)
+                regs = registers(d, g, j - i, m)
+                g >>= U64(64 - 8 * GRAM_BYTES)
+                order = np.lexsort((g, d))
+                d, g = d[order], g[order]
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+                d, g = d[new], g[new]
+                cut = np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32)
+                flat = pack_grams(g << U64(64 - 8 * GRAM_BYTES))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("uid")[i:j], pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(np.diff(cut)), pa.array([flat[cut[q] : cut[q + 1]].tobytes() for q in range(j - i)], pa.binary())],
+                    names=["uid", "regs", "n", "grams"],
+                )
+
+    return run
+
+
+def _estimated(m: int, threshold: float):
+    """Pairs whose estimate isn't four standard errors below the threshold."""
 
-        hold: list[tuple] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("root", "h1", "h2", "text", "doc_id")), strict=True):
-                if hold and r[0] != hold[0][0]:
-                    yield out(hold)
-                    hold = []
-                hold.append(r)
-        if hold:
-            yield out(hold)
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, m) for c in ("ra", "rb"))
+            used = np.maximum(((ra > 0) | (rb > 0)).sum(1), 1)
+            slack = 4 * np.sqrt(threshold * (1 - threshold) / used) + 1 / used
+            ok = estimate(ra, rb, batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= threshold - slack
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def _proved(threshold: float):
+    """Pairs whose exact Jaccard reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(len(batch), bool)
+            for i, (p, q) in enumerate(zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True)):
+                x, y = unpack_grams(p), unpack_grams(q)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok[i] = common >= threshold * (len(x) + len(y) - common) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
@@ -254,26 +300,34 @@ def _decide(docs: DataFrame, k: int, m: int, rows: int, threshold: float) -> tup
     keyed = d.where(F.col("text").rlike(r"[^\x00-\x20]")).select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
     base = keyed.select("doc_id", "h1", "h2")
     texts = base.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    bands = keyed.select(F.col("h1").alias("uid"), "text").mapInArrow(_bands(k, m, rows), "key long, uid long, s1 long, s2 long")
-    same = int(np.floor(128 * ((1 + threshold) / 2) - 3.5 * np.sqrt(128 * (1 + threshold) / 2 * (1 - threshold) / 2)))
-    links = (
+    bands = keyed.select(F.col("h1").alias("uid"), "text").mapInArrow(_bands(k, m, rows), "key long, uid long, " + ", ".join(f"{c} long" for c in sketch_names(m)))
+    agree, dev = m * (1 + threshold) / 2, np.sqrt(m * (1 + threshold) / 2 * (1 - threshold) / 2)
+    pairs = (
         bands.repartition(n_parts(spark), "key").sortWithinPartitions("key")
-        .mapInArrow(_links(same), "a long, b long")
-    )
-    comp = components(links)
-    suspects = written(texts.join(comp, texts.h1 == comp.node).select("h1", "h2", "first_id", "root"), "suspects")
-    rows_of = (
-        keyed.join(suspects, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select("root", "h1", "h2", "text", "doc_id")
+        .mapInArrow(_links(m, int(np.ceil(agree + 4 * dev)), int(np.floor(agree - 3.5 * dev))), "a long, b long").distinct()
     )
+    pairs = written(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    suspects = texts.join(nodes, texts.h1 == nodes.node, "left_semi").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_id")
     one = Window.partitionBy("h1", "h2").orderBy("doc_id")
-    rows_of = rows_of.withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn")
-    settled = (
-        rows_of.repartition(n_parts(spark), "root").sortWithinPartitions("root")
-        .mapInArrow(_settle(k, m, threshold), "h1 long, h2 long, group_id long, wins boolean, n_texts long")
-        .where("n_texts > 1")
+    feats = (
+        keyed.join(suspects, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .withColumn("rn", F.row_number().over(one)).where("rn = 1").select(F.col("h1").alias("uid"), "text")
+        .mapInArrow(_features(k, m), "uid long, regs binary, n int, grams binary")
+    )
+    feats = written(feats, "features")
+    ra = feats.select(F.col("uid").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
+    rb = feats.select(F.col("uid").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
+    likely = pairs.join(ra, "a").join(rb, "b").mapInArrow(_estimated(m, threshold), "a long, b long")
+    ga, gb = feats.select(F.col("uid").alias("a"), F.col("grams").alias("ga")), feats.select(F.col("uid").alias("b"), F.col("grams").alias("gb"))
+    linked = likely.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb").mapInArrow(_proved(threshold), "a long, b long")
+    comp = components(linked)
+    members = texts.join(comp, texts.h1 == comp.node).select("h1", "h2", "first_id", "root")
+    best = F.struct(F.col("first_id").isNull().alias("z"), "first_id", "h1", "h2")
+    groups = members.groupBy("root").agg(F.min(best).alias("best"))
+    settled = written(
+        members.join(groups, "root").select("h1", "h2", F.col("best.first_id").alias("group_id"), ((F.col("h1") == F.col("best.h1")) & (F.col("h2") == F.col("best.h2"))).alias("wins")), "settled"
     )
-    settled = written(settled, "settled")
     alone = (
         texts.where("copies > 1").join(settled, ["h1", "h2"], "left_anti")
         .select("h1", "h2", F.col("first_id").alias("group_id"), F.lit(True).alias("wins"))
