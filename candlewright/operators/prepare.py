@@ -71,21 +71,18 @@ def quality_issues(bars: DataFrame, requested: DataFrame | None = None, calendar
     day = F.to_date("date")
     out = []
 
-    def per(cond, kind, severity):
-        return bars.groupBy("symbol").agg(F.sum(F.coalesce(cond, F.lit(False)).cast("long")).alias("n")).where("n > 0").select("symbol", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "n", F.lit("").alias("detail"))
-
     if requested is not None:
         out.append(requested.join(bars, "symbol", "left_anti").select("symbol", F.lit("empty").alias("kind"), F.lit("error").alias("severity"), F.lit(0).cast("long").alias("n"), F.lit("").alias("detail")))
     if "ordinal" in bars.columns:
         back = bars.withColumn("_b", F.lag("date").over(Window.partitionBy("symbol").orderBy("ordinal")) > F.col("date"))
         out.append(back.groupBy("symbol").agg(F.sum(F.coalesce("_b", F.lit(False)).cast("long")).alias("n")).where("n > 0").select("symbol", F.lit("unsorted").alias("kind"), F.lit("error").alias("severity"), "n", F.lit("").alias("detail")))
-    dup = bars.groupBy("symbol").agg((F.count("*") - F.count_distinct("date")).alias("n")).where("n > 0")
-    out.append(dup.select("symbol", F.lit("duplicate_dates").alias("kind"), F.lit("error").alias("severity"), "n", F.lit("").alias("detail")))
     # one pass for all that is counted row by row
     checks = {f"nan_{c}": (F.col(c).isNull() | F.isnan(c), "nan", "warning", c) for c in PRICES}
     checks |= {f"pos_{c}": (F.col(c) <= 0, "nonpositive_price", "warning", c) for c in PRICES}
     checks |= {"hl": (F.col("high") < F.col("low"), "high_lt_low", "error", ""), "vol": (F.coalesce(F.nanvl("volume", F.lit(0.0)), F.lit(0.0)) <= 0, "zero_volume", "warning", "")}
-    flat = bars.groupBy("symbol").agg(*(F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(k) for k, (c, *_) in checks.items()))
+    counted = [F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(k) for k, (c, *_) in checks.items()]
+    flat = bars.groupBy("symbol").agg(*counted, (F.count("*") - F.count_distinct("date")).alias("dup"))
+    checks["dup"] = (None, "duplicate_dates", "error", "")
     rows = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(sev).alias("severity"), F.col(k).alias("n"), F.lit(d).alias("detail")) for k, (_, kind, sev, d) in checks.items()))
     out.append(flat.select("symbol", F.explode(rows).alias("r")).select("symbol", "r.*").where("n > 0"))
     span = bars.groupBy("symbol").agg(F.min(day).alias("d0"), F.max(day).alias("d1"))
