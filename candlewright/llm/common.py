@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.shipping import ensure
+
 U64 = np.uint64
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _RINV = pow(_R, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +105,10 @@ class Words:
         up, down = _powers(len(self.data) + 1)
         c = np.empty(len(self.data) + 1, U64)
         c[0] = 0
-        np.cumsum((self.data.astype(U64) + U64(1)) * up[:-1], out=c[1:])
+        c[1:] = self.data
+        c[1:] += U64(1)
+        c[1:] *= up[:-1]
+        np.cumsum(c, out=c)
         h = (c[self.ends] - c[self.starts]) * down[self.starts]
         return mix64(h)
 
@@ -149,7 +154,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of so many rows, so that a worker's memory follows the block size and not the table."""
+    """Arrow batches of so many rows, so that a worker's memory follows the block size and not the table; workers get the package."""
+    ensure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -22,6 +22,7 @@ from .common import U64, _powers, blocks, fresh, mix64, small_batches, text_buff
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _CACHE: dict[int, Automaton] = {}
+BLOCK = 2 << 20
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -273,7 +274,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", to: s
             col = batch.column(batch.schema.names.index(column))
             data, off = text_buffers(col)
             null = col.is_null().to_numpy(zero_copy_only=False)
-            for i, j in blocks(off):
+            for i, j in blocks(off, BLOCK):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 ids, to_ = a.encode(part, o)
                 got = [pa.ListArray.from_arrays(pa.array(to_.astype(np.int32)), pa.array(ids), mask=pa.array(null[i:j]))]

@@ -183,7 +183,7 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int, object]]]) -> Iterator[tupl
             node //= 2
 
 
-def _runs(window: int, k: int, targets: int, most: int = 100_000):
+def _runs(window: int, k: int, targets: int, most: int = 20_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold: list[tuple] = []
         seen: tuple | None = None
@@ -251,10 +251,14 @@ def _settle(keys_lcp: np.ndarray, lefts: list[bytes], meta: np.ndarray, window:
     keys_lcp: words that neighbours have in common from the anchor on (-1: another anchor).
     """
     n = len(lefts)
-    buf = np.frombuffer(b"".join(lefts), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(x) for x in lefts])])
-    w = Words(buf, off)
-    h, end = w.hashes(), w.first[1:]
+    hs, ends, base = [np.zeros(0, U64)], [], 0
+    for i, j in blocks(off):
+        w = Words(np.frombuffer(b"".join(lefts[i:j]), np.uint8), off[i : j + 1] - off[i])
+        hs.append(w.hashes())
+        ends.append(w.first[1:] + base)
+        base += len(w)
+    h, end = np.concatenate(hs), np.concatenate(ends)
     pack = meta[:, 3]
     back, near = (pack >> 8) & 255, pack & 255
     rank = np.empty(n, np.int64)
@@ -296,7 +300,8 @@ def _merge(window: int):
                 lcp.append(key.count(b" ", 8, common) if common >= 8 else -1)
                 lefts.append(left)
                 meta.append(m)
-            meta_ = np.array(meta)
+            meta_ = np.array(meta, np.int64).reshape(-1, 4)
+            del meta
             again, later = _settle(np.array(lcp), lefts, meta_, window)
             some = again > 0
             if some.any():
