@@ -315,15 +315,11 @@ def _merge(window: int):
 
 def spans_of(p: np.ndarray, mask: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Union of [p - o, p - o + window) over the set bits o of the masks, as sorted spans of words."""
-    starts: list[np.ndarray] = []
-    m = mask.astype(np.int64).view(U64)
-    for o in range(64):
-        on = (m >> U64(o)) & U64(1) == 1
-        if on.any():
-            starts.append(p[on] - o)
-    if not starts:
+    o = np.arange(64, dtype=U64)
+    on = (np.asarray(mask, np.int64).view(U64)[:, None] >> o) & U64(1) == 1
+    s = np.unique((np.asarray(p)[:, None] - o.astype(np.int64))[on])
+    if not len(s):
         return []
-    s = np.unique(np.concatenate(starts))
     cut = np.flatnonzero(np.diff(s) > window)
     a, b = s[np.concatenate([[0], cut + 1])], s[np.concatenate([cut, [len(s) - 1]])] + window
     return list(zip(a.tolist(), b.tolist(), strict=True))
@@ -332,11 +328,13 @@ def spans_of(p: np.ndarray, mask: np.ndarray, window: int) -> list[tuple[int, in
 def _spans(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            again, later = [], []
-            for rows in batch.column("masks").to_pylist():
-                p = np.array([r["p"] for r in rows])
-                for out, c in ((again, "again"), (later, "later")):
-                    out.append([{"s": a, "e": b} for a, b in spans_of(p, np.array([r[c] for r in rows], np.int64), window)])
+            col, again, later = batch.column("masks"), [], []
+            off = col.offsets.to_numpy()
+            p, ms, ml = (col.values.field(c).to_numpy() for c in ("p", "again", "later"))
+            for i in range(len(batch)):
+                at = slice(off[i], off[i + 1])
+                for out, m in ((again, ms), (later, ml)):
+                    out.append([{"s": a, "e": b} for a, b in spans_of(p[at], m[at], window)])
             t = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(again, t), pa.array(later, t)], names=["h1", "h2", "again", "later"])
 
