@@ -9,6 +9,7 @@ Scoring is the scaled forward recursion over each whole document, exact for the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, blocks, mix64, small_batches, text_buffers
 
-STATES, SYMBOLS, ROUNDS, SMOOTH = 8, 1 << 16, 3, 0.01
+STATES, SYMBOLS, SMOOTH = 8, 1 << 16, 0.01
+#: Training ends when two rounds running add less than so many nats a word to the corpus log likelihood, the later one no more.
+TOLERANCE = 0.005
 BLOCK = 8 << 20
 
 
@@ -30,7 +33,7 @@ class HMM:
     @classmethod
     def first(cls, states: int = STATES, symbols: int = SYMBOLS) -> HMM:
         u = mix64(np.arange(states * symbols, dtype=U64) + U64(12345)).reshape(symbols, states)
-        e = 0.5 + (u >> U64(11)).astype(np.float64) / 2.0**53
+        e = -np.log(((u >> U64(11)).astype(np.float64) + 0.5) / 2.0**53)  # far from alike, else the first rounds gain next to nothing
         t = np.full((states, states), 0.5 / max(states - 1, 1)) if states > 1 else np.ones((1, 1))
         np.fill_diagonal(t, 0.5 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), t, e / e.sum(0))
@@ -75,12 +78,17 @@ def log_likelihood(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarra
 
 def expected_counts(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray):
     """E-step: (start [S], transitions [S, S], gamma [len(obs), S])."""
+    return _expected(m, obs, first, length)[:3]
+
+
+def _expected(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray):
+    """expected_counts, and the log likelihood of all rows together."""
     _, f, n = _sorted(first, length)
     s = len(m.start)
     start, trans, gamma = np.zeros(s), np.zeros((s, s)), np.zeros((len(obs), s), np.float32)
     if not len(n):
-        return start, trans, gamma
-    _, alphas, scales = _forward(m, obs, f, n, True)
+        return start, trans, gamma, 0.0
+    log, alphas, scales = _forward(m, obs, f, n, True)
     nxt = None
     for t in range(len(alphas) - 1, -1, -1):
         a = alphas[t]
@@ -95,7 +103,7 @@ def expected_counts(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarr
         nxt = m.emit[obs[f[:k] + t]] * b / scales[t][:, None]
         alphas[t] = None
     start = gamma[f].sum(0, dtype=np.float64)
-    return start, trans * m.trans, gamma
+    return start, trans * m.trans, gamma, log.sum()
 
 
 def _observed(batches: Iterator[pa.RecordBatch], symbols: int):
@@ -118,10 +126,11 @@ def _count(m: HMM, symbols: int):
     s = len(m.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit, trans, start = np.zeros((symbols, s)), np.zeros((s, s)), np.zeros(s)
+        emit, trans, start, fit = np.zeros((symbols, s)), np.zeros((s, s)), np.zeros(s), np.zeros((2, s))
         any_ = False
         for _, _, _, obs, first, length in _observed(batches, symbols):
-            a, t, g = expected_counts(m, obs, first, length)
+            a, t, g, ll = _expected(m, obs, first, length)
+            fit[:, 0] += ll, len(obs)
             start += a
             trans += t
             for k in range(s):
@@ -129,21 +138,24 @@ def _count(m: HMM, symbols: int):
             any_ = True
         if any_:
             seen = np.flatnonzero(emit.any(1))
-            sym = np.concatenate([seen, -1 - np.arange(s), [-1 - s]]).astype(np.int32)
-            rows = np.concatenate([emit[seen], trans, start[None]])
+            sym = np.concatenate([seen, -1 - np.arange(s + 3)]).astype(np.int32)
+            rows = np.concatenate([emit[seen], trans, start[None], fit])
             yield pa.RecordBatch.from_arrays([pa.array(sym), *(pa.array(rows[:, k].copy()) for k in range(s))], names=["sym", *(f"c{k}" for k in range(s))])
 
     return run
 
 
-def fit(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, rounds: int = ROUNDS, smooth: float = SMOOTH) -> HMM:
-    """Baum-Welch over every document. NULL, empty and wordless texts add nothing; repeated rows count each time; over an empty
+def fit(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, rounds: int | None = None, smooth: float = SMOOTH, tolerance: float = TOLERANCE) -> HMM:
+    """Baum-Welch over every document, for so many rounds or until it has converged: two rounds running add less than the
+    tolerance to the log likelihood a word and the later one no more than the other, as early rounds may gain little, but then
+    more each time. NULL, empty and wordless texts add nothing; repeated rows count each time; over an empty
     table the smoothed uniform model results. Other columns aren't read."""
     small_batches(docs.sparkSession, 4000)
     m = HMM.first(states, symbols)
     text = docs.select(F.col("text").cast("string").alias("text"))
     cols = [f"c{k}" for k in range(states)]
-    for _ in range(rounds):
+    last, gain = -np.inf, np.inf  # of the log likelihood a word
+    for _ in count() if rounds is None else range(rounds):
         got = text.mapInArrow(_count(m, symbols), "sym int, " + ", ".join(f"{c} double" for c in cols)).groupBy("sym").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
         sym = got["sym"].to_numpy().astype(np.int64)
         rows = np.stack([got[c].to_numpy() for c in cols], axis=1) if len(sym) else np.zeros((0, states))
@@ -154,6 +166,11 @@ def fit(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, rounds: i
                 trans[k] = rows[at[0]]
         if (at := np.flatnonzero(sym == -1 - states)).size:
             start = rows[at[0]]
+        if rounds is None:
+            now = rows[sym == -2 - states, 0].sum() / max(rows[sym == -3 - states, 0].sum(), 1)
+            if now - last <= gain < tolerance:
+                break
+            gain, last = now - last, now
         m = m.update(start, trans, emit, smooth)
     return m
 

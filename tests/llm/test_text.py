@@ -176,6 +176,19 @@ def test_hmm_training_raises_likelihood_and_edges(spark):
     assert hmm_lm.score(df.limit(0), hmm_lm.fit(df.limit(0), 2, 64, 1)).count() == 0
 
 
+def test_hmm_training_runs_until_converged(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(w for _ in range(15) for w in rng.choice(("a b c", "d e f", "a e", "c d")).split()), "s") for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+
+    def nats(*rounds):
+        got = hmm_lm.score(df, hmm_lm.fit(df, 4, 4096, *rounds)).collect()
+        return -sum(r["log_likelihood"] for r in got) / sum(r["n_words"] for r in got)
+
+    whole, three = nats(), nats(3)
+    assert whole < three - 0.1 and whole < nats(12) + 0.02
+
+
 # mixing
 def brute_mix(rows, weights, fraction, seed=5):
     import hashlib
