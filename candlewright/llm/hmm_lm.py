@@ -1,27 +1,33 @@
 """Language-model scoring by a hidden Markov model over words.
 
-Observations are words hashed into ``SYMBOLS`` classes. Baum-Welch runs over the whole corpus: each task accumulates the
-expected start, transition and emission counts of its documents and emits one sparse row per symbol it saw; Spark sums them by
-symbol, so what is shuffled follows the input, while the model (symbols x states) that every task gets has a fixed size.
-Scoring is the scaled forward recursion over each whole document, exact for the model.
+Observations are words, known by their 64-bit hash. The model's table (a row of expected counts for every word of the corpus) is
+kept in ranges of the hash and never in one place, so it grows with the vocabulary. Blocks of documents are encoded once. In each
+round of Baum-Welch a block gets the rows of its own words, and sends back what it counted for them; both travel as arrays, one
+for each block and range. Scoring is the scaled forward recursion over each whole document, exact for the model.
 """
 
 from __future__ import annotations
 
+import gc
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix64, small_batches, text_buffers
+from .common import U64, Words, blocks, mix64, n_parts, shared_dir, small_batches, text_buffers
 
-STATES, SYMBOLS, SMOOTH = 8, 1 << 16, 0.01
+STATES, SMOOTH = 8, 0.01
 #: Training ends when two rounds running add less than so many nats a word to the corpus log likelihood, the later one no more.
 TOLERANCE = 0.005
-BLOCK = 8 << 20
+#: Bytes of text in an encoded block, words that one recursion takes at a time.
+BLOCK, SLICE = 32 << 20, 1 << 20
 
 
 class HMM:
@@ -31,17 +37,32 @@ class HMM:
         self.start, self.trans, self.emit = (np.ascontiguousarray(x, dtype=np.float32) for x in (start, trans, emit))
 
     @classmethod
-    def first(cls, states: int = STATES, symbols: int = SYMBOLS) -> HMM:
-        u = mix64(np.arange(states * symbols, dtype=U64) + U64(12345)).reshape(symbols, states)
-        e = -np.log(((u >> U64(11)).astype(np.float64) + 0.5) / 2.0**53)  # far from alike, else the first rounds gain next to nothing
+    def first(cls, states: int, symbols: int) -> HMM:
+        e = _guess(np.arange(symbols, dtype=U64), states)
         t = np.full((states, states), 0.5 / max(states - 1, 1)) if states > 1 else np.ones((1, 1))
         np.fill_diagonal(t, 0.5 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), t, e / e.sum(0))
 
-    def update(self, start: np.ndarray, trans: np.ndarray, emit: np.ndarray, smooth: float = SMOOTH) -> HMM:
-        """M-step with additive smoothing, so that no symbol or transition is impossible."""
-        s, t, e = start + smooth, trans + smooth, emit + smooth
-        return HMM(s / s.sum(), t / t.sum(1, keepdims=True), e / e.sum(0))
+
+def _guess(keys: np.ndarray, states: int) -> np.ndarray:
+    """First weights [len(keys), states]; far from alike, else the first rounds gain next to nothing."""
+    u = mix64(keys[:, None] * U64(states) + np.arange(states, dtype=U64) + U64(12345))
+    return -np.log(((u >> U64(11)).astype(np.float64) + 0.5) / 2.0**53)
+
+
+class Model(NamedTuple):
+    """start [S], trans [S, S]; table: records (range, ("table", sorted keys, counts [n, S], _)) in ``parts`` ranges of the key.
+
+    A word's emission is (its counts + smooth) / total; total holds the smoothing of all words and of one more, the unseen.
+    """
+
+    start: np.ndarray
+    trans: np.ndarray
+    table: RDD
+    parts: int
+    total: np.ndarray
+    smooth: float
+    symbols: int | None
 
 
 def _forward(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray, keep: bool):
@@ -49,11 +70,11 @@ def _forward(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray, kee
     active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
     log = np.zeros(len(length))
     alphas, scales = [], []
-    a = None
+    a, one = None, np.ones(len(m.start), np.float32)
     for t, n in enumerate(active):
         e = m.emit[obs[first[:n] + t]]
         a = e * m.start if t == 0 else (a[:n] @ m.trans) * e
-        c = a.sum(1)
+        c = a @ one
         a = a / c[:, None]
         log[:n] += np.log(c, dtype=np.float64)
         if keep:
@@ -89,7 +110,7 @@ def _expected(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray):
     if not len(n):
         return start, trans, gamma, 0.0
     log, alphas, scales = _forward(m, obs, f, n, True)
-    nxt = None
+    nxt, one = None, np.ones(s, np.float32)
     for t in range(len(alphas) - 1, -1, -1):
         a = alphas[t]
         k = len(a)
@@ -99,98 +120,245 @@ def _expected(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray):
             b[:j] = nxt @ m.trans.T
             trans += a[:j].T @ nxt
         g = a * b
-        gamma[f[:k] + t] = g / g.sum(1, keepdims=True)
+        gamma[f[:k] + t] = g / (g @ one)[:, None]
         nxt = m.emit[obs[f[:k] + t]] * b / scales[t][:, None]
         alphas[t] = None
     start = gamma[f].sum(0, dtype=np.float64)
     return start, trans * m.trans, gamma, log.sum()
 
 
-def _observed(batches: Iterator[pa.RecordBatch], symbols: int):
-    """(batch rows, symbols, first, length) of blocks of documents."""
-    for batch in batches:
-        data, off = text_buffers(batch.column("text"))
-        for i, j in blocks(off, BLOCK):
-            first, length, obs, base = [], [], [], 0
-            for x, y in blocks(off[i : j + 1] - off[i]):
-                lo, hi = off[i + x], off[i + y]
-                w = Words(data[lo:hi], off[i + x : i + y + 1] - lo)
-                obs.append((w.hashes() % U64(symbols)).astype(np.int32))
-                first.append(w.first[:-1] + base)
-                length.append(w.counts)
-                base += len(w)
-            yield batch, i, j, np.concatenate(obs), np.concatenate(first), np.concatenate(length)
+def _range(p: int) -> int:
+    return p
 
 
-def _count(m: HMM, symbols: int):
-    s = len(m.start)
+def _home(b: int) -> int:
+    """Partition of a block."""
+    return b >> 20
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of the equal ranges begins in sorted keys, and their end."""
+    bound = np.array([(p << 64) // parts for p in range(1, parts)], dtype=U64)
+    return np.concatenate([[0], np.searchsorted(keys, bound), [len(keys)]]).astype(np.int64)
+
+
+def _encoded(docs: DataFrame, symbols: int | None) -> RDD:
+    """Records (block, ("block", words as places in keys, words of each row, sorted keys, ids, NULL ids, NULL texts))."""
+    small_batches(docs.sparkSession, 4000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit, trans, start, fit = np.zeros((symbols, s)), np.zeros((s, s)), np.zeros(s), np.zeros((2, s))
-        any_ = False
-        for _, _, _, obs, first, length in _observed(batches, symbols):
-            a, t, g, ll = _expected(m, obs, first, length)
-            fit[:, 0] += ll, len(obs)
-            start += a
-            trans += t
-            for k in range(s):
-                emit[:, k] += np.bincount(obs, g[:, k], minlength=symbols)
-            any_ = True
-        if any_:
-            seen = np.flatnonzero(emit.any(1))
-            sym = np.concatenate([seen, -1 - np.arange(s + 3)]).astype(np.int32)
-            rows = np.concatenate([emit[seen], trans, start[None], fit])
-            yield pa.RecordBatch.from_arrays([pa.array(sym), *(pa.array(rows[:, k].copy()) for k in range(s))], names=["sym", *(f"c{k}" for k in range(s))])
+        seq = count(TaskContext.get().partitionId() << 20)
+        held, size = [], 0
+
+        def block():
+            h, length, ids, no_id, no_text = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, obs = np.unique(h, return_inverse=True)
+            data = pickle.dumps(("block", obs.astype(np.int32), length.astype(np.int32), keys, ids, no_id, no_text), 5)
+            return pa.RecordBatch.from_arrays([pa.array([next(seq)], pa.int64()), pa.array([data], pa.binary())], names=["b", "data"])
+
+        for batch in batches:
+            data, off = text_buffers(batch.column("text"))
+            ids = batch.column("doc_id")
+            for i, j in blocks(off):
+                w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                h = w.hashes()
+                if symbols is not None:
+                    h = mix64(h % U64(symbols))
+                null = [c[i:j].is_null().to_numpy(zero_copy_only=False) for c in (ids, batch.column("text"))]
+                held.append((h, w.counts, ids[i:j].fill_null(0).to_numpy(zero_copy_only=False), *null))
+                size += int(off[j] - off[i])
+                if size >= BLOCK:
+                    yield block()
+                    held, size = [], 0
+        if held:
+            yield block()
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = d.mapInArrow(run, "b long, data binary").rdd
+    return rows.map(lambda r: (r[0], pickle.loads(bytes(r[1])))).partitionBy(max(rows.getNumPartitions(), 1), _home)
+
+
+def _asks(enc: RDD, parts: int) -> RDD:
+    """Records (range, ("ask", block, keys)): the words of each block."""
+
+    def run(rec):
+        b, x = rec
+        at = _cuts(x[3], parts)
+        return [(p, ("ask", b, x[3][at[p] : at[p + 1]])) for p in range(parts) if at[p] < at[p + 1]]
+
+    return enc.flatMap(run).partitionBy(parts, _range)
+
+
+def _beside(*rdds: RDD) -> RDD:
+    """The records of equal partitions in one, those of the first table first."""
+    out = rdds[0]
+    for r in rdds[1:]:
+        out = out.union(r)
+    if out.getNumPartitions() != rdds[0].getNumPartitions():
+        raise RuntimeError("tables are not partitioned alike")
+    return out
+
+
+def _places(keys: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, ask), max(len(keys) - 1, 0))
+    return at, keys[at] == ask if len(keys) else np.zeros(len(ask), bool)
+
+
+def _with_emissions(m: Model, asks: RDD, enc: RDD) -> RDD:
+    """The encoded blocks, before each of them the emissions of its words."""
+    scale, smooth = 1 / m.total, m.smooth
+
+    def look_up(records):
+        keys, counts = np.zeros(0, U64), None
+        for p, x in records:
+            if x[0] == "table":
+                keys, counts = x[1], x[2]
+                continue
+            at, seen = _places(keys, x[2])
+            rows = np.zeros((len(at), len(scale)))
+            if seen.any():
+                rows[seen] = counts[at[seen]]
+            yield x[1], ("emit", p, ((rows + smooth) * scale).astype(np.float32))
+
+    return _beside(_beside(m.table, asks).mapPartitions(look_up).partitionBy(enc.getNumPartitions(), _home), enc)
+
+
+def _blocks_met(records, start: np.ndarray, trans: np.ndarray):
+    """(block, its model, its record, first words of rows) from what _with_emissions gives."""
+    rows = defaultdict(dict)
+    for b, x in records:
+        if x[0] == "emit":
+            rows[b][x[1]] = x[2]
+            continue
+        got = rows.pop(b, {})
+        emit = np.concatenate([got[p] for p in sorted(got)]) if got else np.zeros((0, len(start)), np.float32)
+        yield b, HMM(start, trans, emit), x, np.concatenate([[0], np.cumsum(x[2], dtype=np.int64)])
+
+
+def _count(m: Model):
+    """E-step over blocks: (range, ("add", block, counts of the words asked for)) and (range, ("stats", sums))."""
+    start, trans, parts, s = m.start, m.trans, m.parts, len(m.start)
+
+    def run(records):
+        for b, h, x, off in _blocks_met(records, start, trans):
+            obs, length, keys = x[1], x[2], x[3]
+            counts, stats = np.zeros((len(keys), s)), np.zeros(s * s + s + 2)
+            for i, j in blocks(off, SLICE):
+                o = obs[off[i] : off[j]]
+                a, t, g, ll = _expected(h, o, off[i:j] - off[i], length[i:j].astype(np.int64))
+                stats += np.concatenate([t.ravel(), a, [ll, len(o)]])
+                for k in range(s):
+                    counts[:, k] += np.bincount(o, g[:, k], minlength=len(keys))
+            at = _cuts(keys, parts)
+            for p in range(parts):
+                if at[p] < at[p + 1]:
+                    yield p, ("add", b, counts[at[p] : at[p + 1]].astype(np.float32))
+            yield b % parts, ("stats", stats)
+
+    return run
+
+
+def _gather(states: int):
+    """M-step over a range: its table with the new counts, and the sums that came to it."""
+
+    def run(records):
+        keys, where, part, counts, stats = np.zeros(0, U64), {}, None, np.zeros((0, states)), np.zeros(states * states + states + 2)
+        for part, x in records:
+            if x[0] == "table":
+                keys, counts = x[1], np.zeros((len(x[1]), states))
+            elif x[0] == "ask":
+                where[x[1]] = np.searchsorted(keys, x[2])
+            elif x[0] == "add":
+                counts[where[x[1]]] += x[2]
+            else:
+                stats += x[1]
+        if part is not None:
+            yield part, ("table", keys, counts.astype(np.float32), stats)
 
     return run
 
 
-def fit(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, rounds: int | None = None, smooth: float = SMOOTH, tolerance: float = TOLERANCE) -> HMM:
+def _sums(table: RDD, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of counts by state and number of words, sums of the E-step)."""
+    one = table.map(lambda r: (np.append(r[1][2].sum(0, dtype=np.float64), len(r[1][1])), r[1][3]))
+    return one.fold((np.zeros(states + 1), np.zeros(states * states + states + 2)), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+
+
+def _forget(table: RDD) -> None:
+    """Remove a table's file, and let Spark drop the shuffles that nothing refers to any more."""
+    sc, file = table.ctx, table.getCheckpointFile()
+    if file:
+        path = sc._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    sc._jvm.System.gc()
+
+
+def fit(docs: DataFrame, states: int = STATES, symbols: int | None = None, rounds: int | None = None, smooth: float = SMOOTH, tolerance: float = TOLERANCE) -> Model:
     """Baum-Welch over every document, for so many rounds or until it has converged: two rounds running add less than the
     tolerance to the log likelihood a word and the later one no more than the other, as early rounds may gain little, but then
-    more each time. NULL, empty and wordless texts add nothing; repeated rows count each time; over an empty
-    table the smoothed uniform model results. Other columns aren't read."""
-    small_batches(docs.sparkSession, 4000)
-    m = HMM.first(states, symbols)
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    cols = [f"c{k}" for k in range(states)]
+    more each time. Words are told apart by their 64-bit hash, or by that modulo ``symbols``. NULL, empty and wordless texts add
+    nothing; repeated rows count each time. Of the table, doc_id and text are read.
+    """
+    spark = docs.sparkSession
+    sc, parts = spark.sparkContext, n_parts(spark)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(spark))
+    enc = _encoded(docs, symbols)
+    asks = _asks(enc, parts)
+    none = np.zeros(states * states + states + 2)
+
+    def begin(records):
+        p, keys = None, []
+        for p, x in records:
+            keys.append(x[2])
+        if keys:
+            k = np.unique(np.concatenate(keys))
+            yield p, ("table", k, _guess(k, states), none)
+
+    h = HMM.first(states, 1)
+    table = asks.mapPartitions(begin, preservesPartitioning=True)
+    size = _sums(table, states)[0]
+    m = Model(h.start, h.trans, table, parts, np.maximum(size[:-1], 1e-300), 0.0, symbols)
     last, gain = -np.inf, np.inf  # of the log likelihood a word
     for _ in count() if rounds is None else range(rounds):
-        got = text.mapInArrow(_count(m, symbols), "sym int, " + ", ".join(f"{c} double" for c in cols)).groupBy("sym").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
-        sym = got["sym"].to_numpy().astype(np.int64)
-        rows = np.stack([got[c].to_numpy() for c in cols], axis=1) if len(sym) else np.zeros((0, states))
-        emit, trans, start = np.zeros((symbols, states)), np.zeros((states, states)), np.zeros(states)
-        emit[sym[sym >= 0]] = rows[sym >= 0]
-        for k in range(states):
-            if (at := np.flatnonzero(sym == -1 - k)).size:
-                trans[k] = rows[at[0]]
-        if (at := np.flatnonzero(sym == -1 - states)).size:
-            start = rows[at[0]]
+        adds = _with_emissions(m, asks, enc).mapPartitions(_count(m)).partitionBy(parts, _range)
+        table = _beside(m.table, asks, adds).mapPartitions(_gather(states), preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
+        table.checkpoint()
+        size, stats = _sums(table, states)
+        table.unpersist()
+        del adds
         if rounds is None:
-            now = rows[sym == -2 - states, 0].sum() / max(rows[sym == -3 - states, 0].sum(), 1)
+            now = stats[-2] / max(stats[-1], 1)
             if now - last <= gain < tolerance:
+                _forget(table)
                 break
             gain, last = now - last, now
-        m = m.update(start, trans, emit, smooth)
+        t, a = stats[: states * states].reshape(states, states) + smooth, stats[states * states : -2] + smooth
+        old, m = m.table, Model(a / a.sum(), t / t.sum(1, keepdims=True), table, parts, size[:-1] + smooth * (size[-1] + 1), smooth, symbols)
+        _forget(old)
+        del old
     return m
 
 
-def score(docs: DataFrame, m: HMM) -> DataFrame:
+def score(docs: DataFrame, m: Model) -> DataFrame:
     """(doc_id, n_words, log_likelihood, nats_per_word) of every document, its whole text.
 
-    A NULL text has NULL figures; an empty or wordless text 0 words, likelihood 1 (log 0) and NULL nats per word.
+    A NULL text has NULL figures; an empty or wordless text 0 words, likelihood 1 (log 0) and NULL nats per word. A word that the
+    model hasn't seen has the smoothed mass of one.
     """
-    small_batches(docs.sparkSession, 4000)
-    symbols = len(m.emit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, j, obs, first, length in _observed(batches, symbols):
-            ll = log_likelihood(m, obs, first, length)
-            null = batch.column("text").is_null().to_numpy(zero_copy_only=False)[i:j]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[i:j], pa.array(length, mask=null), pa.array(ll, mask=null), pa.array(-ll / np.maximum(length, 1), mask=null | (length == 0))],
-                names=["doc_id", "n_words", "log_likelihood", "nats_per_word"],
-            )
-
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, nats_per_word double")
+    start, trans = m.start, m.trans
+    enc = _encoded(docs, m.symbols)
+
+    def run(records):
+        for _, h, x, off in _blocks_met(records, start, trans):
+            _, obs, length, _, ids, no_id, no_text = x
+            for i, j in blocks(off, SLICE):
+                ll = log_likelihood(h, obs[off[i] : off[j]], off[i:j] - off[i], length[i:j].astype(np.int64))
+                for k, v in zip(range(i, j), ll.tolist(), strict=True):
+                    n = int(length[k])
+                    key = None if no_id[k] else int(ids[k])
+                    yield (key, None, None, None) if no_text[k] else (key, n, v, -v / n if n else None)
+
+    rows = _with_emissions(m, _asks(enc, m.parts), enc).mapPartitions(run)
+    return docs.sparkSession.createDataFrame(rows, "doc_id long, n_words long, log_likelihood double, nats_per_word double", verifySchema=False)

@@ -189,6 +189,19 @@ def test_hmm_training_runs_until_converged(spark):
     assert whole < three - 0.1 and whole < nats(12) + 0.02
 
 
+def test_hmm_tells_all_words_apart(spark):
+    rows = [(i, " ".join(f"w{i * 500 + k}" for k in range(500)) + " often" * 50, "s") for i in range(160)]
+    df = spark.createDataFrame(rows, DOCS)
+    m = hmm_lm.fit(df, 1, rounds=1)
+    tables = [t for _, t in m.table.collect()]
+    assert sum(len(t[1]) for t in tables) == 80_001 and len(tables) > 1  # more than 65 536, in several ranges
+    new = spark.createDataFrame([(1, "w7", "s"), (2, "often", "s"), (3, "neverseen", "s")], DOCS)
+    total = 160 * 550 + 0.01 * 80_002
+    got = {r["doc_id"]: r["log_likelihood"] for r in hmm_lm.score(new, m).collect()}
+    for i, n in {1: 1, 2: 8000, 3: 0}.items():
+        assert got[i] == pytest.approx(math.log((n + 0.01) / total), rel=1e-5)
+
+
 # mixing
 def brute_mix(rows, weights, fraction, seed=5):
     import hashlib
