@@ -27,7 +27,7 @@ STATES, SMOOTH = 8, 0.01
 #: Training ends when two rounds running add less than so many nats a word to the corpus log likelihood, the later one no more.
 TOLERANCE = 0.005
 #: Bytes of text in an encoded block, words that one recursion takes at a time.
-BLOCK, SLICE = 32 << 20, 1 << 20
+BLOCK, SLICE = 8 << 20, 1 << 20
 
 
 class HMM:
