@@ -26,7 +26,7 @@ def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.similar_documents(table(spark, sf_dir, "documents"))
+    return simhash.similar_documents(table(spark, sf_dir, "documents"), simhash.NEAR_RADIUS, simhash.NEAR_BLOCKS)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

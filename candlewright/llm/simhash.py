@@ -8,12 +8,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, small_batches, text_buffers
 
 RADIUS, BLOCKS = 3, 6
+#: What the registered query uses: of the sf0.1 documents with an inexact copy at word 3-gram Jaccard 0.7 or more, 93 % have one
+#: within 10 bits, 26 % within 3.
+NEAR_RADIUS, NEAR_BLOCKS = 10, 12
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
 
 
@@ -76,10 +79,14 @@ def within_radius(fps: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS)
     )
     a, b = rows.alias("a"), rows.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    first = reduce(lambda acc, it: F.when(x.bitwiseAND(F.lit(it[1]).cast("long")) == 0, it[0]).otherwise(acc), list(enumerate(tables))[::-1], F.lit(-1))
+    chosen = list(combinations(range(n_blocks), n_blocks - radius))
+    bits = F.array(*[F.lit(sum(1 << i for i in c)) for c in chosen])
+    upto = F.array(*[F.lit((2 << c[-1]) - 1) for c in chosen])
+    agree = reduce(Column.bitwiseOR, [F.when(x.bitwiseAND(F.lit(_signed(m)).cast("long")) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(block)])
+    first = agree.bitwiseAND(upto[F.col("a.t")]) == bits[F.col("a.t")]  # no other block agrees before the table's last one
     return (
         a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
-        .where((F.bit_count(x) <= radius) & (first == F.col("a.t")))
+        .where((F.bit_count(x) <= radius) & first)
         .select(F.col("a.fp").alias("simhash_a"), F.col("b.fp").alias("simhash_b"), F.bit_count(x).cast("int").alias("hamming"))
     )
 

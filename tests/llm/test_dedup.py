@@ -244,6 +244,23 @@ def test_simhash_documents(spark):
     assert simhash.similar_documents(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_simhash_query_finds_inexact_copies(spark, tmp_path):
+    from candlewright.llm import queries
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        base = words(rng, 150)
+        near = [w if rng.random() > 0.02 else "edit" for w in base]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    frame(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    fp = {r["doc_id"]: r["simhash"] & (2**64 - 1) for r in simhash.fingerprints(frame(spark, rows)).collect()}
+    want = {(a, b) for a, b in itertools.combinations(fp, 2) if 0 < (fp[a] ^ fp[b]).bit_count() <= 10}
+    got = [tuple(sorted((a, b))) for r in queries.op4_simhash(spark, f"file://{tmp_path}").collect() for a in r["docs_a"] for b in r["docs_b"]]
+    assert set(got) == {tuple(sorted(p)) for p in want} and len(got) == len(want)
+    assert sum((2 * i, 2 * i + 1) in got for i in range(40)) > 30 > sum((fp[2 * i] ^ fp[2 * i + 1]).bit_count() <= 3 for i in range(40))
+
+
 def test_embedding_recall_and_edges(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 64))
