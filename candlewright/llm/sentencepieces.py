@@ -4,12 +4,14 @@ The best segmentation is the one whose piece scores have the greatest sum. At ea
 every piece that ends there; each relaxes the best score. The recursion runs in lockstep over a block's distinct units (a run of
 spaces and the signs up to the next space): where no piece has a space after another sign, a text's best segmentation is the
 units' best segmentations one after the other, so each distinct unit is solved once a block. A model with such pieces is refused.
+A unit too long for company (texts without spaces) is walked by itself.
 Signs that no piece covers fall back to byte pieces. The literal sign U+2581 is coded in bytes, so every text comes back exactly.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _CACHE: dict[int, Automaton] = {}
 BLOCK = 2 << 20
+#: Bytes from which a unit is walked by itself: so long ones are few, and steps over a handful of units cost more than a loop.
+LONG = 256
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -123,6 +127,7 @@ class Automaton:
         size = np.array([len(x) for x in self.text_of])
         self.text_off = np.concatenate([[0], np.cumsum(size)])
         self.text_bytes = np.frombuffer(b"".join(self.text_of), np.uint8)
+        self._lists: tuple | None = None
 
     @classmethod
     def of(cls, model: bytes) -> Automaton:
@@ -131,8 +136,57 @@ class Automaton:
             _CACHE[key] = cls(read_pieces(model))
         return _CACHE[key]
 
-    def solve(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def solve(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Viterbi of each unit data[start:start+size]: (ids, offsets into ids, best scores)."""
+        big = size > long
+        if not big.any():
+            return self._lockstep(data, start, size)
+        few = np.flatnonzero(~big)
+        ids, off, score = self._lockstep(data, start[few], size[few])
+        alone = {int(i): self._walk(data[start[i] : start[i] + size[i]].tobytes()) for i in np.flatnonzero(big)}
+        count, scores = np.zeros(len(start), np.int64), np.zeros(len(start))
+        count[few], scores[few] = np.diff(off), score
+        for i, (x, s) in alone.items():
+            count[i], scores[i] = len(x), s
+        to = np.concatenate([[0], np.cumsum(count)])
+        out = np.empty(to[-1], np.int32)
+        out[np.arange(len(ids)) + np.repeat(to[few] - off[:-1], count[few])] = ids
+        for i, (x, _) in alone.items():
+            out[to[i] : to[i + 1]] = x
+        return out, to, scores
+
+    def _walk(self, raw: bytes) -> tuple[np.ndarray, float]:
+        """(ids, best score) of one unit, byte after byte."""
+        if self._lists is None:
+            self._lists = tuple(x.tolist() for x in (self.out, self.link, self.depth, self.score, self.piece, self.byte_ids))
+        out, link, depth, score, piece, byte_ids = self._lists
+        goto, n, none = memoryview(self.goto.ravel()), len(raw), float("-inf")
+        best, back, ids = array("d", [none]) * (n + 1), array("i", [1]) * (n + 1), array("i", [0]) * (n + 1)
+        best[0] = 0.0
+        state = lead = 0
+        for t, b in enumerate(raw):
+            if b & 0xC0 != 0x80:
+                lead = t
+            state = goto[state << 8 | b]
+            s, top, k, p = out[state], none, 1, byte_ids[b]
+            while s:
+                c = best[t + 1 - depth[s]] + score[s]
+                if c > top:
+                    top, k, p = c, depth[s], piece[s]
+                s = link[s]
+            if t + 1 == n or raw[t + 1] & 0xC0 != 0x80:
+                c = best[lead] + self.unknown
+                if c > top:
+                    top, k, p = c, 1, byte_ids[b]
+            best[t + 1], back[t + 1], ids[t + 1] = top, k, p
+        path, at = [], n
+        while at:
+            path.append(ids[at])
+            at -= back[at]
+        return np.array(path[::-1], np.int32), best[n]
+
+    def _lockstep(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``solve`` for all units at once, a step for each byte of the longest."""
         order = np.argsort(-size, kind="stable")
         st, n = start[order], size[order]
         base = np.concatenate([[0], np.cumsum(n + 1)])[:-1]
@@ -257,7 +311,7 @@ def load(path: str = MODEL) -> bytes:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", to: str = "tokens", intact: str | None = None) -> DataFrame:
-    """``docs`` with ``to``: ARRAY<INT> of the text's piece ids; every other column stays.
+    """``docs`` with ``to``: ARRAY<INT> of the text's piece ids; every other column stays, one that has the name is replaced.
 
     A NULL text has NULL ids, an empty text no ids. ``intact`` names a further column: whether decoding gives the text back.
     The model file is read once on the driver and travels with the task (its size doesn't grow with the data).
@@ -266,6 +320,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", to: s
 
     model = load(model_path)
     small_batches(docs.sparkSession)
+    new = {to.lower(), (intact or to).lower()}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in new]
     extra = [StructField(to, ArrayType(IntegerType()))] + ([StructField(intact, BooleanType())] if intact else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,20 +343,21 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", to: s
                     else:
                         good = np.array([back[bo[x] : bo[x + 1]].tobytes() == part[o[x] : o[x + 1]].tobytes() for x in range(j - i)])
                     got.append(pa.array(good, mask=null[i:j]))
-                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns), *got], names=[*batch.schema.names, to, *([intact] if intact else [])])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name)[i:j] for f in kept), *got], names=[*(f.name for f in kept), to, *([intact] if intact else [])])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *extra]))
+    return docs.mapInArrow(run, StructType([*kept, *extra]))
 
 
 def decode(rows: DataFrame, model_path: str = MODEL, column: str = "tokens", to: str = "text") -> DataFrame:
-    """``rows`` with ``to``: the text of the piece ids. NULL ids give NULL; NULL entries and unknown ids give nothing; bytes that
+    """``rows`` with ``to`` (a column of that name is replaced): the text of the piece ids. NULL ids give NULL; NULL entries and unknown ids give nothing; bytes that
     aren't UTF-8 become U+FFFD."""
     from pyspark.sql.types import StringType, StructField, StructType
 
     model = load(model_path)
     (work,) = fresh(rows, "ids")
     rows_ = rows.withColumn(work, F.coalesce(F.transform(column, lambda x: F.coalesce(x.cast("int"), F.lit(-1))), F.array().cast("array<int>")))
-    schema = StructType([*rows.schema.fields, StructField(to, StringType())])
+    kept = [f for f in rows.schema.fields if f.name.lower() != to.lower()]
+    schema = StructType([*kept, StructField(to, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = Automaton.of(model)
@@ -310,6 +367,6 @@ def decode(rows: DataFrame, model_path: str = MODEL, column: str = "tokens", to:
             o = col.offsets.to_numpy().astype(np.int64)
             out, bo = a.decode(col.values.to_numpy()[o[0] : o[-1]], o - o[0])
             texts = [None if null[i] else out[bo[i] : bo[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], to])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), to])
 
     return rows_.mapInArrow(run, schema)
