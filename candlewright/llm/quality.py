@@ -1,7 +1,8 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged per document, softmax over three classes.
 
 Class 0 is clean, 1 low quality, 2 toxic. Training is numpy stochastic gradient descent (Adagrad steps) on the driver, over at
-most ``train_rows`` labelled documents chosen by a hash of their id, so what the driver holds is bounded by that parameter.
+most ``train_rows`` labelled documents chosen by a hash of their id, so what the driver holds is bounded by that parameter. The
+tasks make the documents' bags of features; the driver gets these and no text.
 Scoring folds the vectors into one logit per bucket and class (the average is linear), a table of fixed size.
 """
 
@@ -44,9 +45,20 @@ def features(text: bytes, bits: int = BITS) -> np.ndarray:
 
 
 def bag(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, how often) of one document, in six bytes a bucket."""
+    """(buckets, how often) of one document, in six bytes a bucket, or eight where one occurs more than 65535 times."""
     b, n = np.unique(features(text, bits), return_counts=True)
-    return b.astype(np.int32), np.minimum(n, 65535).astype(np.uint16)
+    return b.astype(np.int32), n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32)
+
+
+def _bags(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = text_buffers(batch.column("text"))
+            got = [bag(data[off[i] : off[i + 1]].tobytes(), bits) for i in range(len(batch))]
+            cols = [pa.array([x.tobytes() for x in part], pa.binary()) for part in zip(*got, strict=True)] if got else [pa.array([], pa.binary())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *cols], names=["doc_id", "y", "buckets", "counts"])
+
+    return run
 
 
 class Model:
@@ -124,24 +136,28 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed
     """Fit on at most ``train_rows`` rows of ``docs`` that ``labels`` covers.
 
     A toxic label of 1 makes class 2, else a quality of 0 class 1, else class 0. Rows with a NULL id, text or quality are left
-    out; a document with several labels takes the worst of them; without any labelled row the model is the untrained one.
+    out; a document with several labels takes the worst of them, of several rows of an id the least text counts; without any
+    labelled row the model is the untrained one.
     """
+    small_batches(docs.sparkSession)
     lab = (
         labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
         .select("doc_id", F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("y"))
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(train_rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    got = texts.join(F.broadcast(lab), "doc_id").select("text", "y", "doc_id").toArrow()  # train_rows bounds the broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     m = Model(seed=seed)
+    one = texts.join(F.broadcast(lab), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # train_rows bounds the broadcast
+    got = one.select("doc_id", "y", "text").mapInArrow(_bags(m.bits), "doc_id long, y int, buckets binary, counts binary").toArrow()
     if not got.num_rows:
         return m
     y = got["y"].to_numpy()
-    order = np.lexsort((y, got["doc_id"].to_numpy()))
-    text = got["text"]
-    bags = [bag(text[int(i)].as_py().encode(), m.bits) for i in order]
-    del got, text
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    bags = []
+    for i in order.tolist():
+        b, n = (np.frombuffer(got[c][i].as_buffer(), kind) for c, kind in (("buckets", np.int32), ("counts", np.uint8)))
+        bags.append((b, n.view(np.uint16 if len(n) == 2 * len(b) else np.uint32)))
     return m.fit(bags, y[order].astype(np.int64), seed=seed)
 
 
