@@ -12,8 +12,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from candlewright.shipping import ensure
 
-#: Decimals to which two values are compared; sums of floats differ by engine in the last bits.
-COMPARE = 9
+#: Share of the larger of two values within which they count as equal; sums of floats differ by engine in the last bits.
+COMPARE = 1e-12
 
 
 def by_symbol(keys: Iterable[str] = ("symbol",)):
@@ -49,12 +49,12 @@ def zscore(x: Column, n: int, w) -> Column:
 
 
 def gt(a: Column, b: Column) -> Column:
-    """a > b to nine decimals; a missing value gives false."""
-    return F.coalesce(F.round(a - b, COMPARE) > 0, F.lit(False))
+    """a > b by more than the last bits, whatever the size of the values; a missing value gives false."""
+    return F.coalesce(a - b > F.greatest(F.abs(a), F.abs(b)) * COMPARE, F.lit(False))
 
 
 def ge(a: Column, b: Column) -> Column:
-    return F.coalesce(F.round(a - b, COMPARE) >= 0, F.lit(False))
+    return F.coalesce(a - b >= F.greatest(F.abs(a), F.abs(b)) * -COMPARE, F.lit(False))
 
 
 def lt(a: Column, b: Column) -> Column:

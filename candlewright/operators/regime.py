@@ -173,16 +173,16 @@ def causal_labels(bench: DataFrame, n_states: int, window: int, train_rows: int)
     return f.join(numbered, "date").coalesce(1).mapInPandas(run, "date timestamp_ntz, label string, risk_off boolean")
 
 
-def conditioned_metrics(equity: DataFrame, labels: DataFrame, periods_per_year: float = 252.0, least: int = 5) -> DataFrame:
-    """Figures of the returns within each label's own rows: (label, n_days, sharpe, sortino, cagr, vol, max_drawdown, time_under_water)."""
-    w = Window.orderBy("date")
-    r = equity.select("date", (F.try_divide("value", F.lag("value").over(w)) - 1).alias("r")).where("r is not null").join(labels.select("date", "label"), "date")
-    own = Window.partitionBy("label").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+def conditioned_metrics(equity: DataFrame, labels: DataFrame, periods_per_year: float = 252.0, least: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Figures of the returns within each label's own rows, for each group of ``keys`` (such as run_id): (*keys, label, n_days, sharpe, sortino, cagr, vol, max_drawdown, time_under_water)."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    r = equity.select(*keys, "date", (F.try_divide("value", F.lag("value").over(w)) - 1).alias("r")).where("r is not null").join(labels.select("date", "label"), "date")
+    own = Window.partitionBy(*keys, "label").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     d = r.withColumn("eq", F.product(1 + F.col("r")).over(own)).withColumn("dd", F.col("eq") / F.greatest(F.max("eq").over(own), F.lit(1.0)) - 1)
     root, p = math.sqrt(periods_per_year), periods_per_year
     neg = F.stddev_samp(F.when(F.col("r") < 0, F.col("r")))
     z = lambda x: F.coalesce(x, F.lit(0.0))
-    a = d.groupBy("label").agg(
+    a = d.groupBy(*keys, "label").agg(
         F.count("*").alias("n_days"), z(F.when(F.stddev_samp("r") > 1e-12, F.avg("r") / F.stddev_samp("r") * root)).alias("sharpe"), z(F.when(neg > 1e-12, F.avg("r") / neg * root)).alias("sortino"),
         F.when(F.product(1 + F.col("r")) > 0, F.pow(F.product(1 + F.col("r")), F.lit(p) / F.count("*")) - 1).otherwise(F.lit(-1.0)).alias("cagr"), z(F.stddev_samp("r") * root).alias("vol"),
         F.min("dd").alias("max_drawdown"), F.avg((F.col("dd") < -1e-12).cast("double")).alias("time_under_water"),

@@ -326,31 +326,31 @@ def uniqueness(returns: DataFrame, candidate: str, periods_per_year: float = 252
     return corr.crossJoin(b).withColumn("delta", F.col("sharpe_with") - F.col("sharpe_book")).where(F.col("n_obs") >= least)
 
 
-def cost_sensitivity(returns: DataFrame, turnover: float, cost_bps: float, multipliers: tuple[float, ...] = MULTIPLIERS, periods_per_year: float = 252.0) -> DataFrame:
-    """One row a multiple of the costs: (multiplier, cost_bps, annual_drag, sharpe, cagr, break_even_bps, buffer)."""
+def cost_sensitivity(returns: DataFrame, turnover: float, cost_bps: float, multipliers: tuple[float, ...] = MULTIPLIERS, periods_per_year: float = 252.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row a multiple of the costs, for each group of ``keys`` (such as run_id): (*keys, multiplier, cost_bps, annual_drag, sharpe, cagr, break_even_bps, buffer)."""
     p, drag = periods_per_year, turnover * cost_bps / 1e4
     m = returns.sparkSession.createDataFrame([(float(x),) for x in multipliers], "multiplier double")
     s = returns.crossJoin(F.broadcast(m)).withColumn("s", F.col("r") - (F.col("multiplier") - 1) * F.lit(drag / p))  # a few multipliers
-    a = s.groupBy("multiplier").agg(F.avg("r").alias("mean"), F.count("s").alias("n"), F.avg("s").alias("mu"), F.stddev_samp("s").alias("sd"), F.product(1 + F.col("s")).alias("growth"))
+    a = s.groupBy(*keys, "multiplier").agg(F.avg("r").alias("mean"), F.count("s").alias("n"), F.avg("s").alias("mu"), F.stddev_samp("s").alias("sd"), F.product(1 + F.col("s")).alias("growth"))
     gross = F.col("mean") * p + drag
     even = F.when(gross > 0, gross * 1e4 / turnover) if turnover > 1e-12 else F.lit(None).cast("double")
     return a.select(
-        "multiplier", (F.col("multiplier") * cost_bps).alias("cost_bps"), (F.col("multiplier") * drag).alias("annual_drag"), F.when(F.col("sd") > 0, F.col("mu") / F.col("sd") * math.sqrt(p)).otherwise(F.lit(0.0)).alias("sharpe"),
+        *keys, "multiplier", (F.col("multiplier") * cost_bps).alias("cost_bps"), (F.col("multiplier") * drag).alias("annual_drag"), F.when(F.col("sd") > 0, F.col("mu") / F.col("sd") * math.sqrt(p)).otherwise(F.lit(0.0)).alias("sharpe"),
         F.when(F.col("growth") > 0, F.pow("growth", F.lit(p) / F.col("n")) - 1).otherwise(F.lit(-1.0)).alias("cagr"), even.alias("break_even_bps"), (even / cost_bps if cost_bps > 1e-12 else F.lit(None).cast("double")).alias("buffer"),
     )
 
 
-def cost_stress(returns: DataFrame, slippage_bps: float, fee_bps: float, slippage_x: float = 2.0, fee_x: float = 1.0, trades: Column | None = None, periods_per_year: float = 252.0, least_sharpe: float = 0.0) -> DataFrame:
-    """One row: figures of the returns (date, r) after the extra costs of ``trades`` (a column; 1 by default) a period."""
+def cost_stress(returns: DataFrame, slippage_bps: float, fee_bps: float, slippage_x: float = 2.0, fee_x: float = 1.0, trades: Column | None = None, periods_per_year: float = 252.0, least_sharpe: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each group of ``keys``: figures of the returns (date, r) after the extra costs of ``trades`` (a column; 1 by default) a period."""
     if slippage_x < 0 or fee_x < 0:
         raise ValueError("multiples must not be negative")
     extra = ((slippage_x - 1) * slippage_bps + (fee_x - 1) * fee_bps) / 1e4
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     d = returns.withColumn("s", F.col("r") - F.lit(extra) * (F.lit(1.0) if trades is None else trades)).withColumn("eq", F.product(1 + F.col("s")).over(w))
     d = d.withColumn("dd", F.col("eq") / F.max("eq").over(w) - 1)
     p = periods_per_year
-    a = d.agg(F.count("s").alias("n"), F.avg("s").alias("mu"), F.stddev_samp("s").alias("sd"), F.product(1 + F.col("s")).alias("g"), F.min("dd").alias("max_drawdown"))
-    a = a.select((F.pow("g", F.lit(p) / F.col("n")) - 1).alias("cagr"), F.when(F.col("sd") > 0, F.col("mu") / F.col("sd") * math.sqrt(p)).otherwise(F.lit(0.0)).alias("sharpe"), (F.col("sd") * math.sqrt(p)).alias("vol"), "max_drawdown")
+    a = d.groupBy(*keys).agg(F.count("s").alias("n"), F.avg("s").alias("mu"), F.stddev_samp("s").alias("sd"), F.product(1 + F.col("s")).alias("g"), F.min("dd").alias("max_drawdown"))
+    a = a.select(*keys, (F.pow("g", F.lit(p) / F.col("n")) - 1).alias("cagr"), F.when(F.col("sd") > 0, F.col("mu") / F.col("sd") * math.sqrt(p)).otherwise(F.lit(0.0)).alias("sharpe"), (F.col("sd") * math.sqrt(p)).alias("vol"), "max_drawdown")
     return a.withColumn("survives", F.col("sharpe") > least_sharpe)
 
 

@@ -27,11 +27,11 @@ def sma(x: str, n: int) -> str:
 
 
 def gt(a: str, b: str) -> str:
-    return f"coalesce(round(({a}) - ({b}), 9) > 0, false)"
+    return f"coalesce(({a}) - ({b}) > greatest(abs({a}), abs({b})) * 1e-12, false)"
 
 
 def ge(a: str, b: str) -> str:
-    return f"coalesce(round(({a}) - ({b}), 9) >= 0, false)"
+    return f"coalesce(({a}) - ({b}) >= greatest(abs({a}), abs({b})) * -1e-12, false)"
 
 
 def rising(s: str) -> str:

@@ -15,6 +15,11 @@ from candlewright.sources import parsers as X
 FIELDS = "open, high, low, close, volume"
 
 
+def _chunk(c):
+    """Payloads of some thousand rows, as a feed sends them, and not one for a whole series."""
+    return F.floor(F.col(c) / 5000)
+
+
 @query(f"WITH {Q.EVENT_BARS} SELECT symbol, date, {FIELDS} FROM bars WHERE symbol IN ('click', 'view', 'purchase') AND date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
 def read_symbols(spark, d):
     path = B.scratch(spark, "bars")
@@ -73,14 +78,14 @@ def normalize_frame(spark, d):
 @query(f"WITH {Q.ORDER_BARS} SELECT symbol, date, {FIELDS}, 0.0::DOUBLE AS div_cash, 1.0::DOUBLE AS split_factor FROM bars")
 def parse_eod(spark, d):
     b = B.order_bars(spark, d).select("symbol", F.struct(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), *B.FIELDS).alias("r"))
-    return X.parse_eod(b.groupBy("symbol").agg(F.to_json(F.collect_list("r")).alias("payload")))
+    return X.parse_eod(b.groupBy("symbol", F.year(F.to_date("r.date"))).agg(F.to_json(F.collect_list("r")).alias("payload")))
 
 
 @query(f"""WITH {Q.EVENT_BARS}, x AS (SELECT upper(symbol) AS symbol, date_trunc('day', date)::TIMESTAMP AS d, date, {FIELDS} FROM bars)
  SELECT symbol, d AS date, arg_max(open, date) AS open, arg_max(high, date) AS high, arg_max(low, date) AS low, arg_max(close, date) AS close, arg_max(volume, date) AS volume FROM x GROUP BY symbol, d""")
 def parse_crypto(spark, d):
     b = B.event_bars(spark, d).select("symbol", F.struct(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), *B.FIELDS).alias("r"))
-    a = b.groupBy("symbol").agg(F.collect_list("r").alias("p")).select(F.to_json(F.array(F.struct(F.col("symbol").alias("ticker"), F.col("p").alias("priceData")))).alias("payload"))
+    a = b.groupBy("symbol", F.substring("r.date", 1, 10)).agg(F.collect_list("r").alias("p")).select(F.to_json(F.array(F.struct(F.col("symbol").alias("ticker"), F.col("p").alias("priceData")))).alias("payload"))
     return X.parse_crypto(a)
 
 
@@ -89,7 +94,7 @@ def _macro(spark, d):
     day = F.to_date("ts")
     v = F.when(F.col("event_id") % 7 == 0, F.lit(".")).otherwise(F.col("value").cast("string"))
     o = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), v.alias("value"), F.date_format(day, "yyyy-MM-dd").alias("realtime_start"), F.date_format(F.date_add(day, 10), "yyyy-MM-dd").alias("realtime_end"))
-    p = e.groupBy(F.col("event_type").alias("series_id")).agg(F.to_json(F.struct(F.collect_list(o).alias("observations"))).alias("payload"))
+    p = e.groupBy(F.col("event_type").alias("series_id"), _chunk("event_id")).agg(F.to_json(F.struct(F.collect_list(o).alias("observations"))).alias("payload"))
     return X.parse_macro(p)
 
 
@@ -107,12 +112,12 @@ def macro_vintage(spark, d):
 
 
 def _news(spark, d):
-    e = B.table(spark, d, "events").where("event_id % 3 = 0")
+    e = B.table(spark, d, "events")
     a = F.struct(F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), F.lit("dom").alias("domain"), F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")).otherwise(F.lit("bad")).alias("seendate"))
-    return X.parse_gdelt(e.groupBy("event_type").agg(F.to_json(F.struct(F.collect_list(a).alias("articles"))).alias("payload")))
+    return X.parse_gdelt(e.groupBy("event_type", _chunk("event_id")).agg(F.to_json(F.struct(F.collect_list(a).alias("articles"))).alias("payload")))
 
 
-_NEWS = "n AS (SELECT date_trunc('second', ts)::TIMESTAMP AS published_at, 't' || event_id AS headline, 'u' || event_id AS url FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 0)"
+_NEWS = "n AS (SELECT date_trunc('second', ts)::TIMESTAMP AS published_at, 't' || event_id AS headline, 'u' || event_id AS url FROM events WHERE event_id % 2 = 0)"
 
 
 @query(f"WITH {_NEWS} SELECT published_at, headline, url FROM n")
@@ -140,11 +145,11 @@ def json_round_trip(spark, d):
     return r.withColumn("date", F.to_timestamp_ntz("date", F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
-@query(f"""WITH {Q.EVENT_BARS}, m AS (SELECT event_type AS symbol, ts AS date, value AS v, event_id FROM events WHERE event_id % 50 = 0),
+@query(f"""WITH {Q.EVENT_BARS}, m AS (SELECT event_type AS symbol, ts AS date, value AS v, event_id FROM events),
  k AS (SELECT symbol, date, arg_max(v, event_id) AS v FROM m GROUP BY ALL)
  SELECT b.symbol, b.date, b.close, k.v FROM bars b ASOF LEFT JOIN k ON b.symbol = k.symbol AND b.date >= k.date""")
 def as_of_join(spark, d):
-    e = B.table(spark, d, "events").where("event_id % 50 = 0").groupBy(F.col("event_type").alias("symbol"), F.col("ts").alias("date")).agg(F.max_by("value", "event_id").alias("v"))
+    e = B.table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.col("ts").alias("date")).agg(F.max_by("value", "event_id").alias("v"))
     return B.as_of_join(B.event_bars(spark, d).select("symbol", "date", "close"), e, "symbol", "date", "v")
 
 

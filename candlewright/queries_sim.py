@@ -303,34 +303,28 @@ def book_uniqueness(spark, d):
     return r6(u, "max_corr", "mean_corr", "sharpe_candidate", "sharpe_book", "sharpe_with", "delta")
 
 
-_ONE = f"{_RET}, one AS (SELECT date, r FROM ret WHERE run_id = 'ASIA')"
-
-
-def _one(spark, d):
-    return stored_returns(spark, d).where("run_id = 'ASIA'").select("date", "r")
-
-
-@query(f"""WITH {_ONE}, m AS (SELECT unnest([1, 2, 3, 4, 6, 10]) / 2 AS multiplier), k AS (SELECT 12.0::DOUBLE * 7 / 1e4 AS drag), s AS (SELECT multiplier, r, r - (multiplier - 1) * drag / 252 AS s, drag FROM one, m, k),
- a AS (SELECT multiplier, any_value(drag) AS drag, avg(r) * 252 + any_value(drag) AS g, avg(s) / stddev_samp(s) * sqrt(252) AS sh, pow(product(1 + s), 252.0::DOUBLE / count(*)) - 1 AS cagr FROM s GROUP BY multiplier)
- SELECT multiplier, round(multiplier * 7, 6) AS cost_bps, round(multiplier * drag, 6) AS annual_drag, round(sh, 6) AS sharpe, round(cagr, 6) AS cagr, round(CASE WHEN g > 0 THEN g * 1e4 / 12 END, 4) AS break_even_bps, round(CASE WHEN g > 0 THEN g * 1e4 / 12 / 7 END, 4) AS buffer FROM a""")
+@query(f"""WITH {_RET}, m AS (SELECT unnest([1, 2, 3, 4, 6, 10]) / 2 AS multiplier), k AS (SELECT 12.0::DOUBLE * 7 / 1e4 AS drag), s AS (SELECT run_id, multiplier, r, r - (multiplier - 1) * drag / 252 AS s, drag FROM ret, m, k),
+ a AS (SELECT run_id, multiplier, any_value(drag) AS drag, avg(r) * 252 + any_value(drag) AS g, avg(s) / stddev_samp(s) * sqrt(252) AS sh, pow(product(1 + s), 252.0::DOUBLE / count(*)) - 1 AS cagr FROM s GROUP BY run_id, multiplier)
+ SELECT run_id, multiplier, round(multiplier * 7, 6) AS cost_bps, round(multiplier * drag, 6) AS annual_drag, round(sh, 6) AS sharpe, round(cagr, 6) AS cagr, round(CASE WHEN g > 0 THEN g * 1e4 / 12 END, 4) AS break_even_bps, round(CASE WHEN g > 0 THEN g * 1e4 / 12 / 7 END, 4) AS buffer FROM a""")
 def cost_sensitivity(spark, d):
-    return r6(r6(T.cost_sensitivity(_one(spark, d), 12.0, 7.0), "cost_bps", "annual_drag", "sharpe", "cagr"), "break_even_bps", "buffer", digits=4)
+    return r6(r6(T.cost_sensitivity(stored_returns(spark, d), 12.0, 7.0, keys=("run_id",)), "cost_bps", "annual_drag", "sharpe", "cagr"), "break_even_bps", "buffer", digits=4)
 
 
-@query(f"""WITH {_ONE}, s AS (SELECT date, r - 0.0005::DOUBLE AS s FROM one), e AS (SELECT date, s, product(1 + s) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM s), f AS (SELECT *, e / max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)
- SELECT round(pow(product(1 + s), 252.0::DOUBLE / count(*)) - 1, 6) AS cagr, round(avg(s) / stddev_samp(s) * sqrt(252), 6) AS sharpe, round(stddev_samp(s) * sqrt(252), 6) AS vol, round(min(dd), 6) AS max_drawdown, avg(s) / stddev_samp(s) * sqrt(252) > 0 AS survives FROM f""")
+@query(f"""WITH {_RET}, s AS (SELECT run_id, date, r - 0.0005::DOUBLE AS s FROM ret), e AS (SELECT run_id, date, s, product(1 + s) OVER (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM s),
+ f AS (SELECT *, e / max(e) OVER (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)
+ SELECT run_id, round(pow(product(1 + s), 252.0::DOUBLE / count(*)) - 1, 6) AS cagr, round(avg(s) / stddev_samp(s) * sqrt(252), 6) AS sharpe, round(stddev_samp(s) * sqrt(252), 6) AS vol, round(min(dd), 6) AS max_drawdown, avg(s) / stddev_samp(s) * sqrt(252) > 0 AS survives FROM f GROUP BY run_id""")
 def cost_stress(spark, d):
-    return r6(T.cost_stress(_one(spark, d), 5.0, 2.0), "cagr", "sharpe", "vol", "max_drawdown")
+    return r6(T.cost_stress(stored_returns(spark, d), 5.0, 2.0, keys=("run_id",)), "cagr", "sharpe", "vol", "max_drawdown")
 
 
-_HOLD = "h AS (SELECT p_brand || p_partkey AS symbol, (p_size - 5)::DOUBLE AS weight, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice * 1000 ELSE 0 END AS adv, CASE WHEN p_partkey % 7 <> 0 THEN p_size / 1000.0::DOUBLE END AS sigma FROM part WHERE p_partkey <= 200)"
+_HOLD = "h AS (SELECT p_brand || p_partkey AS symbol, (p_size - 5)::DOUBLE AS weight, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice * 1000 ELSE 0 END AS adv, CASE WHEN p_partkey % 7 <> 0 THEN p_size / 1000.0::DOUBLE END AS sigma FROM part)"
 
 
 @query(f"""WITH {_HOLD}, t AS (SELECT sum(greatest(weight, 0)) AS tot, median(sigma) AS med FROM h), x AS (SELECT symbol, greatest(weight, 0) / tot AS w, adv, coalesce(sigma, med) AS v FROM h, t WHERE weight > 0 AND adv > 0),
  y AS (SELECT *, 1e6 * 8 / 252 * w / adv AS pct, least(pow(10 / 1e4 / v, 2), 1) * adv * 252 / (8 * w) AS cap FROM x)
  SELECT symbol, round(w, 8) AS weight, adv, round(v, 8) AS sigma, round(cap, 2) AS capacity, round(pct, 8) AS pct_adv, round(1e4 * v * sqrt(pct), 6) AS impact_bps, cap = min(cap) OVER () AS binding FROM y""")
 def capacity_estimate(spark, d):
-    p = B.table(spark, d, "part").where("p_partkey <= 200")
+    p = B.table(spark, d, "part")
     h = p.select(F.concat("p_brand", F.col("p_partkey").cast("string")).alias("symbol"), (F.col("p_size") - 5).cast("double").alias("weight"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice") * 1000).otherwise(F.lit(0.0)).alias("adv"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") / 1000.0).alias("sigma"))
     c = T.capacity(h, 8.0)
     return r6(r6(r6(c, "weight", "sigma", "pct_adv", digits=8), "capacity", digits=2), "impact_bps")
@@ -394,14 +388,14 @@ def _labels(spark, d):
     return R.features(_bench(spark, d)).select("date", F.when(t > 0, "bull").when(t > -5, "neutral").otherwise("bear").alias("label"))
 
 
-@query(f"""WITH {_LAB}, e AS (SELECT date, last_value(close IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) / 1000 + 1000 AS v FROM p WHERE symbol = 'ASIA'), e1 AS (SELECT * FROM e WHERE v IS NOT NULL),
- r AS (SELECT date, v / lag(v) OVER (ORDER BY date) - 1 AS r FROM e1), j AS (SELECT label, date, r FROM r JOIN lb USING (date) WHERE r IS NOT NULL),
- q AS (SELECT *, product(1 + r) OVER w AS e FROM j WINDOW w AS (PARTITION BY label ORDER BY date ROWS UNBOUNDED PRECEDING)), x AS (SELECT *, e / greatest(max(e) OVER (PARTITION BY label ORDER BY date ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM q)
- SELECT label, count(*) AS n_days, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(avg(r) / stddev_samp(CASE WHEN r < 0 THEN r END) * sqrt(252), 6) AS sortino, round(pow(product(1 + r), 252.0::DOUBLE / count(*)) - 1, 6) AS cagr,
- round(stddev_samp(r) * sqrt(252), 6) AS vol, round(min(dd), 6) AS max_drawdown, round(avg(CASE WHEN dd < -1e-12 THEN 1.0::DOUBLE ELSE 0 END), 6) AS time_under_water FROM x GROUP BY label HAVING count(*) >= 5""")
+@query(f"""WITH {_LAB}, e AS (SELECT symbol AS run_id, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) / 1000 + 1000 AS v FROM p), e1 AS (SELECT * FROM e WHERE v IS NOT NULL),
+ r AS (SELECT run_id, date, v / lag(v) OVER (PARTITION BY run_id ORDER BY date) - 1 AS r FROM e1), j AS (SELECT run_id, label, date, r FROM r JOIN lb USING (date) WHERE r IS NOT NULL),
+ q AS (SELECT *, product(1 + r) OVER w AS e FROM j WINDOW w AS (PARTITION BY run_id, label ORDER BY date ROWS UNBOUNDED PRECEDING)), x AS (SELECT *, e / greatest(max(e) OVER (PARTITION BY run_id, label ORDER BY date ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM q)
+ SELECT run_id, label, count(*) AS n_days, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(avg(r) / stddev_samp(CASE WHEN r < 0 THEN r END) * sqrt(252), 6) AS sortino, round(pow(product(1 + r), 252.0::DOUBLE / count(*)) - 1, 6) AS cagr,
+ round(stddev_samp(r) * sqrt(252), 6) AS vol, round(min(dd), 6) AS max_drawdown, round(avg(CASE WHEN dd < -1e-12 THEN 1.0::DOUBLE ELSE 0 END), 6) AS time_under_water FROM x GROUP BY run_id, label HAVING count(*) >= 5""")
 def regime_conditioned(spark, d):
-    m = R.conditioned_metrics(stored_equity(spark, d).where("run_id = 'ASIA'"), _labels(spark, d))
-    return r6(m, *m.columns[2:])
+    m = R.conditioned_metrics(stored_equity(spark, d), _labels(spark, d), keys=("run_id",))
+    return r6(m, *m.columns[3:])
 
 
 @query(f"""WITH {_LAB}, n AS (SELECT *, sum(c) OVER (ORDER BY date) AS run FROM (SELECT *, CASE WHEN label <> lag(label) OVER (ORDER BY date) THEN 1 ELSE 0 END AS c FROM lb)), g AS (SELECT label, run, count(*) AS l FROM n GROUP BY ALL)

@@ -33,21 +33,25 @@ def sessions(t: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> Da
 
 
 def running_ema(t: DataFrame, span: int) -> DataFrame:
-    """(symbol, seq, ema): exponential mean of each symbol's prices, carried in state across batches."""
+    """(symbol, seq, ema): exponential mean of each symbol's prices, carried in state across batches and over missing prices."""
     alpha = 2.0 / (span + 1)
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        y = state.get[0] if state.exists else None
+        y, w = state.get if state.exists else (None, 1.0)
         pdf = pd.concat(list(frames)).sort_values("seq")
         out = []
         for p in pdf["price"]:
-            y = float(p) if y is None else (1 - alpha) * y + alpha * float(p)
+            if not pd.isna(p):
+                # weights decay over gaps, as in the batch mean
+                y, w = (float(p), 1.0) if y is None else ((w * (1 - alpha) * y + alpha * float(p)) / (w * (1 - alpha) + alpha), 1.0)
+            elif y is not None:
+                w *= 1 - alpha
             out.append(y)
-        state.update((y,))
+        state.update((y, w))
         yield pd.DataFrame({"symbol": key[0], "seq": pdf["seq"].to_numpy(), "ema": out})
 
     ensure(t.sparkSession)
-    return t.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, ema double", "y double", "append", "NoTimeout")
+    return t.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, ema double", "y double, w double", "append", "NoTimeout")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
