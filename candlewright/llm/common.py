@@ -138,19 +138,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for shared files; one of our own only where it is unset, as in tests."""
+    """The folder that the cluster names for shared files; a folder of our own only where it is unset and all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "candlewright-shared")
-        spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return where.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write the table into the shared folder and read it again."""
+    return _written(df, what)[0]
+
+
+def _written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/cw-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made and that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -182,7 +194,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     x, y = F.col(a), F.col(b)
     e = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
-    e = written(e, "edges")
+    spark = edges.sparkSession
+    e, path = _written(e, "edges")
     last = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -196,7 +209,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = j.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             ms.select("u", F.col("m").alias("v"))
         )
-        e = written(small.where("u != v").distinct(), "edges")
+        old = path
+        e, path = _written(small.where("u != v").distinct(), "edges")
+        removed(spark, old)
         got = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (got["n"], got["s"]) == last:
             break
