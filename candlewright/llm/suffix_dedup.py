@@ -186,7 +186,6 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int, object]]]) -> Iterator[tupl
 def _runs(window: int, k: int, targets: int, most: int = 20_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold: list[tuple] = []
-        seen: tuple | None = None
 
         def flush():
             hold.sort(key=lambda x: x[0])
@@ -211,9 +210,6 @@ def _runs(window: int, k: int, targets: int, most: int = 20_000):
             ids = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
             packs = batch.column("packs")
             for i in range(len(batch)):
-                if seen == (h1[i], h2[i]):  # a repeated row of the same text
-                    continue
-                seen = (h1[i], h2[i])
                 raw = data[off[i] : off[i + 1]]
                 w = Words(raw, np.array([0, len(raw)]))
                 words = [raw[a:b].tobytes() for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
@@ -288,7 +284,19 @@ def _settle(keys_lcp: np.ndarray, lefts: list[bytes], meta: np.ndarray, window:
     return again, later
 
 
-def _merge(window: int):
+def _merge(window: int, most: int = 100_000):
+    """Merge the runs of each range and settle it piece by piece: a piece ends between anchors, after at least ``most`` suffixes."""
+
+    def settled(lcp, lefts, meta):
+        m = np.array(meta, np.int64).reshape(-1, 4)
+        again, later = _settle(np.array(lcp), lefts, m, window)
+        some = again > 0
+        if some.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(m[some, 0]), pa.array(m[some, 1]), pa.array(m[some, 3] >> 16), pa.array(again[some].view(np.int64)), pa.array(later[some].view(np.int64))],
+                names=["h1", "h2", "p", "again", "later"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold: dict[int, list[bytes]] = {}
         for batch in batches:
@@ -297,18 +305,13 @@ def _merge(window: int):
         for t in list(hold):
             lcp, lefts, meta = [], [], []
             for key, common, (left, m) in merge_runs([_open(b) for b in hold.pop(t)]):
+                if common < 8 and len(lefts) >= most:
+                    yield from settled(lcp, lefts, meta)
+                    lcp, lefts, meta = [], [], []
                 lcp.append(key.count(b" ", 8, common) if common >= 8 else -1)
                 lefts.append(left)
                 meta.append(m)
-            meta_ = np.array(meta, np.int64).reshape(-1, 4)
-            del meta
-            again, later = _settle(np.array(lcp), lefts, meta_, window)
-            some = again > 0
-            if some.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(meta_[some, 0]), pa.array(meta_[some, 1]), pa.array(meta_[some, 3] >> 16), pa.array(again[some].view(np.int64)), pa.array(later[some].view(np.int64))],
-                    names=["h1", "h2", "p", "again", "later"],
-                )
+            yield from settled(lcp, lefts, meta)
 
     return run
 
@@ -361,7 +364,7 @@ def _text_spans(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFr
     packs = twice.groupBy("h1", "h2").agg(F.collect_list("pack").alias("packs"))
     first = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
     cand = packs.join(first, ["h1", "h2"]).withColumnsRenamed({"h1": "c1", "h2": "c2"})
-    texts = keyed.join(cand, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = keyed.join(cand, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["h1", "h2"])
     targets = n_parts(spark)
     masks = (
         texts.select("doc_id", "text", "h1", "h2", "packs").mapInArrow(_runs(window, k, targets), "target int, run binary")
@@ -415,7 +418,7 @@ def cut_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = GRAM, text_changed: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
     """The documents with every repeat cut out of the text; all columns stay, ``n_chars`` (if there is one) follows the text.
 
     Documents of which no word is left go; NULL, empty and wordless texts stay as they are. See ``repeated_passages``.
@@ -436,9 +439,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = GRAM, text_ch
         for t, s, r in zip(text, spans, rank, strict=True):
             if t is None:
                 out.append(None)
-            elif r > 1 and len(t.split()) >= window:
-                raw = t.encode()
-                out.append("" if len(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))) >= window else t)
+            elif r > 1:
+                raw = np.frombuffer(t.encode(), np.uint8)
+                out.append("" if len(Words(raw, np.array([0, len(raw)]))) >= window else t)
             elif s is not None and len(s):
                 out.append(cut_text(t.encode(), [(x["s"], x["e"]) for x in s]).decode())
             else:
