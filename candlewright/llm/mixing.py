@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, n_parts, written
 
-DEFAULT_WEIGHT, SEED, SLICES = 1.0, 5, 4096
+DEFAULT_WEIGHT, SEED = 1.0, 5
 WORD = r"[^ \t\n\r\f]+"
 
 
@@ -51,12 +51,12 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, budget: i
     d = written(d.withColumn("part", F.substring("shuffle", 1, 3)), "mix")
     f = prefix_sum(d, ["source"], "part", ["shuffle", F.col("doc_id").asc_nulls_last(), "tokens", "row_key"], "tokens", "cum")
     f = f.withColumn("finish", F.col("cum") / weight).select("doc_id", "source", "tokens", "row_key", "finish")
-    f = written(f, "finish")
-    top = f.agg(F.max("finish").alias("top"), F.sum("tokens").alias("all")).first()
-    limit = budget if budget is not None else int((top["all"] or 0) * fraction)
-    width = max(top["top"] or 0.0, 1e-9)
-    f = f.withColumn("slot", F.floor(F.col("finish") / F.lit(width) * SLICES))
-    r = prefix_sum(f, [], "slot", ["finish", F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_last(), "tokens", "row_key"], "tokens", "running")
+    order = ["finish", F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_last(), "tokens", "row_key"]
+    # the ranges come from a sample of the finish times, so that a source with a tiny weight can't crowd the others into one
+    f = written(f.repartitionByRange(n_parts(docs.sparkSession), *order).withColumn("slot", F.spark_partition_id()), "finish")
+    total = f.agg(F.sum("tokens")).first()[0] or 0
+    limit = budget if budget is not None else int(total * fraction)
+    r = prefix_sum(f, [], "slot", order, "tokens", "running")
     return r.where(F.col("running") <= limit).drop("slot")
 
 
@@ -67,11 +67,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
 
 
 def select_mixture(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, fraction: float = 0.5, seed: int = SEED) -> DataFrame:
-    """The documents that ``schedule`` keeps, with all their columns, whatever their names. Of repeated rows as many stay as fit."""
+    """The documents that ``schedule`` keeps, with all their columns, whatever their names.
+
+    Of rows with the same id, source and text as many stay as fit, in the order of a hash of all their columns.
+    """
     s = schedule(docs, weights, budget, fraction, seed)
     key, other, n, rn = fresh(docs, "key", "other", "n", "rn")
     keep = s.groupBy(F.col("row_key").alias(other)).agg(F.count("*").alias(n))
     id_, src = F.col("doc_id").cast("long"), F.col("source").cast("string")
     d = docs.withColumn(key, F.xxhash64(id_, src, "text")).join(keep, F.col(key) == F.col(other))
-    d = d.withColumn(rn, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
+    d = d.withColumn(rn, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*(F.to_json(F.struct(F.col(c))) if "map<" in t else F.col(c) for c, t in docs.dtypes)))))
     return d.where(F.col(rn) <= F.col(n)).select(*docs.columns)
