@@ -11,6 +11,32 @@ from .mixing import prefix_sum
 BLOCK_IDS, SLICE_BLOCKS = 1024, 4096
 
 
+def even_flow(supply: list[int], capacity: list[int], same: list[int]) -> dict[tuple[int, int], int]:
+    """``min_cost_flow`` where a byte that stays costs 0 and any other 1: {(old, new): bytes}, without the zeros.
+
+    ``same`` gives the new shard that an old one is, or -1. Every flow in which each shard keeps what it can is a cheapest one, as
+    all other ways cost the same; surplus goes to room in the order of the shards. Linear in the number of shards.
+    """
+    if sum(supply) > sum(capacity):
+        raise ValueError("capacities are too small")
+    room, flow, left = list(capacity), {}, list(supply)
+    for i, j in enumerate(same):
+        if j >= 0 and (n := min(left[i], room[j])):
+            flow[i, j] = n
+            left[i] -= n
+            room[j] -= n
+    j = 0
+    for i, n in enumerate(left):
+        while n:
+            while not room[j]:
+                j += 1
+            x = min(n, room[j])
+            flow[i, j] = flow.get((i, j), 0) + x
+            n -= x
+            room[j] -= x
+    return flow
+
+
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[float]]) -> list[list[int]]:
     """Bytes from each old to each new shard at least total cost, by successive shortest paths (Bellman-Ford on residuals).
 
@@ -78,16 +104,21 @@ def plan(docs: DataFrame, capacities: dict[str, int] | None = None, extra: int =
         share = -(-sum(sizes.values()) // max(len(names), 1))
         capacities = dict.fromkeys(names, share)
     new = sorted(capacities)
-    cost = [[(costs or {}).get((a, b), 0.0 if a == b else 1.0) for b in new] for a in old]
-    flow = min_cost_flow([sizes[a] for a in old], [capacities[b] for b in new], cost)
+    supply, rooms, place = [sizes[a] for a in old], [capacities[b] for b in new], {b: j for j, b in enumerate(new)}
+    if costs:
+        dense = min_cost_flow(supply, rooms, [[costs.get((a, b), 0.0 if a == b else 1.0) for b in new] for a in old])
+        flow = {(i, j): n for i, row in enumerate(dense) for j, n in enumerate(row) if n}
+    else:
+        flow = even_flow(supply, rooms, [place.get(a, -1) for a in old])
+    goals: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), n in sorted(flow.items()):
+        goals.setdefault(i, []).append((j, n))
     stretches = []
     for i, a in enumerate(old):
         at = 0
-        for b in sorted(new, key=lambda b: (b != a, b)):
-            n = flow[i][new.index(b)]
-            if n:
-                stretches.append((a, b, at, at + n))
-                at += n
+        for j, n in sorted(goals.get(i, []), key=lambda x: (new[x[0]] != a, x[0])):
+            stretches.append((a, new[j], at, at + n))
+            at += n
         # empty documents behind the last byte go where the last byte is
         if stretches and stretches[-1][0] == a:
             stretches[-1] = (*stretches[-1][:3], 1 << 62)
@@ -105,20 +136,37 @@ def plan(docs: DataFrame, capacities: dict[str, int] | None = None, extra: int =
     )
 
 
-def rewrite(docs: DataFrame, out_dir: str, capacities: dict[str, int] | None = None, extra: int = 4, shard: str = "source", block_ids: int = BLOCK_IDS) -> DataFrame:
+def rewrite(
+    docs: DataFrame, out_dir: str, capacities: dict[str, int] | None = None, extra: int = 4, shard: str = "source", block_ids: int = BLOCK_IDS, costs: dict[tuple[str, str], float] | None = None
+) -> DataFrame:
     """Write the affected shards under ``out_dir`` (shard=<name>/) and return a manifest (shard, documents, bytes, rewritten).
 
     Only shards that give or get a block are written; for the others the manifest says rewritten = false and their old files
-    hold. Documents keep all columns. A document's place is that of ``plan``.
+    hold. Documents keep all columns. A document's place is that of ``plan``. A table that has a column "shard" is written under
+    another name (_cw_shard=<name>/).
     """
-    (new, key, k1, k2, kd) = fresh(docs, "new_shard", "old", "k_old", "k_block", "block")
-    p = plan(docs, capacities, extra, shard, block_ids)
-    places = written(p.select(F.col("old_shard").alias(k1), F.floor(F.coalesce("doc_id", F.lit(-1)) / block_ids).alias(k2), F.col("new_shard").alias(new)).distinct(), "places")
-    d = docs.withColumn(key, F.coalesce(F.col(shard).cast("string"), F.lit(""))).withColumn(kd, F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) / block_ids))
+    p = written(plan(docs, capacities, extra, shard, block_ids, costs), "plan")
+    return _rewritten(docs, p, out_dir, shard, block_ids)
+
+
+def _rewritten(docs: DataFrame, p: DataFrame, out_dir: str, shard: str, block_ids: int) -> DataFrame:
+    new, key, k1, k2, kd, hit, name = fresh(docs, "new_shard", "old", "k_old", "k_block", "block", "hit", "shard")
+    block = F.floor(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) / block_ids)
+    places = p.select(F.col("old_shard").alias(k1), block.alias(k2), F.col("new_shard").alias(new)).distinct()
+    moves = p.where("moved").select("old_shard", "new_shard").distinct()
+    touched = moves.select(F.col("old_shard").alias(hit)).union(moves.select("new_shard")).distinct()
+    places = written(places.join(touched, F.col(new) == F.col(hit), "left"), "places")
+    d = docs.withColumn(key, F.coalesce(F.col(shard).cast("string"), F.lit(""))).withColumn(kd, block)
     d = d.join(places, (F.col(key) == F.col(k1)) & (F.col(kd) == F.col(k2)))
-    moved = places.where(F.col(k1) != F.col(new))
-    touched = moved.select(F.col(k1).alias("shard")).union(moved.select(F.col(new).alias("shard"))).distinct()
-    hit = d.join(F.broadcast(touched.select(F.col("shard").alias("_touched"))), F.col(new) == F.col("_touched")).drop("_touched")  # shard names only
-    hit.select(*docs.columns, F.col(new).alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(out_dir) if "shard" not in {c.lower() for c in docs.columns} else hit.select(*docs.columns, F.col(new).alias("_new_shard")).write.mode("overwrite").partitionBy("_new_shard").parquet(out_dir)
-    stat = d.groupBy(F.col(new).alias("shard")).agg(F.count("*").alias("documents"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
-    return stat.join(touched.withColumn("rewritten", F.lit(True)), "shard", "left").select("shard", "documents", "bytes", F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
+    if "shard" not in {c.lower() for c in docs.columns}:
+        name = "shard"
+    d.where(F.col(hit).isNotNull()).select(*docs.columns, F.col(new).alias(name)).write.mode("overwrite").partitionBy(name).parquet(out_dir)
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
+    return d.groupBy(F.col(new).alias("shard")).agg(F.count("*").alias("documents"), size.alias("bytes"), F.max(F.col(hit).isNotNull()).alias("rewritten"))
+
+
+def reshard(docs: DataFrame, out_dir: str, capacities: dict[str, int] | None = None, extra: int = 4, shard: str = "source", block_ids: int = BLOCK_IDS) -> DataFrame:
+    """``plan``, carried out: the affected shards are written under ``out_dir`` (see ``rewrite``) and the plan is returned."""
+    p = written(plan(docs, capacities, extra, shard, block_ids), "plan")
+    _rewritten(docs, p, out_dir, shard, block_ids)
+    return p
