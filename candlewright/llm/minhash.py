@@ -5,7 +5,7 @@ register packs the leading-zero count of the bucket's least hash with ``MANTISSA
 hash-partitioned. Inside a bucket a sketch of one bit a register decides: members whose sketches agree beyond doubt are
 linked by a spanning tree, so thousands of copies cost a pass each and not a pair each; all further pairs that may reach the
 threshold become candidates. A candidate pair is then estimated from the full registers, collision-corrected, and what is left
-is proved by the exact Jaccard of the k-gram sets. Proved pairs give the groups (connected components). No bound on bucket or
+is proved by the exact Jaccard of the k-gram sets (64-bit hashes of the grams, made from the texts). Proved pairs give the groups (connected components). No bound on bucket or
 group size exists, and no task ever holds a whole group.
 """
 
@@ -69,7 +69,7 @@ def densify(r: np.ndarray) -> np.ndarray:
     t = 0
     while len(row):
         t += 1
-        src = (mix64(col.astype(U64) * U64(0x10001) + U64(t) * U64(0x9E3779B97F4A7C15)) % U64(m)).astype(np.int64)
+        src = (mix64(col.astype(U64) * U64(0x10001) + U64(t * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % U64(m)).astype(np.int64)
         got = r[row, src]
         out[row, col] = got
         more = got == 0
@@ -206,23 +206,8 @@ def _links(m: int, sure: int, least_same: int):
     return run
 
 
-GRAM_BYTES = 5
-
-
-def pack_grams(g: np.ndarray) -> np.ndarray:
-    """The upper 40 bits of each hash, five bytes each, in the given order."""
-    return np.ascontiguousarray((g >> U64(64 - 8 * GRAM_BYTES)).view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES])
-
-
-def unpack_grams(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8).reshape(-1, GRAM_BYTES)
-    out = np.zeros((len(b), 8), np.uint8)
-    out[:, :GRAM_BYTES] = b
-    return out.view(np.uint64).ravel()
-
-
 def _features(k: int, m: int):
-    """Registers and sorted k-gram hashes (40 bits) of each text."""
+    """Registers and number of distinct k-grams of each text, and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,22 +216,42 @@ def _features(k: int, m: int):
                 w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 d, g = shingles(w, k)
                 regs = registers(d, g, j - i, m)
-                g >>= U64(64 - 8 * GRAM_BYTES)
-                order = np.lexsort((g, d))
-                d, g = d[order], g[order]
-                new = np.ones(len(g), bool)
-                new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-                d, g = d[new], g[new]
-                cut = np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32)
-                flat = pack_grams(g << U64(64 - 8 * GRAM_BYTES))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid")[i:j], pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(np.diff(cut)), pa.array([flat[cut[q] : cut[q + 1]].tobytes() for q in range(j - i)], pa.binary())],
-                    names=["uid", "regs", "n", "grams"],
-                )
+                n = np.bincount(distinct(d, g)[0], minlength=j - i).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("uid")[i:j], pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(n), batch.column("text")[i:j]], names=["uid", "regs", "n", "text"])
 
     return run
 
 
+def distinct(d: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (row, hash), sorted."""
+    order = np.argsort(g, kind="stable")
+    order = order[np.argsort(d[order], kind="stable")]
+    d, g = d[order], g[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+    return d[new], g[new]
+
+
+def jaccard(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
+    """Exact Jaccard of the word k-gram sets of the texts in equal rows."""
+    out, sides = np.zeros(len(a)), []
+    for col in (a, b):
+        data, off = text_buffers(col)
+        sides.append((data, off))
+    both = sides[0][1] + sides[1][1]
+    for i, j in blocks(both):
+        ds, gs, ns = [], [], []
+        for data, off in sides:
+            d, g = distinct(*shingles(Words(data[off[i] : off[j]], off[i : j + 1] - off[i]), k))
+            ds.append(d)
+            gs.append(g)
+            ns.append(np.bincount(d, minlength=j - i))
+        d, _ = distinct(np.concatenate(ds), np.concatenate(gs))
+        union = np.bincount(d, minlength=j - i)
+        out[i:j] = (ns[0] + ns[1] - union) / np.maximum(union, 1)
+    return out
+
+
 def _estimated(m: int, threshold: float):
     """Pairs whose estimate isn't four standard errors below the threshold."""
 
@@ -261,17 +266,13 @@ def _estimated(m: int, threshold: float):
     return run
 
 
-def _proved(threshold: float):
+def _proved(k: int, threshold: float):
     """Pairs whose exact Jaccard reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            for i, (p, q) in enumerate(zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True)):
-                x, y = unpack_grams(p), unpack_grams(q)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = common >= threshold * (len(x) + len(y) - common) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+            ok = pa.array(jaccard(batch.column("ta"), batch.column("tb"), k) >= threshold - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
@@ -313,14 +314,14 @@ def _decide(docs: DataFrame, k: int, m: int, rows: int, threshold: float) -> tup
     feats = (
         keyed.join(suspects, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
         .withColumn("rn", F.row_number().over(one)).where("rn = 1").select(F.col("h1").alias("uid"), "text")
-        .mapInArrow(_features(k, m), "uid long, regs binary, n int, grams binary")
+        .mapInArrow(_features(k, m), "uid long, regs binary, n int, text string")
     )
     feats = written(feats, "features")
     ra = feats.select(F.col("uid").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     rb = feats.select(F.col("uid").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     likely = pairs.join(ra, "a").join(rb, "b").mapInArrow(_estimated(m, threshold), "a long, b long")
-    ga, gb = feats.select(F.col("uid").alias("a"), F.col("grams").alias("ga")), feats.select(F.col("uid").alias("b"), F.col("grams").alias("gb"))
-    linked = likely.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb").mapInArrow(_proved(threshold), "a long, b long")
+    ta, tb = (feats.select(F.col("uid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    linked = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_proved(k, threshold), "a long, b long")
     comp = components(linked)
     members = texts.join(comp, texts.h1 == comp.node).select("h1", "h2", "first_id", "root")
     best = F.struct(F.col("first_id").isNull().alias("z"), "first_id", "h1", "h2")
