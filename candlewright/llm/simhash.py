@@ -1,4 +1,9 @@
-"""SimHash fingerprints and exact Hamming search by permuted block tables."""
+"""SimHash fingerprints and exact Hamming search by permuted block tables.
+
+Each term of a text votes once, with the weight log2(1 + how often it occurs): a word that a text repeats counts for more, but the
+few words that every text of a language repeats don't drown the others. Equal votes for frequent words would bring unrelated
+texts within any radius that finds edited copies.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, small_batches, text_buffers
+from .common import U64, Words, blocks, mix64, small_batches, text_buffers, written
 
 RADIUS, BLOCKS = 3, 6
-#: What the registered query uses: of the sf0.1 documents with an inexact copy at word 3-gram Jaccard 0.7 or more, 93 % have one
-#: within 10 bits, 26 % within 3.
-NEAR_RADIUS, NEAR_BLOCKS = 10, 12
+#: What the registered query uses: of the sf0.1 documents with an inexact copy at word 3-gram Jaccard 0.7 or more, 87 % have one
+#: within 8 bits, 27 % within 3. The keys of its 165 tables are of 17 or 18 bits; a wider radius needs shorter ones.
+NEAR_RADIUS, NEAR_BLOCKS = 8, 11
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
 
 
@@ -26,13 +31,15 @@ def votes_to_fingerprint(votes: np.ndarray) -> np.ndarray:
 
 
 def simhash_block(w: Words) -> np.ndarray:
-    """Fingerprints of a block's rows. Each occurrence of a term votes with weight min(bytes of the term, 16)."""
-    h = w.hashes().view(np.uint8).reshape(-1, 8)
-    weight = np.minimum(w.ends - w.starts, 16).astype(np.float64)
+    """Fingerprints of a block's rows: each distinct term of a row votes with log2(1 + its count)."""
+    h = w.hashes()
+    _, at, n = np.unique(mix64(h + w.doc.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+    order = np.argsort(at)  # votes of a row add up in the order of its terms, whatever else the block holds
+    at, weight = at[order], np.log2(1.0 + n[order])
+    bytes_, row = h[at].view(np.uint8).reshape(-1, 8), w.doc[at] * 256
     votes = np.empty((w.n_docs, 64))
-    at = w.doc * 256
     for byte in range(8):
-        hist = np.bincount(at + h[:, byte], weights=weight, minlength=w.n_docs * 256).reshape(w.n_docs, 256)
+        hist = np.bincount(row + bytes_[:, byte], weights=weight, minlength=w.n_docs * 256).reshape(w.n_docs, 256)
         votes[:, byte * 8 : byte * 8 + 8] = hist @ _SIGNS
     return votes_to_fingerprint(votes)
 
@@ -62,49 +69,58 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def within_radius(fps: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) -> DataFrame:
-    """All pairs of distinct fingerprints that differ in at most ``radius`` bits: (simhash_a, simhash_b, hamming), a < b.
+def _meetings(fps: DataFrame, radius: int, n_blocks: int) -> DataFrame:
+    """(fp, other, hamming) both ways for all distinct fingerprints (column fp, not NULL) within the radius.
 
     64 bits are cut into ``n_blocks`` blocks; two fingerprints within the radius agree on at least ``n_blocks - radius`` of
     them, so a table for each such choice of blocks, keyed by their bits, finds every pair (recall 1). A pair that several
-    tables find is kept by the first table that agrees, so no distinct is needed. NULLs are left out.
+    tables find is kept by the first table that agrees, so no distinct is needed. A row is a fingerprint and the number of a
+    table; the key is computed from both on either side of the shuffle.
     """
     if not 0 <= radius < n_blocks:
         raise ValueError("radius must be below the number of blocks")
     block = _masks(n_blocks)
-    tables = [_signed(reduce(int.__or__, c)) for c in combinations(block, n_blocks - radius)]
-    d = fps.select(F.col("simhash").alias("fp")).where("simhash is not null").distinct()
-    rows = d.select("fp", F.posexplode(F.array(*[F.lit(t).cast("long") for t in tables])).alias("t", "mask")).select(
-        "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
-    )
+    chosen = list(combinations(range(n_blocks), n_blocks - radius))
+    masks = F.array(*[F.lit(_signed(reduce(int.__or__, [block[i] for i in c]))).cast("long") for c in chosen])
+    rows = fps.select("fp", F.explode(F.array(*[F.lit(t).cast("short") for t in range(len(chosen))])).alias("t"))
     a, b = rows.alias("a"), rows.alias("b")
+    key = [F.col(f"{x}.fp").bitwiseAND(masks[F.col(f"{x}.t").cast("int")]) for x in "ab"]
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    chosen = list(combinations(range(n_blocks), n_blocks - radius))
     bits = F.array(*[F.lit(sum(1 << i for i in c)) for c in chosen])
     upto = F.array(*[F.lit((2 << c[-1]) - 1) for c in chosen])
     agree = reduce(Column.bitwiseOR, [F.when(x.bitwiseAND(F.lit(_signed(m)).cast("long")) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(block)])
-    first = agree.bitwiseAND(upto[F.col("a.t")]) == bits[F.col("a.t")]  # no other block agrees before the table's last one
+    t = F.col("a.t").cast("int")
+    first = agree.bitwiseAND(upto[t]) == bits[t]  # no other block agrees before the table's last one
+    near = F.when(F.bit_count(x) <= radius, first).otherwise(False)
     return (
-        a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
-        .where((F.bit_count(x) <= radius) & first)
-        .select(F.col("a.fp").alias("simhash_a"), F.col("b.fp").alias("simhash_b"), F.bit_count(x).cast("int").alias("hamming"))
+        a.join(b, (F.col("a.t") == F.col("b.t")) & (key[0] == key[1]) & (F.col("a.fp") != F.col("b.fp")) & near)
+        .select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"), F.bit_count(x).cast("int").alias("hamming"))
     )
 
 
+def within_radius(fps: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) -> DataFrame:
+    """All pairs of distinct fingerprints that differ in at most ``radius`` bits: (simhash_a, simhash_b, hamming), a < b.
+
+    NULLs are left out, and a fingerprint that repeats counts once.
+    """
+    d = fps.select(F.col("simhash").alias("fp")).where("simhash is not null").distinct()
+    return _meetings(d, radius, n_blocks).where("fp < other").select(F.col("fp").alias("simhash_a"), F.col("other").alias("simhash_b"), "hamming")
+
+
 def similar_documents(docs: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) -> DataFrame:
-    """Every fingerprint with its neighbours, as lists of documents.
+    """Each document with its class and its links: (doc_id, simhash, class_id, n_same, n_links, nearest_id, hamming).
 
-    (simhash_a, simhash_b, hamming, docs_a, docs_b): one row for each pair of distinct fingerprints within the radius, and one
-    row with simhash_a = simhash_b and hamming 0 for each fingerprint that several rows share (docs_b is then empty). The
-    lists are sorted, repeated rows repeat in them, and NULL ids are left out of them.
+    A class is all documents of one fingerprint; class_id is its least doc_id, n_same how many rows it has. n_links counts the
+    other fingerprints within the radius, every one of them; the nearest of these (ties: the least fingerprint) is given by its
+    class_id and its distance, both NULL where there is none. A NULL text or one without words has a NULL fingerprint, no class
+    and NULL figures. Repeated rows stay repeated; NULL ids count in n_same and are a class_id only where the class has no other.
     """
-    f = fingerprints(docs).where("simhash is not null")
-    by = f.groupBy("simhash").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"), F.count("*").alias("n"))
-    pairs = within_radius(f, radius, n_blocks)
-    a = by.select(F.col("simhash").alias("simhash_a"), F.col("docs").alias("docs_a"))
-    b = by.select(F.col("simhash").alias("simhash_b"), F.col("docs").alias("docs_b"))
-    near = pairs.join(a, "simhash_a").join(b, "simhash_b")
-    same = by.where("n > 1").select(
-        F.col("simhash").alias("simhash_a"), F.col("simhash").alias("simhash_b"), F.lit(0).alias("hamming"), F.col("docs").alias("docs_a"), F.array().cast("array<bigint>").alias("docs_b")
+    f = written(fingerprints(docs), "fingerprints")
+    by = f.where("simhash is not null").groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_same"))
+    links = _meetings(by.select("fp"), radius, n_blocks).groupBy("fp").agg(F.count("*").alias("n_links"), F.min(F.struct("hamming", "other")).alias("near"))
+    near = links.select("fp", "n_links", F.col("near.hamming").alias("hamming"), F.col("near.other").alias("other"))
+    reps = by.select(F.col("fp").alias("other"), F.col("class_id").alias("nearest_id"))
+    classes = by.join(near.join(reps, "other").drop("other"), "fp", "left")
+    return f.join(classes, f.simhash == classes.fp, "left").select(
+        "doc_id", "simhash", "class_id", "n_same", F.when(F.col("fp").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"), "nearest_id", "hamming"
     )
-    return near.select("simhash_a", "simhash_b", "hamming", "docs_a", "docs_b").union(same)
