@@ -57,8 +57,12 @@ def adjust(raw: DataFrame) -> DataFrame:
     return d.select("symbol", "date", *((F.col(c) * F.col("_pf")).alias(c) for c in PRICES), (F.col("volume") * F.col("_vf")).alias("volume"))
 
 
-def _dates(c: str = "date"):
-    return F.concat_ws(", ", F.transform(F.slice(F.array_sort(F.collect_list(c)), 1, LISTED), lambda x: F.date_format(x, "yyyy-MM-dd")))
+def _listed(days: DataFrame, kind: str) -> DataFrame:
+    """An issue a symbol from its days (symbol, date), each once: how many there are, and the first five."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    d = days.withColumns({"_i": F.row_number().over(w)})
+    first = F.array_sort(F.collect_list(F.when(F.col("_i") <= LISTED, F.date_format("date", "yyyy-MM-dd"))))
+    return d.groupBy("symbol").agg(F.count("*").alias("n"), F.concat_ws(", ", first).alias("detail")).select("symbol", F.lit(kind).alias("kind"), F.lit("warning").alias("severity"), "n", "detail")
 
 
 def quality_issues(bars: DataFrame, requested: DataFrame | None = None, calendar_days: DataFrame | None = None, max_gap_days: int = 5) -> DataFrame:
@@ -66,10 +70,18 @@ def quality_issues(bars: DataFrame, requested: DataFrame | None = None, calendar
 
     bars: symbol, date, fields and, where order matters, ``ordinal``. requested: symbol, start, end. With calendar_days (date) the
     exact checks run (missing_days, unexpected_session), without it the gap check; never both. Errors stop a load, warnings
-    don't. At most five dates are listed.
+    don't. At most five dates are listed. A field that the table lacks is an issue of every symbol (missing_column) and isn't
+    checked further.
     """
     day = F.to_date("date")
     out = []
+    lacking = [c for c in (*PRICES, "volume") if c not in bars.columns]
+    if lacking:
+        names = F.explode(F.array(*(F.lit(c) for c in lacking))).alias("detail")
+        gone = bars.select("symbol").distinct().select("symbol", names)
+        out.append(gone.select("symbol", F.lit("missing_column").alias("kind"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n"), "detail"))
+        # neutral values, so that only what is there is judged
+        bars = bars.withColumns({c: F.lit(1.0) if c == "volume" else F.coalesce(*(F.col(p) for p in PRICES if p in bars.columns), F.lit(1.0)) for c in lacking})
 
     if requested is not None:
         out.append(requested.join(bars, "symbol", "left_anti").select("symbol", F.lit("empty").alias("kind"), F.lit("error").alias("severity"), F.lit(0).cast("long").alias("n"), F.lit("").alias("detail")))
@@ -77,9 +89,10 @@ def quality_issues(bars: DataFrame, requested: DataFrame | None = None, calendar
         back = bars.withColumn("_b", F.lag("date").over(Window.partitionBy("symbol").orderBy("ordinal")) > F.col("date"))
         out.append(back.groupBy("symbol").agg(F.sum(F.coalesce("_b", F.lit(False)).cast("long")).alias("n")).where("n > 0").select("symbol", F.lit("unsorted").alias("kind"), F.lit("error").alias("severity"), "n", F.lit("").alias("detail")))
     # one pass for all that is counted row by row
-    checks = {f"nan_{c}": (F.col(c).isNull() | F.isnan(c), "nan", "warning", c) for c in PRICES}
-    checks |= {f"pos_{c}": (F.col(c) <= 0, "nonpositive_price", "warning", c) for c in PRICES}
-    checks |= {"hl": (F.col("high") < F.col("low"), "high_lt_low", "error", ""), "vol": (F.coalesce(F.nanvl("volume", F.lit(0.0)), F.lit(0.0)) <= 0, "zero_volume", "warning", "")}
+    checks = {f"nan_{c}": (F.col(c).isNull() | F.isnan(c), "nan", "warning", c) for c in PRICES if c not in lacking}
+    checks |= {f"pos_{c}": (F.col(c) <= 0, "nonpositive_price", "warning", c) for c in PRICES if c not in lacking}
+    checks |= {} if {"high", "low"} & set(lacking) else {"hl": (F.col("high") < F.col("low"), "high_lt_low", "error", "")}
+    checks |= {} if "volume" in lacking else {"vol": (F.coalesce(F.nanvl("volume", F.lit(0.0)), F.lit(0.0)) <= 0, "zero_volume", "warning", "")}
     counted = [F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(k) for k, (c, *_) in checks.items()]
     flat = bars.groupBy("symbol").agg(*counted, (F.count("*") - F.count_distinct("date")).alias("dup"))
     checks["dup"] = (None, "duplicate_dates", "error", "")
@@ -91,10 +104,10 @@ def quality_issues(bars: DataFrame, requested: DataFrame | None = None, calendar
         cal = calendar_days.select("date")
         due = span.join(F.broadcast(cal), F.col("date").between(F.col("d0"), F.col("d1"))).select("symbol", "date")  # a calendar: one row a day
         for frame, kind in ((due.join(have, ["symbol", "date"], "left_anti"), "missing_days"), (have.join(cal, "date", "left_anti"), "unexpected_session")):
-            out.append(frame.groupBy("symbol").agg(F.count("*").alias("n"), _dates().alias("detail")).select("symbol", F.lit(kind).alias("kind"), F.lit("warning").alias("severity"), "n", "detail"))
+            out.append(_listed(frame, kind))
     else:
         gap = have.withColumn("g", F.date_diff("date", F.lag("date").over(Window.partitionBy("symbol").orderBy("date")))).where(F.col("g") > max_gap_days)
-        out.append(gap.groupBy("symbol").agg(F.count("*").alias("n"), _dates().alias("detail")).select("symbol", F.lit("calendar_gap").alias("kind"), F.lit("warning").alias("severity"), "n", "detail"))
+        out.append(_listed(gap, "calendar_gap"))
     if requested is not None:
         j = span.join(requested, "symbol")
         if calendar_days is not None:

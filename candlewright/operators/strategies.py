@@ -119,28 +119,22 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     f.__name__: f
     for f in (sma_crossover, ema_crossover, macd, donchian_breakout, atr_breakout, mean_reversion, bollinger_bands, rsi_2, momentum_12_1, dual_momentum, kalman_trend, regime_filter, buy_and_hold)
 }
-def _grids(text: str) -> dict[str, dict[str, list]]:
-    """Lines of "strategy parameter=value/value ..."; whole numbers are ints."""
-    num = lambda v: float(v) if "." in v or "e" in v else int(v)
-    rows = [line.split() for line in text.strip().splitlines()]
-    return {r[0]: {k: [num(v) for v in vs.split("/")] for k, vs in (x.split("=") for x in r[1:])} for r in rows}
-
-
-GRIDS = _grids("""
-sma_crossover fast=10/20/30/50 slow=100/150/200
-ema_crossover fast=8/12/20 slow=26/50
-macd fast=8/12 signal=9 slow=21/26
-donchian_breakout exit_period=10/20 entry_period=20/55
-atr_breakout k=1.5/2.0/3.0 lookback=14/20
-mean_reversion exit_z=0.0 entry_z=1.5/2.0 lookback=10/20
-bollinger_bands k=1.5/2.0/2.5 lookback=20/30
-rsi_2 trend_sma=100/200 entry_rsi=5.0/10.0 exit_rsi=60.0/70.0
-momentum_12_1 quantile=0.3/0.5 lookback=126/252
-dual_momentum quantile=0.3/0.5 lookback=126/252
-kalman_trend delta=1e-5/1e-4/1e-3
-regime_filter trend_lookback=50/100
-buy_and_hold
-""")
+#: The grid that a sweep takes where none is given; a strategy without parameters has none.
+GRIDS: dict[str, dict[str, list]] = {
+    "sma_crossover": dict(slow=[100, 150, 200], fast=[5, 10, 20, 50]),
+    "ema_crossover": dict(slow=[26, 50, 100], fast=[8, 12, 20]),
+    "macd": dict(signal=[9], slow=[21, 26], fast=[8, 12]),
+    "donchian_breakout": dict(exit_period=[10, 20], entry_period=[20, 40, 55]),
+    "atr_breakout": dict(k=[1.5, 2.0, 3.0], lookback=[14, 20, 30]),
+    "mean_reversion": dict(exit_z=[0.0], entry_z=[1.5, 2.0, 2.5], lookback=[10, 20, 30]),
+    "bollinger_bands": dict(k=[1.5, 2.0, 2.5], lookback=[10, 20, 30]),
+    "rsi_2": dict(trend_sma=[200], exit_rsi=[65.0, 70.0], entry_rsi=[5.0, 10.0, 15.0], period=[2, 3]),
+    "momentum_12_1": dict(quantile=[0.2, 0.3], skip=[21], lookback=[126, 252]),
+    "dual_momentum": dict(threshold=[0.0], quantile=[0.3, 0.5], lookback=[126, 252]),
+    "kalman_trend": dict(meas_var=[1e-3], delta=[1e-5, 1e-4, 1e-3]),
+    "regime_filter": dict(feature_window=[21, 63], trend_lookback=[50, 100, 200]),
+    "buy_and_hold": {},
+}
 
 
 def load_strategy(path: str) -> Callable[..., DataFrame]:

@@ -34,6 +34,16 @@ def ge(a: str, b: str) -> str:
     return f"coalesce(({a}) - ({b}) >= greatest(abs({a}), abs({b})) * -1e-12, false)"
 
 
+def phi(z: str) -> str:
+    """Standard normal distribution function, the same rational approximation."""
+    from candlewright.operators.stats import PHI_BOTTOM, PHI_SWITCH, PHI_TOP, ROOT_TAU
+
+    x, (top, bottom) = f"abs({z})", (("(" * (len(k) - 1)) + f"{k[0]!r}::DOUBLE" + "".join(f" * x + {c!r}::DOUBLE)" for c in k[1:]) for k in (PHI_TOP, PHI_BOTTOM))
+    body = f"CASE WHEN x > 37 THEN 0 WHEN x < {PHI_SWITCH!r} THEN exp(-x * x / 2) * {top} / {bottom} ELSE exp(-x * x / 2) / (x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65::DOUBLE))))) / {ROOT_TAU!r} END"
+    body = body.replace(" x ", f" {x} ").replace("(x ", f"({x} ").replace("-x ", f"-{x} ")
+    return f"(CASE WHEN {z} > 0 THEN 1 - ({body}) WHEN {z} IS NOT NULL THEN {body} END)"
+
+
 def rising(s: str) -> str:
     return f"({s} AND NOT coalesce(lag({s}) OVER {W}, false))"
 

@@ -134,7 +134,16 @@ def _mom(x: str) -> str:
     return f"{Q.ORDER_PANEL}, x AS (SELECT *, round({x} - 1, 9) AS x FROM p), b AS (SELECT *, {_RANK} AS r FROM x)"
 
 
+_Q = "(1e-4::DOUBLE / (1 - 1e-4::DOUBLE) * 1e-3::DOUBLE)"
+#: Level and slope of the log price and their covariance, bar by bar: first what is predicted, then what the price adds.
+_KALMAN = f"""{Q.PANEL}, kf AS (SELECT symbol, rn, date, CASE WHEN close > 0 THEN ln(close) END AS lv, 0.0::DOUBLE AS sl, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS c FROM p WHERE rn = 1
+ UNION ALL SELECT symbol, rn, date, CASE WHEN l0 IS NULL THEN x WHEN x IS NULL THEN l0 ELSE l0 + a0 / (a0 + 1e-3) * (x - l0) END, CASE WHEN l0 IS NULL OR x IS NULL THEN sl ELSE sl + b0 / (a0 + 1e-3) * (x - l0) END,
+ CASE WHEN l0 IS NULL THEN 1 WHEN x IS NULL THEN a0 ELSE (1 - a0 / (a0 + 1e-3)) * a0 END, CASE WHEN l0 IS NULL THEN 0 WHEN x IS NULL THEN b0 ELSE (1 - a0 / (a0 + 1e-3)) * b0 END, CASE WHEN l0 IS NULL THEN 1 WHEN x IS NULL THEN c0 ELSE c0 - b0 / (a0 + 1e-3) * b0 END
+ FROM (SELECT p.symbol, p.rn, p.date, CASE WHEN p.close > 0 THEN ln(p.close) END AS x, kf.lv + kf.sl AS l0, kf.sl, kf.a + 2 * kf.b + kf.c + {_Q} AS a0, kf.b + kf.c AS b0, kf.c + {_Q} AS c0 FROM kf JOIN p ON p.symbol = kf.symbol AND p.rn = kf.rn + 1)),
+ b AS (SELECT symbol, rn, date, CASE WHEN lv IS NOT NULL THEN sl END AS k FROM kf)"""
+
 _STRATEGY_SQL = {
+    "kalman_trend": state_sql("coalesce(k > 0, false)", _KALMAN, "b"),
     "sma_crossover": _GRAPH_SQL["sma_crossover"],
     "ema_crossover": _GRAPH_SQL["ema_crossover"],
     "macd": state_sql(Q.gt("m", "g"), _MACD, "b"),

@@ -170,9 +170,14 @@ def fdr_control(spark, d):
     return r6(T.benjamini_hochberg(p).select("run_id", "q_value", "significant"), "q_value")
 
 
-@query()
+_MOM = f"""{_RET}, mo AS (SELECT run_id, count(r) AS n, avg(r) / stddev_samp(r) AS sr, avg(pow(r - m, 3)) / pow(var_pop(r), 1.5) AS skew, avg(pow(r - m, 4)) / pow(var_pop(r), 2) AS kurt FROM (SELECT *, avg(r) OVER (PARTITION BY run_id) AS m FROM ret) GROUP BY run_id),
+ se AS (SELECT *, sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12) / (n - 1)) AS s FROM mo)"""
+
+
+@query(f"WITH {_MOM}, z AS (SELECT *, sr / s AS z FROM se) SELECT run_id, n AS n_obs, round(sr, 8) AS sr_period, round(s, 8) AS sigma_sr, round({Q.phi('z')}, 8) AS psr, round(1 - {Q.phi('z')}, 8) AS p_value FROM z")
 def probabilistic_sharpe(spark, d):
-    return T.probabilistic_sharpe(T.moments(stored_returns(spark, d), ("run_id",)))
+    p = T.probabilistic_sharpe(T.moments(stored_returns(spark, d), ("run_id",)))
+    return r6(p.select("run_id", "n_obs", "sr_period", "sigma_sr", "psr", "p_value"), "sr_period", "sigma_sr", "psr", "p_value", digits=8)
 
 
 @query(f"WITH {_RET} SELECT run_id, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe FROM ret GROUP BY run_id")
@@ -180,8 +185,19 @@ def annual_sharpe(spark, d):
     return r6(T.annual_sharpe(stored_returns(spark, d), ("run_id",)), "sharpe")
 
 
-@query()
+#: The accounts as trials: one for each region that has orders.
+_TRIALS = 5
+_STAR = (1 - T.EULER) * T.inv_phi(1 - 1 / _TRIALS) + T.EULER * T.inv_phi(1 - 1 / (_TRIALS * 2.718281828459045))
+
+
+@query(f"""WITH {_MOM}, st AS (SELECT sqrt(var_samp(sr)) * {_STAR!r}::DOUBLE AS star, count(*) AS k FROM mo), z AS (SELECT se.*, star, k, (sr - star) / s AS z FROM se, st)
+ SELECT run_id, n AS n_obs, k AS n_trials, round(star, 8) AS sr_star, round({Q.phi('z')}, 8) AS dsr FROM z""")
 def deflated_sharpe(spark, d):
+    return r6(T.deflated_sharpe(W.run_stats(stored_equity(spark, d))).select("run_id", "n_obs", "n_trials", "sr_star", "dsr"), "sr_star", "dsr", digits=8)
+
+
+@query()
+def deflated_sharpe_of_sweep(spark, d):
     return T.deflated_sharpe(W.run_stats(M.simulate(W.grid_signals(panel(spark, d), "sma_crossover", _COMBOS), CFG)))
 
 
@@ -218,6 +234,34 @@ def walk_forward(spark, d):
     return W.walk_forward(panel(spark, d), {"fast": [3, 5], "slow": [20]}, 3, 0.5, 20, CFG)[0]
 
 
+@query()
+def walk_forward_strategy(spark, d):
+    """Any strategy: here one that reads highs and lows."""
+    return W.walk_forward(panel(spark, d), {"entry_period": [10, 20], "exit_period": [5]}, 3, 0.5, 20, CFG, strategy="donchian_breakout")[0]
+
+
+@query(f"""WITH {_MOM}, z AS (SELECT run_id, n, least(greatest(1 - {Q.phi('sr / s')}, 0), 1) AS p FROM se), o AS (SELECT *, row_number() OVER (ORDER BY p, run_id) AS i, count(*) OVER () AS m FROM z),
+ q AS (SELECT run_id, n, p, least(min(p * m / i) OVER (ORDER BY p, run_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS q FROM o) SELECT run_id, n AS n_obs, round(p, 8) AS p_value, round(q, 8) AS q_value, q <= 0.05 AS significant FROM q""")
+def selection_significance(spark, d):
+    return r6(W.significance(stored_equity(spark, d)), "p_value", "q_value", digits=8)
+
+
+@query()
+def sweep_selection(spark, d):
+    return W.sweep(panel(spark, d), "sma_crossover", SPACE, CFG, selection=True)
+
+
+@query()
+def sweep_summary(spark, d):
+    s, _ = W.selection_summary(panel(spark, d), "sma_crossover", SPACE, CFG)
+    return spark.createDataFrame([tuple(None if v is None else str(v) for v in s.values())], ", ".join(f"{k} string" for k in s))
+
+
+@query()
+def oos_inference(spark, d):
+    return W.oos_inference(stored_equity(spark, d).withColumn("fold_id", F.col("run_id")).select("fold_id", "date", "value"), 200)
+
+
 @query()
 def walk_forward_stitched(spark, d):
     return W.stitch(W.walk_forward(panel(spark, d), {"fast": [3, 5], "slow": [20]}, 3, 0.5, 20, CFG)[1])
@@ -439,17 +483,21 @@ _BOOK = """t AS (SELECT n_name AS symbol, n_nationkey % 9 / 40 AS weight FROM na
  x AS (SELECT n_name AS symbol, 10.0::DOUBLE + n_nationkey AS price FROM nation WHERE n_nationkey % 5 <> 0)"""
 
 
-@query(f"""WITH {_BOOK}, j AS (SELECT coalesce(t.symbol, o.symbol) AS symbol, greatest(coalesce(weight, 0), 0) AS w, coalesce(q, 0) AS q FROM t FULL JOIN o ON t.symbol = o.symbol), k AS (SELECT j.*, price, least(w, least(0.10::DOUBLE, 25000 / 50000.0::DOUBLE)) AS c FROM j JOIN x USING (symbol)),
- m AS (SELECT symbol, q AS current_shares, c * 50000 / price AS target_shares, price, c < w AS capped FROM k), z AS (SELECT *, target_shares - current_shares AS dl FROM m)
- SELECT row_number() OVER (ORDER BY dl > 0, symbol) AS seq, symbol, CASE WHEN dl > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(abs(dl), 6) AS quantity, round(current_shares, 6) AS current_shares, round(target_shares, 6) AS target_shares, price, round(abs(dl) * price, 6) AS notional, capped FROM z WHERE abs(dl) * price >= 1""")
+_PLAN = f"""{_BOOK}, j AS (SELECT coalesce(t.symbol, o.symbol) AS symbol, greatest(coalesce(weight, 0), 0) AS w, coalesce(q, 0) AS q FROM t FULL JOIN o ON t.symbol = o.symbol), k AS (SELECT j.*, price, least(w, least(0.10::DOUBLE, 25000 / 50000.0::DOUBLE)) AS c FROM j JOIN x USING (symbol)),
+ m AS (SELECT symbol, q AS current_shares, c * 50000 / price AS target_shares, price, c < w AS capped FROM k), z AS (SELECT *, target_shares - current_shares AS dl FROM m)"""
+_PLAN_ROWS = """SELECT row_number() OVER (ORDER BY dl > 0, symbol) AS seq, symbol, CASE WHEN dl > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(abs(dl), 6) AS quantity, round(current_shares, 6) AS current_shares, round(target_shares, 6) AS target_shares, price, round(abs(dl) * price, 6) AS notional, capped FROM z WHERE abs(dl) * price >= 1"""
+
+
+@query(f"WITH {_PLAN} {_PLAN_ROWS}")
 def rebalance_plan(spark, d):
     o = K.plan_rebalance(*_book(spark, d), 50_000.0)
     return r6(o, "quantity", "current_shares", "target_shares", "notional")
 
 
-@query()
+@query(f"""WITH {_PLAN}, w AS (SELECT row_number() OVER (ORDER BY dl > 0, symbol) AS seq, symbol, CASE WHEN dl > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(dl) AS quantity FROM z WHERE abs(dl) * price >= 1)
+ SELECT seq, substr(sha256('2024-01-31|' || symbol || '|' || side || '|' || format('{{:,.6f}}', quantity)), 1, 24) AS client_id, symbol, side, round(quantity, 6) AS quantity, 'dry_run' AS status FROM w""")
 def execution_dry_run(spark, d):
-    return K.dry_run(K.plan_rebalance(*_book(spark, d), 50_000.0), "2024-01-31")
+    return r6(K.dry_run(K.plan_rebalance(*_book(spark, d), 50_000.0), "2024-01-31"), "quantity")
 
 
 @query(f"""WITH {_BOOK}, h AS (SELECT symbol, q * price / 50000 AS c FROM o JOIN x USING (symbol)), j AS (SELECT coalesce(t.symbol, h.symbol) AS symbol, coalesce(weight, 0) AS t, coalesce(c, 0) AS c FROM t FULL JOIN h ON t.symbol = h.symbol)

@@ -420,3 +420,83 @@ def test_dry_run_ids_repeat(spark):
     o = spark.createDataFrame([(1, "A", "BUY", 2.0), (2, "B", "SELL", 2.0)], "seq int, symbol string, side string, quantity double")
     a, b = (sorted(r["client_id"] for r in K.dry_run(o, "2024-01-01").collect()) for _ in range(2))
     assert a == b and len(set(a)) == 2
+
+
+# comparisons, selection, any strategy in walk-forward
+def test_comparison_does_not_depend_on_the_size_of_prices(spark):
+    counts = []
+    for scale in (100.0, 1e-8):
+        rows = [("A", datetime(2020, 1, 1) + timedelta(days=i), float(scale * (1 + 0.1 * np.sin(i / 4)))) for i in range(150)]
+        p = spark.createDataFrame(rows, "symbol string, date timestamp_ntz, close double")
+        s = S.sma_crossover(p, 3, 10).collect()
+        counts.append((sum(r["entry"] for r in s), sum(r["exit"] for r in s)))
+    assert counts[0] == counts[1] and counts[0][0] > 3
+    x = spark.createDataFrame([(0.1 + 0.2, 0.3), (1.0, 1.0 + 1e-9), (None, 1.0)], "a double, b double").select(I.gt(F.col("a"), F.col("b")).alias("gt"), I.ge(F.col("a"), F.col("b")).alias("ge"), I.lt(F.col("a"), F.col("b")).alias("lt"))
+    assert [tuple(r) for r in x.collect()] == [(False, True, False), (False, False, True), (False, False, False)]
+
+
+def test_normal_distribution_function(spark):
+    import math
+
+    z = [-40.0, -9.0, -7.5, -2.3, -1e-3, 0.0, 0.7, 3.1, 8.0, 38.0, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(T.phi(F.col("z"))).collect()]
+    for x, y in zip(z, got, strict=True):
+        assert (y is None) if x is None else y == pytest.approx(0.5 * math.erfc(-x / math.sqrt(2)), rel=1e-12, abs=1e-15)
+
+
+def test_sweep_goes_on_past_a_bad_combination(spark):
+    p = walk(spark, 150)
+    r = W.sweep(p, "atr_breakout", {"lookback": [5, "x"], "k": [1.0]}, selection=True).collect()
+    by = {x["run_id"]: x for x in r}
+    assert len(r) == 2 and by[0]["error"] is None and by[0]["rank"] == 1 and by[1]["rank"] is None and by[1]["error"] and by[1]["sharpe"] is None
+    assert 0 <= by[0]["p_value"] <= by[0]["q_value"] <= 1
+    with pytest.raises(ValueError):
+        W.sweep(p, "atr_breakout", {"lookback": ["x"], "k": [1.0]})
+
+
+def test_selection_summary_agrees_with_its_parts(spark):
+    p = walk(spark, 260)
+    space = {"fast": [2, 3], "slow": [8, 12]}
+    s, eq = W.selection_summary(p, "sma_crossover", space)
+    runs = W.sweep(p, "sma_crossover", space, selection=True).orderBy("rank").collect()
+    assert s["run_id"] == runs[0]["run_id"] and s["value"] == runs[0]["sharpe"] and s["p_value"] == pytest.approx(runs[0]["p_value"])
+    assert s["n_runs"] == 4 and s["n_failed"] == 0 and s["n_tests"] + s["n_untested"] == 4 and 0 <= s["pbo"] <= 1 and s["dsr"] <= s["psr"] and s["ci_low"] <= s["ci_high"]
+    assert eq.count() == 260
+
+
+@pytest.mark.parametrize(("strategy", "space"), [("momentum_12_1", {"lookback": [20, 30], "skip": [2]}), ("donchian_breakout", {"entry_period": [10], "exit_period": [5]})])
+def test_walk_forward_of_any_strategy_equals_slices_of_their_own(spark, monkeypatch, strategy, space):
+    p = walk(spark, 300, ("A", "B", "C"))
+    rows = lambda: sorted((tuple(r) for r in W.walk_forward(p, space, 3, 0.5, 20, strategy=strategy)[0].collect()))
+    at_once = rows()
+    monkeypatch.setattr(W, "MARKET_WIDE", (strategy,))
+    assert rows() == at_once and len(at_once) == 2
+
+
+def test_oos_significance_and_inference(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, datetime(2020, 1, 1) + timedelta(days=100 * k + i), v) for k in range(3) for i, v in enumerate((100 * np.cumprod(1 + rng.normal(0.002 * k, 0.01, 60))).tolist())]
+    oos = spark.createDataFrame([*rows, (9, datetime(2021, 5, 1), 1.0)], "fold_id int, date timestamp_ntz, value double")
+    s = {r["fold_id"]: r for r in W.oos_significance(oos).collect()}
+    assert set(s) == {0, 1, 2} and s[2]["p_value"] < s[0]["p_value"] and all(r["n_obs"] == 59 for r in s.values())
+    i = W.oos_inference(oos, 200).first()
+    assert i["n_obs"] == 177 and i["ci_low"] < i["sharpe"] < i["ci_high"]
+
+
+def test_missing_column_is_an_issue(spark):
+    b = spark.createDataFrame([("A", datetime(2020, 1, 6), 1.0, -1.0), ("A", datetime(2020, 1, 7), None, 1.0)], "symbol string, date timestamp_ntz, close double, low double")
+    got = {(r["kind"], r["detail"], r["severity"], r["n"]) for r in P.quality_issues(b).collect()}
+    assert {("missing_column", c, "error", 1) for c in ("open", "high", "volume")} <= got and {k for k, *_ in got} == {"missing_column", "nan", "nonpositive_price"}
+
+
+def test_streaming_mean_skips_missing_prices(spark, tmp_path):
+    from candlewright.streaming import bars as ST
+
+    rows = [("a", i, p) for i, p in enumerate([1.0, None, 2.0, None, None, 4.0])] + [("b", i, p) for i, p in enumerate([None, 3.0])]
+    spark.createDataFrame(rows, "symbol string, seq long, price double").repartition(1).write.parquet(f"file://{tmp_path}/t")
+    t = spark.readStream.schema("symbol string, seq long, price double").parquet(f"file://{tmp_path}/t")
+    got = {(r["symbol"], r["seq"]): r["ema"] for r in ST.run_available(ST.running_ema(t, 3), "ema_gaps", "append", f"file://{tmp_path}/c").collect()}
+    for k in ("a", "b"):
+        want = I.ewm(np.array([np.nan if p is None else p for s, _, p in rows if s == k]), 0.5)
+        for i, y in enumerate(want):
+            assert got[k, i] is None or np.isnan(got[k, i]) if np.isnan(y) else got[k, i] == pytest.approx(y)
