@@ -147,6 +147,68 @@ def report(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("n"), F.avg("sharpe").alias("avg_sharpe"), F.avg("cagr").alias("avg_cagr"), F.max_by("strategy_id", "sharpe").alias("best"), F.min("max_drawdown").alias("deepest"), F.min_by("strategy_id", "max_drawdown").alias("deepest_id"))
 
 
+#: What a report lists the best three of: label, metric, whether it is a share.
+DIMENSIONS = (("Sharpe", "sharpe", False), ("CAGR", "cagr", True), ("Shallowest drawdown", "max_drawdown", True), ("Profit factor", "profit_factor", False), ("Calmar", "calmar", False))
+
+
+def ranking(results: DataFrame, by: str = "sharpe", top: int = 20) -> DataFrame:
+    """The results by a metric, best first, with their rank (a top-k report); the shallowest drawdown is the best."""
+    best = results.orderBy(F.col(by).desc_nulls_last(), "strategy_id").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(by).desc_nulls_last(), "strategy_id")))  # at most ``top`` rows
+
+
+def best_by_dimension(results: DataFrame, k: int = 3) -> DataFrame:
+    """(dimension, place, strategy_id, value): the best k of each dimension that the results have; one pass and one sort by dimension."""
+    have = [(m, label) for label, m, _ in DIMENSIONS if m in results.columns]
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("dimension"), F.col(m).cast("double").alias("value")) for m, _ in have))).alias("d")
+    w = Window.partitionBy("dimension").orderBy(F.col("value").desc_nulls_last(), "strategy_id")
+    return results.select("strategy_id", rows).select("d.dimension", "strategy_id", "d.value").where("value is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("dimension", "place", "strategy_id", "value")
+
+
+def report_markdown(results: DataFrame, by: str = "sharpe", top: int = 20, title: str = "Backtest report") -> str:
+    """The report as Markdown: averages, extremes, the ranking and the best three of each dimension."""
+    a = report(results).first()
+    if not a["n"]:
+        return f"# {title}\n\nNo results.\n"
+    cols = [c for c in ("cagr", "sharpe", "sortino", "calmar", "max_drawdown", "ulcer_index", "n_trades", "win_rate", "profit_factor") if c in results.columns]
+    share = {m for _, m, pct in DIMENSIONS if pct} | {"win_rate"}
+    fmt = lambda c, v: "" if v is None else f"{v:.2%}" if c in share else f"{v:d}" if isinstance(v, int) else f"{v:.2f}"
+    lines = [f"# {title}", "", f"Results: {a['n']}, by {by}", "", f"- mean Sharpe {a['avg_sharpe']:.2f}, mean CAGR {a['avg_cagr']:.2%}", f"- best Sharpe: {a['best']}", f"- deepest drawdown: {a['deepest_id']} ({a['deepest']:.2%})", ""]
+    lines += [f"## Ranking by {by}", "", "| rank | strategy | " + " | ".join(cols) + " |", "| ---: | --- |" + " ---: |" * len(cols)]
+    lines += [f"| {r['rank']} | {r['strategy_id']} | " + " | ".join(fmt(c, r[c]) for c in cols) + " |" for r in ranking(results, by, top).orderBy("rank").collect()]
+    lines += ["", "## Best by dimension", ""]
+    tops: dict[str, list[str]] = {}
+    for r in best_by_dimension(results).orderBy("place").collect():
+        tops.setdefault(r["dimension"], []).append(f"{r['strategy_id']} ({fmt(r['dimension'], r['value'])})")
+    lines += [f"- {label}: {', '.join(tops[m])}" for label, m, _ in DIMENSIONS if m in tops]
+    return "\n".join(lines) + "\n"
+
+
+def load_governance(path: str) -> dict:
+    """Targets and guardrails from a JSON or YAML file, over the defaults; names that no one knows are an error."""
+    g = _mapping(path)
+    unknown = sorted(set(g) - set(GOVERNANCE))
+    if unknown:
+        raise ValueError(f"{path}: unknown targets {', '.join(unknown)}")
+    return {**GOVERNANCE, **{k: float(v) for k, v in g.items()}}
+
+
+def _mapping(path: str) -> dict:
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        got = json.loads(text)
+    else:
+        import yaml
+
+        got = yaml.safe_load(text)
+    if not isinstance(got, dict):
+        raise ValueError(f"{path} doesn't hold a mapping")
+    return got
+
+
 def dry_run(orders: DataFrame, as_of: str) -> DataFrame:
     """What would be sent: each order with an id that is the same for the same day, symbol, side and quantity; nothing is sent."""
     key = F.concat_ws("|", F.lit(as_of), "symbol", "side", F.format_number("quantity", 6))

@@ -51,6 +51,11 @@ class Portfolio:
     cash: float
     warnings: list[str] = field(default_factory=list)
 
+    @property
+    def effective_n(self) -> float:
+        """Number of equal shares of risk that are as concentrated as these: 1 over the sum of their squares."""
+        return 1 / total if (total := sum(s * s for *_, s in self.contributions)) > 0 else 0.0
+
 
 def common(returns: DataFrame) -> DataFrame:
     """(symbol, date, r) on the dates that every symbol has."""

@@ -271,13 +271,40 @@ def factor_attribution(x: DataFrame, y: str, factors: list[str], order: str = "d
     }
 
 
-def rolling_attribution(x: DataFrame, y: str, factor: str, window: int = 126, step: int = 5, periods_per_year: float = 252.0) -> DataFrame:
-    """One factor, window by window: (date, alpha_annual, beta, r_squared), every ``step`` rows from the first full window on."""
+def rolling_attribution(x: DataFrame, y: str, factor: str | list[str], window: int = 126, step: int = 5, periods_per_year: float = 252.0) -> DataFrame:
+    """Least squares window by window: (date, alpha_annual, beta, r_squared), every ``step`` rows from the first full window on.
+
+    With a list of factors beta is an array in their order. The sums of squares and products are windows in the JVM; the few
+    windows that are reported solve their small system in an Arrow batch. Rows with a missing value take no part.
+    """
     w = Window.orderBy("date")
     f = w.rowsBetween(-(window - 1), 0)
-    d = x.select("date", F.col(y).alias("_y"), F.col(factor).alias("_x"), F.row_number().over(w).alias("i"))
-    d = d.select("date", "i", (F.regr_intercept("_y", "_x").over(f) * periods_per_year).alias("alpha_annual"), F.regr_slope("_y", "_x").over(f).alias("beta"), F.regr_r2("_y", "_x").over(f).alias("r_squared"))
-    return d.where((F.col("i") >= window) & ((F.col("i") - window) % step == 0)).drop("i")
+    if isinstance(factor, str):
+        d = x.select("date", F.col(y).alias("_y"), F.col(factor).alias("_x"), F.row_number().over(w).alias("i"))
+        d = d.select("date", "i", (F.regr_intercept("_y", "_x").over(f) * periods_per_year).alias("alpha_annual"), F.regr_slope("_y", "_x").over(f).alias("beta"), F.regr_r2("_y", "_x").over(f).alias("r_squared"))
+        return d.where((F.col("i") >= window) & ((F.col("i") - window) % step == 0)).drop("i")
+    k = len(factor)
+    if step < 1 or not k or window < k + 10:
+        raise ValueError(f"{k} factors need a window of {k + 10} observations, and a step of 1 at least")
+    ensure(x.sparkSession)
+    cols = [y, *factor]
+    d = x.where(" and ".join(f"`{c}` is not null" for c in cols)).select("date", *(F.col(c).alias(f"_{i}") for i, c in enumerate(cols)), F.row_number().over(w).alias("i"))
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    m = [F.avg(f"_{i}").over(f).alias(f"a{i}") for i in range(k + 1)] + [F.covar_pop(f"_{i}", f"_{j}").over(f).alias(f"c{i}_{j}") for i, j in pairs]
+    d = d.select("date", "i", *m).where((F.col("i") >= window) & ((F.col("i") - window) % step == 0))
+
+    def solve(batches):
+        for pdf in batches:
+            n = len(pdf)
+            mean, c = pdf[[f"a{i}" for i in range(k + 1)]].to_numpy(), np.zeros((n, k + 1, k + 1))
+            for i, j in pairs:
+                c[:, i, j] = c[:, j, i] = pdf[f"c{i}_{j}"]
+            beta = (np.linalg.pinv(c[:, 1:, 1:], hermitian=True) @ c[:, 1:, :1])[..., 0]
+            explained = np.einsum("nk,nk->n", beta, c[:, 0, 1:])
+            r2 = np.where(c[:, 0, 0] > 1e-24, explained / np.where(c[:, 0, 0] > 1e-24, c[:, 0, 0], 1), 0.0)
+            yield pd.DataFrame({"date": pdf["date"], "alpha_annual": (mean[:, 0] - (beta * mean[:, 1:]).sum(1)) * periods_per_year, "beta": list(beta), "r_squared": r2})
+
+    return d.mapInPandas(solve, f"date {x.schema['date'].dataType.simpleString()}, alpha_annual double, beta array<double>, r_squared double")
 
 
 def safe_corr(x: str, y: str, over=None) -> Column:
@@ -288,9 +315,11 @@ def safe_corr(x: str, y: str, over=None) -> Column:
 
 
 def correlations(returns: DataFrame) -> DataFrame:
-    """(a, b, corr) of every pair of symbols over the dates that all have; 0 for one without spread."""
+    """(a, b, corr) of every pair of symbols over the dates that all have, three at least; 0 for one without spread."""
     n = returns.select("symbol").distinct().count()
     common = returns.groupBy("date").agg(F.count("r").alias("c")).where(F.col("c") == n).select("date")
+    if len(common.limit(3).collect()) < 3:
+        raise ValueError("correlations need three days that all symbols have")
     d = returns.join(common, "date", "left_semi")
     a, b = d.select("date", F.col("symbol").alias("a"), F.col("r").alias("ra")), d.select("date", F.col("symbol").alias("b"), F.col("r").alias("rb"))
     return a.join(b, "date").groupBy("a", "b").agg(F.coalesce(safe_corr("ra", "rb"), F.lit(0.0)).alias("corr"))
@@ -370,8 +399,8 @@ def estimate_turnover(n_trades: int, n_periods: int, weight: float = 1.0, period
 def capacity(holdings: DataFrame, turnover_annual: float, aum: float = 1e6, max_impact_bps: float = 10.0, coefficient: float = 1.0, periods_per_year: float = 252.0) -> DataFrame:
     """Square-root impact by symbol from (symbol, weight, adv, sigma): capacity, share of volume and impact at ``aum``, which binds.
 
-    Weights are floored at 0 and normalised; symbols without volume are left out; a missing sigma is the others' median; the
-    share of volume that the impact allows is at most 1.
+    Weights are floored at 0 and normalised; symbols without volume have no row (``capacity_gaps`` lists them); a missing sigma is
+    the others' median; the share of volume that the impact allows is at most 1.
     """
     h = holdings.withColumn("w", F.greatest("weight", F.lit(0.0)))
     s = h.agg(F.sum("w").alias("tot"), F.median("sigma").alias("med"))
@@ -383,20 +412,40 @@ def capacity(holdings: DataFrame, turnover_annual: float, aum: float = 1e6, max_
     return d.withColumn("binding", F.coalesce(F.col("capacity") == F.min("capacity").over(Window.partitionBy(F.lit(1))), F.lit(False)))
 
 
+def capacity_gaps(holdings: DataFrame) -> DataFrame:
+    """(symbol, weight, warning) of the held symbols whose capacity isn't known: no_volume, or sigma_assumed where it is the median's."""
+    total = holdings.agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("tot"))
+    gap = F.when(F.col("adv").isNull() | (F.col("adv") <= 0), "no_volume").when(F.col("sigma").isNull(), "sigma_assumed")
+    return holdings.where("weight > 0").crossJoin(total).select("symbol", (F.col("weight") / F.col("tot")).alias("weight"), gap.alias("warning")).where("warning is not null")
+
+
 #: (provider, delivers delisted names, trustworthy as of a date)
 PROVIDERS = [("openbb_yfinance", False, False), ("openbb_fmp", False, True), ("openbb_polygon", True, True), ("openbb_intrinio", True, True), ("openbb_alphavantage", False, False), ("tiingo", False, False), ("manual", False, False)]
 
 
 def survivorship(universes: DataFrame, today: str, stale_days: int = 180) -> DataFrame:
-    """(universe, risk, audit_stale, n_reasons) from (universe, provider, delisted_included, point_in_time, last_audit_date).
+    """(universe, risk, audit_stale, reasons, recommendations, n_reasons) from (universe, provider, delisted_included, point_in_time, last_audit_date).
 
-    Delisted names included: LOW; excluded: HIGH; unknown: by the provider (delivers them: MEDIUM, doesn't: HIGH, not known:
-    UNKNOWN). An audit older than ``stale_days`` or missing downgrades LOW to MEDIUM.
+    Delisted names included: LOW, and MEDIUM where the provider can't be trusted as of a date or the audit is older than
+    ``stale_days`` or missing; excluded: HIGH; not known: UNKNOWN. Reasons and recommendations are codes, in the order of the checks.
     """
-    p = universes.sparkSession.createDataFrame(PROVIDERS, "provider string, delivers boolean, trust boolean")
+    p = universes.sparkSession.createDataFrame(PROVIDERS, "provider string, delivers boolean, trust boolean").withColumn("listed", F.lit(True))
     d = universes.join(F.broadcast(p), "provider", "left")  # a fixed table of providers
     stale = F.col("last_audit_date").isNull() | (F.date_diff(F.lit(today).cast("date"), "last_audit_date") > stale_days)
-    base = F.when(F.col("delisted_included"), "LOW").when(~F.col("delisted_included"), "HIGH").when(F.col("delivers"), "MEDIUM").when(~F.col("delivers"), "HIGH").otherwise("UNKNOWN")
-    d = d.withColumns({"audit_stale": stale, "_b": base})
-    n = 1 + F.coalesce(~F.col("point_in_time"), F.lit(True)).cast("int") + F.col("audit_stale").cast("int")
-    return d.select("universe", F.when((F.col("_b") == "LOW") & F.col("audit_stale"), "MEDIUM").otherwise(F.col("_b")).alias("risk"), "audit_stale", n.alias("n_reasons"))
+    inc, dated = F.col("delisted_included"), F.coalesce("point_in_time", F.lit(False))
+    low, doubt = F.coalesce(inc, F.lit(False)), ~F.coalesce("trust", F.lit(True))
+    known = F.coalesce("listed", F.lit(False))
+    reasons = F.array_compact(F.array(
+        F.when(inc, "delisted_included").when(~inc, "survivors_only").otherwise("delisted_unknown"), F.when(low & ~dated, "not_point_in_time"), F.when(low & doubt, "provider_not_trusted"),
+        F.when(known & ~F.coalesce("delivers", F.lit(True)), "provider_omits_delisted"), F.when(~known & (F.length("provider") > 0), "provider_unknown"), F.when(stale, "audit_stale")))
+    advice = F.array_compact(F.array(
+        F.when(low & ~dated, "verify_membership_dates").when(~inc, "rerun_without_survivorship").when(inc.isNull(), "declare_delisted_included"), F.when(stale, "renew_audit")))
+    risk = F.when(low & (doubt | stale), "MEDIUM").when(low, "LOW").when(~inc, "HIGH").otherwise("UNKNOWN")
+    return d.select("universe", risk.alias("risk"), stale.alias("audit_stale"), reasons.alias("reasons"), advice.alias("recommendations"), F.size(reasons).alias("n_reasons"))
+
+
+def log_returns(prices: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys..., date, r): logs of the close over the one before; NULL where either is missing or not above 0."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    up = F.when(F.col("close") > 0, F.ln("close"))
+    return prices.select(*keys, "date", (up - F.lag(up).over(w)).alias("r"))

@@ -377,14 +377,18 @@ def capacity_estimate(spark, d):
 _UNIV = "u AS (SELECT s_name AS universe, CASE s_suppkey % 4 WHEN 0 THEN 'tiingo' WHEN 1 THEN 'openbb_polygon' WHEN 2 THEN 'manual' ELSE 'other' END AS provider, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS inc, CASE s_suppkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS pit, CASE WHEN s_suppkey % 6 <> 0 THEN DATE '2026-01-01' - (s_suppkey % 400)::INT END AS au FROM supplier)"
 
 
-@query(f"""WITH {_UNIV}, x AS (SELECT *, au IS NULL OR DATE '2026-01-01' - au > 180 AS st, CASE WHEN inc THEN 'LOW' WHEN NOT inc THEN 'HIGH' WHEN provider = 'openbb_polygon' THEN 'MEDIUM' WHEN provider IN ('tiingo', 'manual') THEN 'HIGH' ELSE 'UNKNOWN' END AS b FROM u)
- SELECT universe, CASE WHEN b = 'LOW' AND st THEN 'MEDIUM' ELSE b END AS risk, st AS audit_stale, 1 + CASE WHEN coalesce(pit, false) THEN 0 ELSE 1 END + st::INT AS n_reasons FROM x""")
+@query(f"""WITH {_UNIV}, x AS (SELECT *, au IS NULL OR DATE '2026-01-01' - au > 180 AS st, provider IN ('tiingo', 'manual') AS doubt FROM u)
+ SELECT universe, CASE WHEN inc AND (doubt OR st) THEN 'MEDIUM' WHEN inc THEN 'LOW' WHEN NOT inc THEN 'HIGH' ELSE 'UNKNOWN' END AS risk, st AS audit_stale,
+ concat_ws(',', CASE WHEN inc THEN 'delisted_included' WHEN NOT inc THEN 'survivors_only' ELSE 'delisted_unknown' END, CASE WHEN inc AND NOT coalesce(pit, false) THEN 'not_point_in_time' END, CASE WHEN inc AND doubt THEN 'provider_not_trusted' END,
+  CASE WHEN doubt THEN 'provider_omits_delisted' END, CASE WHEN provider = 'other' THEN 'provider_unknown' END, CASE WHEN st THEN 'audit_stale' END) AS reasons,
+ concat_ws(',', CASE WHEN inc AND NOT coalesce(pit, false) THEN 'verify_membership_dates' WHEN NOT inc THEN 'rerun_without_survivorship' WHEN inc IS NULL THEN 'declare_delisted_included' END, CASE WHEN st THEN 'renew_audit' END) AS recommendations FROM x""")
 def survivorship_audit(spark, d):
     k = F.col("s_suppkey")
     u = B.table(spark, d, "supplier").select(
         F.col("s_name").alias("universe"), F.when(k % 4 == 0, "tiingo").when(k % 4 == 1, "openbb_polygon").when(k % 4 == 2, "manual").otherwise("other").alias("provider"),
         F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("delisted_included"), F.when(k % 5 == 0, True).when(k % 5 == 1, False).alias("point_in_time"), F.when(k % 6 != 0, F.date_sub(F.lit("2026-01-01").cast("date"), (k % 400).cast("int"))).alias("last_audit_date"))
-    return T.survivorship(u, "2026-01-01")
+    a = T.survivorship(u, "2026-01-01")
+    return a.select("universe", "risk", "audit_stale", *(F.concat_ws(",", c).alias(c) for c in ("reasons", "recommendations")))
 
 
 # regimes
@@ -587,6 +591,13 @@ def report(spark, d):
     return r6(K.report(r).select("n", "avg_sharpe", "avg_cagr", "deepest").crossJoin(r.agg(F.max("sharpe").alias("top"))), "avg_sharpe", "avg_cagr", "deepest", "top")
 
 
+@query(f"""WITH {_RES}, z AS (SELECT strategy_id, unnest(['sharpe', 'cagr', 'max_drawdown', 'profit_factor']) AS dimension, unnest([sharpe, cagr, max_drawdown, profit_factor]::DOUBLE[]) AS value FROM (SELECT strategy_id || ':' || seq AS strategy_id, sharpe, cagr, max_drawdown, profit_factor FROM rs))
+ SELECT * FROM (SELECT dimension, row_number() OVER (PARTITION BY dimension ORDER BY value DESC NULLS LAST, strategy_id) AS place, strategy_id, round(value, 9) AS value FROM z WHERE value IS NOT NULL) WHERE place <= 3""")
+def report_best(spark, d):
+    r = _results(spark, d).withColumn("strategy_id", F.concat_ws(":", "strategy_id", "seq"))
+    return r6(K.best_by_dimension(r), "value", digits=9)
+
+
 # streaming
 def _ticks(spark, d):
     return ST.ticks(spark, f"{d}/events*.parquet", spark.read.parquet(f"{d}/events.parquet").schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,21 @@ def parse_alpha(rows: DataFrame, symbol: str | None = None, payload: str = "payl
     return x.where(F.col("published_at").isNotNull() & (F.length("headline") > 0)).withColumn("label", sentiment_label(F.col("sentiment")))
 
 
-def point_in_time(items: DataFrame, as_of: str, time_col: str = "published_at") -> DataFrame:
-    """What was published strictly before a moment, newest first."""
+def dropped_after(items: DataFrame, as_of: str, time_col: str = "published_at") -> int:
+    """How many items ``point_in_time`` leaves out: those of the moment or later, and those without a time."""
+    kind = items.schema[time_col].dataType
+    return items.where(F.col(time_col).isNull() | (F.col(time_col) >= F.lit(as_of).cast(kind))).count()
+
+
+def revised_series(macro: DataFrame) -> DataFrame:
+    """(series_id, n_revised): days that a series reports with several values; such a series has to be read as of a date."""
+    n = macro.groupBy("series_id", "date").agg(F.count_distinct("value").alias("n"))
+    return n.where("n > 1").groupBy("series_id").agg(F.count("*").alias("n_revised"))
+
+
+def point_in_time(items: DataFrame, as_of: str, time_col: str = "published_at", zoned: bool = False) -> DataFrame:
+    """What was published strictly before a moment, newest first. With ``zoned`` a moment without a zone is an error."""
+    if zoned and not re.search(r"(Z|[+-]\d{2}:?\d{2})$", as_of.strip()):
+        raise ValueError(f"{as_of} has no time zone")
     kind = items.schema[time_col].dataType
     return items.where(F.col(time_col) < F.lit(as_of).cast(kind)).orderBy(F.desc(time_col))

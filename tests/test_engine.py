@@ -1,5 +1,6 @@
 """Closed forms, hand-computed accounts, causality, validation and known-truth recovery."""
 
+import json
 import math
 from datetime import datetime, timedelta
 
@@ -500,3 +501,75 @@ def test_streaming_mean_skips_missing_prices(spark, tmp_path):
         want = I.ewm(np.array([np.nan if p is None else p for s, _, p in rows if s == k]), 0.5)
         for i, y in enumerate(want):
             assert got[k, i] is None or np.isnan(got[k, i]) if np.isnan(y) else got[k, i] == pytest.approx(y)
+
+
+# reports, audits, loaders
+def test_report_lists_ranking_and_best(spark, tmp_path):
+    rows = [(f"s{i}", 0.1 * i, 0.2 - 0.05 * i, -0.1 * (i + 1), 1.0 + i) for i in range(5)] + [("none", None, None, None, None)]
+    r = spark.createDataFrame(rows, "strategy_id string, sharpe double, cagr double, max_drawdown double, profit_factor double")
+    best = {(x["dimension"], x["place"]): x["strategy_id"] for x in K.best_by_dimension(r).collect()}
+    assert [best["sharpe", k] for k in (1, 2, 3)] == ["s4", "s3", "s2"] and best["max_drawdown", 1] == "s0" and len(best) == 12
+    assert [x["strategy_id"] for x in K.ranking(r, "cagr", 2).orderBy("rank").collect()] == ["s0", "s1"]
+    text = K.report_markdown(r, "sharpe", 3)
+    assert "| 1 | s4 |" in text and "- Shallowest drawdown: s0 (-10.00%), s1" in text and "No results" in K.report_markdown(r.limit(0))
+
+
+def test_survivorship_gives_reasons_and_advice(spark):
+    day = datetime(2025, 12, 1).date()
+    rows = [("a", "openbb_polygon", True, True, day), ("b", "tiingo", True, None, day), ("c", "x", False, None, None), ("d", None, None, None, day)]
+    u = spark.createDataFrame(rows, "universe string, provider string, delisted_included boolean, point_in_time boolean, last_audit_date date")
+    got = {r["universe"]: r for r in T.survivorship(u, "2026-01-01").collect()}
+    assert [got[k]["risk"] for k in "abcd"] == ["LOW", "MEDIUM", "HIGH", "UNKNOWN"]
+    assert list(got["a"]["reasons"]) == ["delisted_included"] and list(got["a"]["recommendations"]) == []
+    assert list(got["b"]["reasons"]) == ["delisted_included", "not_point_in_time", "provider_not_trusted", "provider_omits_delisted"]
+    assert list(got["c"]["reasons"]) == ["survivors_only", "provider_unknown", "audit_stale"] and list(got["c"]["recommendations"]) == ["rerun_without_survivorship", "renew_audit"]
+    assert list(got["d"]["recommendations"]) == ["declare_delisted_included"]
+
+
+def test_rolling_attribution_of_two_factors_equals_least_squares(spark):
+    rng = np.random.default_rng(8)
+    f = rng.normal(size=(80, 2))
+    y = 0.01 + f @ np.array([0.5, -2.0]) + rng.normal(size=80) * 0.1
+    rows = [(datetime(2020, 1, 1) + timedelta(days=i), float(y[i]), float(f[i, 0]), float(f[i, 1])) for i in range(80)]
+    d = spark.createDataFrame(rows, "date timestamp_ntz, y double, a double, b double")
+    got = T.rolling_attribution(d, "y", ["a", "b"], 30, 7).orderBy("date").collect()
+    ends = list(range(30, 81, 7))
+    assert len(got) == len(ends)
+    for r, e in zip(got, ends, strict=True):
+        x = np.column_stack([np.ones(30), f[e - 30 : e]])
+        b, *_ = np.linalg.lstsq(x, y[e - 30 : e], rcond=None)
+        res = y[e - 30 : e] - x @ b
+        assert r["alpha_annual"] == pytest.approx(b[0] * 252) and np.allclose(r["beta"], b[1:]) and r["r_squared"] == pytest.approx(1 - res @ res / ((y[e - 30 : e] - y[e - 30 : e].mean()) ** 2).sum())
+    with pytest.raises(ValueError):
+        T.rolling_attribution(d, "y", ["a", "b"], 5)
+
+
+def test_cost_and_governance_files(spark, tmp_path):
+    good = {"default_class": "etf", "classes": {"etf": {"fees_bps": 1, "slippage_bps": 2, "spread_bps": 3}}, "symbols": {"SPY": "etf"}, "symbol_overrides": {"QQQ": {"fees_bps": 0, "slippage_bps": 1, "spread_bps": 1}}}
+    path = tmp_path / "costs.json"
+    path.write_text(json.dumps(good))
+    classes, of, over, default = P.load_costs(spark, str(path))
+    r = {x["symbol"]: x for x in P.resolve_costs(spark.createDataFrame([("SPY",), ("QQQ",)], "symbol string"), over, of, classes, default).collect()}
+    assert r["SPY"]["total_bps"] == pytest.approx(1 + 2 + 1.5) and r["QQQ"]["fees_bps"] == 0
+    for broken in ({"classes": {}}, good | {"default_class": "x"}, good | {"symbols": {"A": "x"}}, good | {"classes": {"etf": {"fees_bps": 1}}}):
+        path.write_text(json.dumps(broken))
+        with pytest.raises(ValueError):
+            P.load_costs(spark, str(path))
+    path.write_text('{"sharpe": 1.5}')
+    assert K.load_governance(str(path))["sharpe"] == 1.5 and K.load_governance(str(path))["min_trades"] == 30
+    path.write_text('{"sharp": 1.5}')
+    with pytest.raises(ValueError):
+        K.load_governance(str(path))
+
+
+def test_point_in_time_counts_what_it_drops(spark):
+    n = spark.createDataFrame([(datetime(2024, 1, d),) for d in (1, 2, 3)] + [(None,)], "published_at timestamp")
+    assert X.point_in_time(n, "2024-01-03 00:00:00").count() == 2 and X.dropped_after(n, "2024-01-03 00:00:00") == 2
+    with pytest.raises(ValueError):
+        X.point_in_time(n, "2024-01-03 00:00:00", zoned=True)
+    m = spark.createDataFrame([("s", 1, 1.0), ("s", 1, 2.0), ("s", 2, 1.0), ("t", 1, 1.0)], "series_id string, date int, value double")
+    assert [tuple(r) for r in X.revised_series(m).collect()] == [("s", 1)]
+    p = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 0.0), ("a", 4, 1.0)], "symbol string, date int, close double")
+    assert [r["r"] for r in T.log_returns(p).orderBy("date").collect()] == [None, pytest.approx(math.log(2)), None, None]
+    h = spark.createDataFrame([("a", 1.0, 5.0, None), ("b", 3.0, None, 0.1), ("c", 1.0, 1.0, 0.1)], "symbol string, weight double, adv double, sigma double")
+    assert {(r["symbol"], r["warning"]) for r in T.capacity_gaps(h).collect()} == {("a", "sigma_assumed"), ("b", "no_volume")}
