@@ -3,7 +3,9 @@
 Observations are words, known by their 64-bit hash. The model's table (a row of expected counts for every word of the corpus) is
 kept in ranges of the hash and never in one place, so it grows with the vocabulary. Blocks of documents are encoded once. In each
 round of Baum-Welch a block gets the rows of its own words, and sends back what it counted for them; both travel as arrays, one
-for each block and range. Scoring is the scaled forward recursion over each whole document, exact for the model.
+for each block and range. In the table and on its way a word's counts are its number of occurrences and the shares of the states
+in it, these in half precision (11 bits, nothing below 3e-8). Scoring is the scaled forward recursion over each whole document in
+double precision, exact for the model in the table.
 """
 
 from __future__ import annotations
@@ -17,17 +19,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel, TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix64, n_parts, shared_dir, small_batches, text_buffers
+from .common import U64, Words, blocks, mix64, shared_dir, small_batches, text_buffers
 
 STATES, SMOOTH = 8, 0.01
 #: Training ends when two rounds running add less than so many nats a word to the corpus log likelihood, the later one no more.
 TOLERANCE = 0.005
+#: One document of so many, chosen by a hash of its row, is in the first guess.
+WARM = 32
+#: The gain at which the rounds of the first guess end.
+WARM_TOLERANCE = 0.02
 #: Bytes of text in an encoded block, words that one recursion takes at a time.
-BLOCK, SLICE = 8 << 20, 1 << 20
+BLOCK, SLICE = 16 << 20, 3 << 18
+#: Bytes of text for each range of the table of words; the table has from 8 to 4096 ranges.
+RANGE = 64 << 20
 
 
 class HMM:
@@ -35,6 +43,14 @@ class HMM:
 
     def __init__(self, start: np.ndarray, trans: np.ndarray, emit: np.ndarray):
         self.start, self.trans, self.emit = (np.ascontiguousarray(x, dtype=np.float32) for x in (start, trans, emit))
+        self._scaled: tuple[np.ndarray, np.ndarray] | None = None
+
+    def scaled(self) -> tuple[np.ndarray, np.ndarray]:
+        """(each symbol's emissions divided by their sum, the logs of the sums)."""
+        if self._scaled is None:
+            c = self.emit.sum(1, dtype=np.float64)
+            self._scaled = (self.emit / c[:, None]).astype(np.float32), np.log(c)
+        return self._scaled
 
     @classmethod
     def first(cls, states: int, symbols: int) -> HMM:
@@ -51,7 +67,7 @@ def _guess(keys: np.ndarray, states: int) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """start [S], trans [S, S]; table: records (range, ("table", sorted keys, counts [n, S], _)) in ``parts`` ranges of the key.
+    """start [S], trans [S, S]; table: records (range, ("table", sorted keys, packed counts, _)) in ``parts`` ranges of the key.
 
     A word's emission is (its counts + smooth) / total; total holds the smoothing of all words and of one more, the unseen.
     """
@@ -63,68 +79,96 @@ class Model(NamedTuple):
     total: np.ndarray
     smooth: float
     symbols: int | None
+    source: tuple[DataFrame, RDD, RDD] | None = None  #: the documents of the training, encoded, and what they ask for
 
 
-def _forward(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray, keep: bool):
-    """Lockstep forward recursion over rows sorted by falling length; (log likelihood, alphas by step, scales by step)."""
-    active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
-    log = np.zeros(len(length))
-    alphas, scales = [], []
-    a, one = None, np.ones(len(m.start), np.float32)
-    for t, n in enumerate(active):
-        e = m.emit[obs[first[:n] + t]]
-        a = e * m.start if t == 0 else (a[:n] @ m.trans) * e
-        c = a @ one
-        a = a / c[:, None]
-        log[:n] += np.log(c, dtype=np.float64)
-        if keep:
-            alphas.append(a)
-            scales.append(c)
-    return log, alphas, scales
-
-
-def _sorted(first: np.ndarray, length: np.ndarray):
+def _layout(first: np.ndarray, length: np.ndarray):
+    """(rows by falling length, rows that reach each step, where each step begins, places): the words step after step."""
     order = np.argsort(-length, kind="stable")
     order = order[length[order] > 0]
-    return order, first[order], length[order]
+    f, n = first[order], length[order]
+    steps = int(n[0]) if len(n) else 0
+    active = np.searchsorted(-n, -np.arange(steps), side="left")
+    base = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
+    row = np.arange(base[-1]) - np.repeat(base[:-1], active)
+    return order, active, base, f[row] + np.repeat(np.arange(steps), active)
+
+
+def _forward(m: HMM, e: np.ndarray, active: np.ndarray, base: np.ndarray, every: int, a: np.ndarray | None = None):
+    """Lockstep forward recursion, scaled to a sum of 1 at every so many steps: log scales of the rows, the emissions' left out.
+
+    ``a`` gets the (scaled) alphas of all steps. Where a row ends, its sum counts into its likelihood.
+    """
+    start, trans, one = (x.astype(e.dtype, copy=False) for x in (m.start, m.trans, np.ones(len(m.start))))
+    log = np.zeros(active[0] if len(active) else 0)
+    ends = np.append(active[1:], 0)
+    hold = [np.empty((len(log), len(start)), e.dtype) for _ in range(2)] if a is None else None
+    prev, at = None, base.tolist()
+    for t, (n, left) in enumerate(zip(active.tolist(), ends.tolist(), strict=True)):
+        now = a[at[t] : at[t + 1]] if hold is None else hold[t & 1][:n]
+        if t:
+            np.dot(prev[:n], trans, out=now)
+            now *= e[at[t] : at[t + 1]]
+        else:
+            np.multiply(e[:n], start, out=now)
+        if t % every == every - 1:
+            c = now @ one
+            now /= c[:, None]
+            log[:n] += np.log(c)
+        if left < n:
+            log[left:n] += np.log(now[left:] @ one)
+        prev = now
+    return log
 
 
 def log_likelihood(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Exact log likelihood of each row's symbols; 0 for an empty row."""
-    order, f, n = _sorted(first, length)
+    """Exact log likelihood of each row's symbols, in double precision; 0 for an empty row."""
+    order, active, base, pos = _layout(first, length)
+    emit, c = m.scaled()
     out = np.zeros(len(length))
-    out[order], _, _ = _forward(m, obs, f, n, False)
-    return out
+    out[order] = _forward(m, np.take(emit, obs[pos], axis=0).astype(np.float64), active, base, 8)
+    given = np.concatenate([[0], np.cumsum(c[obs])])
+    return out + given[first + length] - given[first]
 
 
 def expected_counts(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray):
     """E-step: (start [S], transitions [S, S], gamma [len(obs), S])."""
-    return _expected(m, obs, first, length)[:3]
+    start, trans, g, pos, _ = _expected(m, obs, first, length)
+    gamma = np.zeros((len(obs), len(start)), np.float32)
+    gamma[pos] = g
+    return start, trans, gamma
 
 
 def _expected(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray):
-    """expected_counts, and the log likelihood of all rows together."""
-    _, f, n = _sorted(first, length)
+    """(start, transitions, gamma by step, places of its rows, log likelihood of all rows together).
+
+    Alphas and betas carry scales of their own; each word's gamma and each pair's share are divided by their sums, so that the
+    scales fall out. Besides the two recursions all is done on the whole slice at once.
+    """
     s = len(m.start)
-    start, trans, gamma = np.zeros(s), np.zeros((s, s)), np.zeros((len(obs), s), np.float32)
-    if not len(n):
-        return start, trans, gamma, 0.0
-    log, alphas, scales = _forward(m, obs, f, n, True)
-    nxt, one = None, np.ones(s, np.float32)
-    for t in range(len(alphas) - 1, -1, -1):
-        a = alphas[t]
-        k = len(a)
-        b = np.ones((k, s), np.float32)
-        if nxt is not None:
-            j = len(nxt)
-            b[:j] = nxt @ m.trans.T
-            trans += a[:j].T @ nxt
-        g = a * b
-        gamma[f[:k] + t] = g / (g @ one)[:, None]
-        nxt = m.emit[obs[f[:k] + t]] * b / scales[t][:, None]
-        alphas[t] = None
-    start = gamma[f].sum(0, dtype=np.float64)
-    return start, trans * m.trans, gamma, log.sum()
+    _, active, base, pos = _layout(first, length)
+    if not len(active):
+        return np.zeros(s), np.zeros((s, s)), np.zeros((0, s), np.float32), pos, 0.0
+    emit, c = m.scaled()
+    e = np.take(emit, obs[pos], axis=0)
+    a, one = np.empty_like(e), np.ones(s, np.float32)
+    ll = _forward(m, e, active, base, 2, a).sum() + c[obs].sum()
+    b = np.ones_like(e)
+    back, at = np.ascontiguousarray(m.trans.T), base.tolist()
+    for t in range(len(active) - 2, -1, -1):
+        i, j, k = at[t : t + 3]
+        w = e[j:k]  # from here on e holds emission times beta
+        w *= b[j:k]
+        if t & 1:
+            w /= (w @ one)[:, None]
+        np.dot(w, back, out=b[i : i + k - j])
+    b *= a
+    total = b @ one
+    b /= total[:, None]
+    before = np.arange(at[1], at[-1]) - np.repeat(active[:-1], active[1:]) if len(active) > 1 else np.zeros(0, np.int64)
+    a /= total[:, None]
+    trans = a[before].T @ e[at[1] :]
+    return b[: at[1]].sum(0, dtype=np.float64), trans.astype(np.float64) * m.trans, b, pos, ll
 
 
 def _range(p: int) -> int:
@@ -152,6 +196,11 @@ def _encoded(docs: DataFrame, symbols: int | None) -> RDD:
 
         def block():
             h, length, ids, no_id, no_text = (np.concatenate(x) for x in zip(*held, strict=True))
+            # long texts side by side: a slice takes as many steps as its longest text has words
+            order = np.argsort(-length, kind="stable")
+            first, n = (np.cumsum(length) - length)[order], length[order]
+            h = h[np.arange(len(h)) + np.repeat(first - (np.cumsum(n) - n), n)]
+            length, ids, no_id, no_text = (x[order] for x in (length, ids, no_id, no_text))
             keys, obs = np.unique(h, return_inverse=True)
             data = pickle.dumps(("block", obs.astype(np.int32), length.astype(np.int32), keys, ids, no_id, no_text), 5)
             return pa.RecordBatch.from_arrays([pa.array([next(seq)], pa.int64()), pa.array([data], pa.binary())], names=["b", "data"])
@@ -204,55 +253,72 @@ def _places(keys: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == ask if len(keys) else np.zeros(len(ask), bool)
 
 
-def _with_emissions(m: Model, asks: RDD, enc: RDD) -> RDD:
-    """The encoded blocks, before each of them the emissions of its words."""
-    scale, smooth = 1 / m.total, m.smooth
+def _pack(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares of the states, their sum) of rows of counts."""
+    n = counts.sum(1)
+    return (counts / np.maximum(n, 1e-30)[:, None]).astype(np.float16), n.astype(np.float32)
+
+
+def _unpack(x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts in single precision; the shares of a row add up to 1 again."""
+    share = x[0].astype(np.float32)
+    return share * (x[1] / np.maximum(share.sum(1), 1e-30))[:, None]
+
+
+def _with_emissions(m: Model, asks: RDD, enc: RDD) -> tuple[RDD, RDD]:
+    """(the encoded blocks, before each of them the packed counts of its words; these counts alone)."""
+
+    states = len(m.start)
 
     def look_up(records):
-        keys, counts = np.zeros(0, U64), None
+        keys, share, n = np.zeros(0, U64), None, None
         for p, x in records:
             if x[0] == "table":
-                keys, counts = x[1], x[2]
+                keys, (share, n) = x[1], x[2]
                 continue
             at, seen = _places(keys, x[2])
-            rows = np.zeros((len(at), len(scale)))
+            got = (np.zeros((len(at), states), np.float16), np.zeros(len(at), np.float32))
             if seen.any():
-                rows[seen] = counts[at[seen]]
-            yield x[1], ("emit", p, ((rows + smooth) * scale).astype(np.float32))
+                got[0][seen], got[1][seen] = share[at[seen]], n[at[seen]]
+            yield x[1], ("emit", p, got)
 
-    return _beside(_beside(m.table, asks).mapPartitions(look_up).partitionBy(enc.getNumPartitions(), _home), enc)
+    sent = _beside(m.table, asks).mapPartitions(look_up).partitionBy(enc.getNumPartitions(), _home)
+    return _beside(sent, enc), sent
 
 
-def _blocks_met(records, start: np.ndarray, trans: np.ndarray):
+def _blocks_met(records, start: np.ndarray, trans: np.ndarray, total: np.ndarray, smooth: float):
     """(block, its model, its record, first words of rows) from what _with_emissions gives."""
-    rows = defaultdict(dict)
+    rows, scale = defaultdict(dict), (1 / total).astype(np.float32)
     for b, x in records:
         if x[0] == "emit":
             rows[b][x[1]] = x[2]
             continue
         got = rows.pop(b, {})
-        emit = np.concatenate([got[p] for p in sorted(got)]) if got else np.zeros((0, len(start)), np.float32)
+        emit = np.concatenate([_unpack(got[p]) for p in sorted(got)]) if got else np.zeros((0, len(start)), np.float32)
+        emit += np.float32(smooth)
+        emit *= scale
         yield b, HMM(start, trans, emit), x, np.concatenate([[0], np.cumsum(x[2], dtype=np.int64)])
 
 
 def _count(m: Model):
-    """E-step over blocks: (range, ("add", block, counts of the words asked for)) and (range, ("stats", sums))."""
-    start, trans, parts, s = m.start, m.trans, m.parts, len(m.start)
+    """E-step over blocks: (range, ("add", block, packed counts of the words asked for)) and (range, ("stats", sums))."""
+    start, trans, total, smooth, parts, s = m.start, m.trans, m.total, m.smooth, m.parts, len(m.start)
 
     def run(records):
-        for b, h, x, off in _blocks_met(records, start, trans):
+        for b, h, x, off in _blocks_met(records, start, trans, total, smooth):
             obs, length, keys = x[1], x[2], x[3]
             counts, stats = np.zeros((len(keys), s)), np.zeros(s * s + s + 2)
             for i, j in blocks(off, SLICE):
                 o = obs[off[i] : off[j]]
-                a, t, g, ll = _expected(h, o, off[i:j] - off[i], length[i:j].astype(np.int64))
+                a, t, g, pos, ll = _expected(h, o, off[i:j] - off[i], length[i:j].astype(np.int64))
                 stats += np.concatenate([t.ravel(), a, [ll, len(o)]])
+                o = o[pos]
                 for k in range(s):
                     counts[:, k] += np.bincount(o, g[:, k], minlength=len(keys))
-            at = _cuts(keys, parts)
+            at, (share, n) = _cuts(keys, parts), _pack(counts)
             for p in range(parts):
                 if at[p] < at[p + 1]:
-                    yield p, ("add", b, counts[at[p] : at[p + 1]].astype(np.float32))
+                    yield p, ("add", b, (share[at[p] : at[p + 1]], n[at[p] : at[p + 1]]))
             yield b % parts, ("stats", stats)
 
     return run
@@ -269,21 +335,39 @@ def _gather(states: int):
             elif x[0] == "ask":
                 where[x[1]] = np.searchsorted(keys, x[2])
             elif x[0] == "add":
-                counts[where[x[1]]] += x[2]
+                counts[where[x[1]]] += _unpack(x[2])
             else:
                 stats += x[1]
         if part is not None:
-            yield part, ("table", keys, counts.astype(np.float32), stats)
+            yield part, ("table", keys, _pack(counts), stats)
 
     return run
 
 
 def _sums(table: RDD, states: int) -> tuple[np.ndarray, np.ndarray]:
     """(sum of counts by state and number of words, sums of the E-step)."""
-    one = table.map(lambda r: (np.append(r[1][2].sum(0, dtype=np.float64), len(r[1][1])), r[1][3]))
+    one = table.map(lambda r: (np.append(_unpack(r[1][2]).sum(0, dtype=np.float64), len(r[1][1])), r[1][3]))
     return one.fold((np.zeros(states + 1), np.zeros(states * states + states + 2)), lambda a, b: (a[0] + b[0], a[1] + b[1]))
 
 
+def _keep(table: RDD) -> None:
+    """Write the table into the checkpoint folder: a job over one partition brings this about, and no other copy is made."""
+    table.checkpoint()
+    table.ctx.runJob(table, lambda records: [0 for _ in records], [0])
+
+
+def _drop_shuffles(*rdds: RDD) -> None:
+    """Delete the files of the shuffles that made these tables; nothing reads them once what follows is in the checkpoint folder."""
+    for r in rdds:
+        j, cleaner = r._jrdd.rdd(), r.ctx._jsc.sc().cleaner()
+        while cleaner.isDefined() and j.dependencies().size():
+            d = j.dependencies().head()
+            if d.getClass().getSimpleName() == "ShuffleDependency":
+                cleaner.get().doCleanupShuffle(d.shuffleId(), True)
+                break
+            j = d.rdd()
+
+
 def _forget(table: RDD) -> None:
     """Remove a table's file, and let Spark drop the shuffles that nothing refers to any more."""
     sc, file = table.ctx, table.getCheckpointFile()
@@ -294,43 +378,79 @@ def _forget(table: RDD) -> None:
     sc._jvm.System.gc()
 
 
-def fit(docs: DataFrame, states: int = STATES, symbols: int | None = None, rounds: int | None = None, smooth: float = SMOOTH, tolerance: float = TOLERANCE) -> Model:
+def fit(
+    docs: DataFrame, states: int = STATES, symbols: int | None = None, rounds: int | None = None, smooth: float = SMOOTH, tolerance: float = TOLERANCE, warm: int = WARM
+) -> Model:
     """Baum-Welch over every document, for so many rounds or until it has converged: two rounds running add less than the
     tolerance to the log likelihood a word and the later one no more than the other, as early rounds may gain little, but then
     more each time. Words are told apart by their 64-bit hash, or by that modulo ``symbols``. NULL, empty and wordless texts add
     nothing; repeated rows count each time. Of the table, doc_id and text are read.
+
+    Where no number of rounds is given, the first guess comes from rounds over one document of ``warm``, whatever the size of the
+    table (0: from the hash of the words, as with given rounds). It decides where the search begins and nothing else: all
+    rounds after it count every document, and go on until they have converged.
     """
-    spark = docs.sparkSession
-    sc, parts = spark.sparkContext, n_parts(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts, guess = min(max(8, size // RANGE), 4096), None
+    if rounds is None and warm:
+        some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(warm)) == 0)
+        some = some.select("doc_id", "text").repartition(max(1, size // (warm * BLOCK)))
+        guess, words = _train(some, states, symbols, None, smooth, max(tolerance, WARM_TOLERANCE), None, parts)
+        _drop_shuffles(*guess.source[1:])
+        guess = guess if words else None
+    return _train(docs, states, symbols, rounds, smooth, tolerance, guess, parts)[0]
+
+
+def _train(docs: DataFrame, states: int, symbols: int | None, rounds: int | None, smooth: float, tolerance: float, guess: Model | None, parts: int) -> tuple[Model, float]:
+    """(model, words counted in the last round)."""
+    sc = docs.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
+        sc.setCheckpointDir(shared_dir(docs.sparkSession))
     enc = _encoded(docs, symbols)
     asks = _asks(enc, parts)
-    none = np.zeros(states * states + states + 2)
+    none = stats = np.zeros(states * states + states + 2)
+    hashed = guess is None
 
     def begin(records):
-        p, keys = None, []
+        p, keys, known = None, [], None
         for p, x in records:
-            keys.append(x[2])
+            if x[0] == "table":
+                known = x
+            else:
+                keys.append(x[2])
         if keys:
             k = np.unique(np.concatenate(keys))
-            yield p, ("table", k, _guess(k, states), none)
-
-    h = HMM.first(states, 1)
-    table = asks.mapPartitions(begin, preservesPartitioning=True)
-    size = _sums(table, states)[0]
-    m = Model(h.start, h.trans, table, parts, np.maximum(size[:-1], 1e-300), 0.0, symbols)
+            if hashed:
+                yield p, ("table", k, _pack(_guess(k, states)), none)
+                return
+            share, n = np.zeros((len(k), states), np.float16), np.zeros(len(k), np.float32)
+            if known is not None:
+                at, seen = _places(known[1], k)
+                share[seen], n[seen] = known[2][0][at[seen]], known[2][1][at[seen]]
+            yield p, ("table", k, (share, n), none)
+
+    table = (asks if guess is None else _beside(guess.table, asks)).mapPartitions(begin, preservesPartitioning=True)
+    if guess is None:
+        h = HMM.first(states, 1)
+        size = _sums(table, states)[0]
+        m = Model(h.start, h.trans, table, parts, np.maximum(size[:-1], 1e-300), 0.0, symbols)
+    else:
+        _keep(table)
+        size = _sums(table, states)[0]
+        m = Model(guess.start, guess.trans, table, parts, size[:-1] + smooth * (size[-1] + 1), smooth, symbols)
+        _forget(guess.table)
     last, gain = -np.inf, np.inf  # of the log likelihood a word
     for _ in count() if rounds is None else range(rounds):
-        adds = _with_emissions(m, asks, enc).mapPartitions(_count(m)).partitionBy(parts, _range)
-        table = _beside(m.table, asks, adds).mapPartitions(_gather(states), preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
-        table.checkpoint()
+        met, sent = _with_emissions(m, asks, enc)
+        adds = met.mapPartitions(_count(m)).partitionBy(parts, _range)
+        table = _beside(m.table, asks, adds).mapPartitions(_gather(states), preservesPartitioning=True)
+        _keep(table)
         size, stats = _sums(table, states)
-        table.unpersist()
-        del adds
+        _drop_shuffles(sent, adds)
+        del adds, met, sent
         if rounds is None:
             now = stats[-2] / max(stats[-1], 1)
-            if now - last <= gain < tolerance:
+            if now - last <= gain < tolerance or not stats[-1]:
                 _forget(table)
                 break
             gain, last = now - last, now
@@ -338,7 +458,7 @@ def fit(docs: DataFrame, states: int = STATES, symbols: int | None = None, round
         old, m = m.table, Model(a / a.sum(), t / t.sum(1, keepdims=True), table, parts, size[:-1] + smooth * (size[-1] + 1), smooth, symbols)
         _forget(old)
         del old
-    return m
+    return m._replace(source=(docs, enc, asks)), stats[-1]
 
 
 def score(docs: DataFrame, m: Model) -> DataFrame:
@@ -347,11 +467,13 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     A NULL text has NULL figures; an empty or wordless text 0 words, likelihood 1 (log 0) and NULL nats per word. A word that the
     model hasn't seen has the smoothed mass of one.
     """
-    start, trans = m.start, m.trans
-    enc = _encoded(docs, m.symbols)
+    start, trans, total, smooth = m.start, m.trans, m.total, m.smooth
+    known = m.source is not None and m.source[0] is docs
+    enc = m.source[1] if known else _encoded(docs, m.symbols)
+    asks = m.source[2] if known else _asks(enc, m.parts)
 
     def run(records):
-        for _, h, x, off in _blocks_met(records, start, trans):
+        for _, h, x, off in _blocks_met(records, start, trans, total, smooth):
             _, obs, length, _, ids, no_id, no_text = x
             for i, j in blocks(off, SLICE):
                 ll = log_likelihood(h, obs[off[i] : off[j]], off[i:j] - off[i], length[i:j].astype(np.int64))
@@ -360,5 +482,5 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
                     key = None if no_id[k] else int(ids[k])
                     yield (key, None, None, None) if no_text[k] else (key, n, v, -v / n if n else None)
 
-    rows = _with_emissions(m, _asks(enc, m.parts), enc).mapPartitions(run)
+    rows = _with_emissions(m, asks, enc)[0].mapPartitions(run)
     return docs.sparkSession.createDataFrame(rows, "doc_id long, n_words long, log_likelihood double, nats_per_word double", verifySchema=False)
