@@ -42,6 +42,39 @@ def load_panel(bars: DataFrame, requested: DataFrame, class_of: DataFrame, calen
     return B.densify(B.clean(P.adjust(bars)))
 
 
+def load_universe(
+    spark: SparkSession, config: dict, name: str, start: str, end: str, fetch: Callable[[DataFrame], DataFrame], store: str, class_of: DataFrame | None = None, calendar_days: DataFrame | None = None
+) -> DataFrame:
+    """From a universe's settings to its dense panel, the stored bars first: (symbol, date, fields).
+
+    ``store`` is a folder with the bars by symbol and their coverage. Only what the coverage lacks is asked of ``fetch`` (a plan
+    -> raw bars); the symbols that got bars are rewritten, then the coverage is widened, and the quality gate and the adjustment
+    run over the universe's symbols between the two days. A universe without symbols or of mixed calendars is an error.
+    """
+    if name not in config:
+        raise KeyError(f"no universe {name}")
+    members = universe_table(spark, {name: config[name]})
+    symbols = [r["symbol"] for r in members.select("symbol").distinct().collect()]
+    if not symbols:
+        raise ValueError(f"universe {name} has no symbols")
+    cal = members.select("calendar").first()["calendar"]
+    requested = members.select("symbol", F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end")).distinct()
+    classes = members.select("symbol", F.lit("crypto" if cal == "crypto_24_7" else "equity").alias("asset_class")) if class_of is None else class_of.join(members.select("symbol"), "symbol", "left_semi")
+    P.require_one_calendar(classes, cal)
+    bars, coverage = f"{store}/bars", B.read_coverage(spark, f"{store}/coverage")
+    plan = B.gap_plan(requested, coverage)
+    if plan.limit(1).count():
+        new, have = fetch(plan), B.raw_store(spark, bars)
+        got = new.select("symbol").distinct()
+        merged = B.merge_raw(have.join(got, "symbol", "left_semi"), new)
+        tmp = B.scratch(spark, "fetched")  # a store can't be read and replaced at once
+        merged.write.parquet(tmp)
+        B.write_symbols(spark.read.parquet(tmp), bars)
+        B.write_coverage(B.widen_coverage(coverage, requested), f"{store}/coverage")
+    raw = B.raw_store(spark, bars).where(F.col("symbol").isin(symbols) & F.to_date("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return load_panel(raw, requested, classes, cal, calendar_days)
+
+
 def periods_per_year(calendar: str, explicit: float | None = None) -> float:
     """An explicit setting wins, else the calendar's convention."""
     return float(explicit) if explicit is not None else float(P.calendar(calendar).periods_per_year)

@@ -72,8 +72,11 @@ def write_symbols(df: DataFrame, path: str) -> None:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder's name in the shared folder of the cluster (a local one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/candlewright-shared"
+    """A new folder's name in the shared folder of the cluster (a local one only where none is set and all runs on this machine)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+    base = base or "file:///tmp/candlewright-shared"
     return f"{base.rstrip('/')}/cw-{what}-{uuid.uuid4().hex}"
 
 
@@ -87,6 +90,25 @@ def merge_bars(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*cols)
 
 
+RAW = "date timestamp_ntz, open double, high double, low double, close double, volume double, div_cash double, split_factor double, symbol string"
+
+
+def raw_store(spark: SparkSession, path: str) -> DataFrame:
+    """Raw bars (with div_cash, split_factor) of a store that ``write_symbols`` made; none where there is none."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+        return spark.createDataFrame([], RAW)
+    return spark.read.schema(RAW).parquet(path)
+
+
+def merge_raw(stored: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``merge_bars`` for raw bars: of an equal (symbol, date) the fetched one wins."""
+    cols = ["symbol", "date", *FIELDS, "div_cash", "split_factor"]
+    both = stored.select(*cols, F.lit(0).alias("batch")).unionByName(fetched.select(*cols, F.lit(1).alias("batch")))
+    w = Window.partitionBy("symbol", "date").orderBy(F.desc("batch"))
+    return both.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*cols)
+
+
 def gap_plan(requested: DataFrame, coverage: DataFrame) -> DataFrame:
     """What must be fetched: (symbol, need, start, end) for requested spans (symbol, start, end) against covered ones.
 
@@ -102,6 +124,28 @@ def gap_plan(requested: DataFrame, coverage: DataFrame) -> DataFrame:
     return j.select("symbol", F.explode(F.array_compact(need)).alias("n")).select("symbol", "n.need", "n.start", "n.end")
 
 
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, start, end) of a stored coverage, its latest version; none where there is no such store."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("version=") and fs.exists(_done(spark, s.getPath()))) if fs.exists(fs_path) else []
+    schema = "symbol string, start date, end date"
+    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}") if versions else spark.createDataFrame([], schema)
+
+
+def _done(spark: SparkSession, folder):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+
+
+def write_coverage(coverage: DataFrame, path: str) -> None:
+    """Store a coverage as a further version, so that a reader never meets half of one; a version without its mark doesn't count."""
+    spark = coverage.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = max((int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("version=")), default=-1) if fs.exists(fs_path) else -1
+    coverage.select("symbol", "start", "end").write.parquet(f"{path}/version={last + 1}")
+
+
 def widen_coverage(coverage: DataFrame, requested: DataFrame) -> DataFrame:
     """Coverage after a fetch: the union span of what was covered and what was asked for."""
     return coverage.select("symbol", "start", "end").union(requested.select("symbol", "start", "end")).groupBy("symbol").agg(F.min("start").alias("start"), F.max("end").alias("end"))

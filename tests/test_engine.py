@@ -573,3 +573,26 @@ def test_point_in_time_counts_what_it_drops(spark):
     assert [r["r"] for r in T.log_returns(p).orderBy("date").collect()] == [None, pytest.approx(math.log(2)), None, None]
     h = spark.createDataFrame([("a", 1.0, 5.0, None), ("b", 3.0, None, 0.1), ("c", 1.0, 1.0, 0.1)], "symbol string, weight double, adv double, sigma double")
     assert {(r["symbol"], r["warning"]) for r in T.capacity_gaps(h).collect()} == {("a", "sigma_assumed"), ("b", "no_volume")}
+
+
+def test_universe_is_loaded_once_and_then_from_the_store(spark, tmp_path):
+    asked = []
+
+    def fetch(plan):
+        rows = plan.collect()
+        asked.append(sorted((r["symbol"], r["need"], str(r["start"]), str(r["end"])) for r in rows))
+        out = [(r["symbol"], datetime.combine(r["start"], datetime.min.time()) + timedelta(days=i), 10.0 + i, 11.0 + i, 9.0 + i, 10.0 + i, 5.0, 0.0, 1.0) for r in rows for i in range((r["end"] - r["start"]).days + 1)]
+        return spark.createDataFrame(out, "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double, div_cash double, split_factor double")
+
+    config = {"u": {"symbols": ["BTC", "ETH"], "calendar": "crypto_24_7"}, "empty": {}}
+    store = f"file://{tmp_path}/store"
+    load = lambda a, b: L.load_universe(spark, config, "u", a, b, fetch, store)
+    assert load("2024-01-03", "2024-01-06").count() == 8
+    assert load("2024-01-03", "2024-01-06").count() == 8 and len(asked) == 1
+    assert load("2024-01-01", "2024-01-06").count() == 12
+    assert asked[1] == [("BTC", "before", "2024-01-01", "2024-01-02"), ("ETH", "before", "2024-01-01", "2024-01-02")]
+    assert {(r["symbol"], str(r["start"]), str(r["end"])) for r in B.read_coverage(spark, f"{store}/coverage").collect()} == {(s, "2024-01-01", "2024-01-06") for s in ("BTC", "ETH")}
+    with pytest.raises(ValueError):
+        L.load_universe(spark, config, "empty", "2024-01-01", "2024-01-02", fetch, store)
+    with pytest.raises(KeyError):
+        L.load_universe(spark, config, "x", "2024-01-01", "2024-01-02", fetch, store)
