@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, embedding_dedup, hmm_lm, minhash, mixing, quality, resharding, sentencepieces, simhash, suffix_dedup
-from .common import table
+from .common import shared_dir, table
 
 #: Target weights of the mixing query; a source without one weighs 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5}
@@ -22,7 +23,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resharding.plan(table(spark, sf_dir, "documents"))
+    return resharding.reshard(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/cw-shards-{uuid.uuid4().hex}")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_pairs(table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,9 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT a AS doc_id, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.doc_id = u.a WHERE r.root < u.b)
             SELECT doc_id, min(root) AS group_id, doc_id = min(root) AS kept FROM r GROUP BY doc_id""",
         "op9_embedding_dedup": r"""
-            SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine
-            FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-            WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95 GROUP BY ALL""",
+            WITH c AS (SELECT embedding, min(vec_id) AS class_id, count(DISTINCT vec_id) AS n_same FROM embeddings GROUP BY embedding),
+            l AS (SELECT a.embedding, count(*) AS n FROM c a JOIN c b ON a.embedding <> b.embedding
+                  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95 GROUP BY a.embedding)
+            SELECT DISTINCT e.vec_id, c.class_id, c.n_same, coalesce(l.n, 0) AS n_links
+            FROM embeddings e JOIN c ON e.embedding = c.embedding LEFT JOIN l ON l.embedding = c.embedding""",
     }

@@ -78,6 +78,16 @@ def test_minhash_groups_equal_brute_force(spark):
     assert {k: sorted(v) for k, v in got.items()} == brute_groups(rows)
 
 
+def test_minhash_proof_is_the_exact_jaccard():
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    a, b = texts, texts[::-1]
+    got = minhash.jaccard(pa.array(a), pa.array(b), 3)
+    for x, y, j in zip(a, b, got, strict=True):
+        s, t = grams(x), grams(y)
+        assert j == pytest.approx(len(s & t) / max(len(s | t), 1))
+
+
 def test_minhash_drop_keeps_one_of_each_group(spark):
     rows = corpus()
     kept = {r[0] for r in minhash.drop_near_duplicates(frame(spark, rows)).select("doc_id").collect()}
@@ -182,6 +192,37 @@ def test_repeats_edge_cases(spark):
     assert suffix_dedup.repeated_passages(df.limit(0)).count() == 0 and suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_know_one_kind_of_word(spark):
+    """Control signs separate words in both outputs, a no-break space in neither; repeated rows lie in different files."""
+    t = "\x01".join(f"y{i}" for i in range(60))
+    solid = "\u00a0".join(f"z{i}" for i in range(60))
+    df = spark.createDataFrame([(1, t), (2, t), (1, t), (3, solid), (4, solid)], "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_passages(df).where("repeat").collect())
+    assert got == [(1, 0, 60), (2, 0, 60)]
+    assert sorted(r["doc_id"] for r in suffix_dedup.remove_repeats(df).collect()) == [1, 3, 4]
+
+
+def test_merge_in_pieces_equals_whole():
+    """Pieces between anchors give what the whole range gives."""
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    texts = [" ".join(words(rng, 20) + passage + words(rng, 20)) for _ in range(30)]
+    arr = pa.array(texts)
+    keys = np.arange(30)
+    found = list(suffix_dedup._find(12, 4)(iter([pa.RecordBatch.from_arrays([arr, pa.array(keys), pa.array(keys)], names=["text", "h1", "h2"])])))
+    packs = [[] for _ in texts]
+    for b in found:
+        for d, x in zip(b.column("h1").to_pylist(), b.column("pack").to_pylist(), strict=True):
+            packs[d].append(x)
+    rb = pa.RecordBatch.from_arrays([pa.array(keys), arr, pa.array(keys), pa.array(keys), pa.array(packs)], names=["doc_id", "text", "h1", "h2", "packs"])
+    runs = list(suffix_dedup._runs(12, 4, 2, 100)(iter([rb])))
+
+    def rows(most):
+        return sorted(tuple(x.values()) for b in suffix_dedup._merge(12, most)(iter(runs)) for x in b.to_pylist())
+
+    assert rows(1) == rows(10**9) and len(rows(1)) > 100
+
+
 def test_loser_tree_merges_with_prefixes():
     rng = random.Random(5)
     runs, all_ = [], []
@@ -225,25 +266,42 @@ def test_simhash_documents(spark):
     assert fp[900] is None and len(fp) == len(rows)
     raw = dict(rows)[0].encode() or b"x"
     w = common.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    votes = np.zeros(64)
-    for h, a, b in zip(w.hashes(), w.starts, w.ends, strict=True):
-        bits = np.unpackbits(np.array([h]).view(np.uint8))
-        votes += np.where(bits, 1, -1) * min(b - a, 16)
+    votes, seen = np.zeros(64), [raw[a:b] for a, b in zip(w.starts, w.ends, strict=True)]
+    for h, term in dict(zip(w.hashes().tolist(), seen, strict=True)).items():
+        bits = np.unpackbits(np.array([h], np.uint64).view(np.uint8))
+        votes += np.where(bits, 1, -1) * np.log2(1 + seen.count(term))
     if dict(rows)[0].strip():
         assert simhash.votes_to_fingerprint(votes[None])[0] == fp[0]
-    lists = {}
-    for i, f in fp.items():
-        if f is not None:
-            lists.setdefault(f, []).append(i)
-    got = simhash.similar_documents(frame(spark, rows)).collect()
-    same = {r["simhash_a"]: list(r["docs_a"]) for r in got if r["hamming"] == 0}
-    assert same == {f: sorted(v) for f, v in lists.items() if len(v) > 1}
-    u = lambda x: x & (2**64 - 1)
-    want = {(a, b) for a in lists for b in lists if a < b and (u(a) ^ u(b)).bit_count() <= 3}
-    assert {(r["simhash_a"], r["simhash_b"]) for r in got if r["hamming"]} == want
+    assert brute_links(fp, 3) == links_of(simhash.similar_documents(frame(spark, rows)))
     assert simhash.similar_documents(frame(spark, rows).limit(0)).count() == 0
 
 
+def brute_links(fp, radius):
+    """Rows of similar_documents without the nearest, from fingerprints by id."""
+    u = lambda x: x & (2**64 - 1)
+    out = []
+    for i, f in fp.items():
+        if f is None:
+            out.append((i, None, None, None, None))
+            continue
+        near = {g for g in fp.values() if g is not None and g != f and (u(f) ^ u(g)).bit_count() <= radius}
+        least = min(((u(f) ^ u(g)).bit_count() for g in near), default=None)
+        out.append((i, min(j for j, g in fp.items() if g == f), sum(g == f for g in fp.values()), len(near), least))
+    return sorted(out, key=str)
+
+
+def links_of(df):
+    return sorted(((r["doc_id"], r["class_id"], r["n_same"], r["n_links"], r["hamming"]) for r in df.collect()), key=str)
+
+
+def test_simhash_edges(spark):
+    rows = [(1, "a b c", "x", 1), (1, "a b c", "y", 2), (None, "a b c", "z", 3), (2, None, "z", 4), (3, " \n", "z", 5), (4, "lone " * 30_000, "z", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, simhash int")
+    got = links_of(simhash.similar_documents(df))
+    assert [r[:4] for r in got if r[0] in (1, None)] == [(1, 1, 3, 0), (1, 1, 3, 0), (None, 1, 3, 0)]
+    assert [r for r in got if r[0] in (2, 3)] == [(2, None, None, None, None), (3, None, None, None, None)] and len(got) == 6
+
+
 def test_simhash_query_finds_inexact_copies(spark, tmp_path):
     from candlewright.llm import queries
 
@@ -255,10 +313,11 @@ def test_simhash_query_finds_inexact_copies(spark, tmp_path):
         rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
     frame(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
     fp = {r["doc_id"]: r["simhash"] & (2**64 - 1) for r in simhash.fingerprints(frame(spark, rows)).collect()}
-    want = {(a, b) for a, b in itertools.combinations(fp, 2) if 0 < (fp[a] ^ fp[b]).bit_count() <= 10}
-    got = [tuple(sorted((a, b))) for r in queries.op4_simhash(spark, f"file://{tmp_path}").collect() for a in r["docs_a"] for b in r["docs_b"]]
-    assert set(got) == {tuple(sorted(p)) for p in want} and len(got) == len(want)
-    assert sum((2 * i, 2 * i + 1) in got for i in range(40)) > 25 > sum((fp[2 * i] ^ fp[2 * i + 1]).bit_count() <= 3 for i in range(40))
+    got = queries.op4_simhash(spark, f"file://{tmp_path}")
+    fp_signed = {i: f - (1 << 64) if f >> 63 else f for i, f in fp.items()}
+    assert links_of(got) == brute_links(fp_signed, simhash.NEAR_RADIUS)
+    near = {r["doc_id"]: r["nearest_id"] for r in got.collect()}
+    assert sum(near[2 * i] == 2 * i + 1 for i in range(40)) > 25 > sum((fp[2 * i] ^ fp[2 * i + 1]).bit_count() <= 3 for i in range(40))
 
 
 def test_embedding_recall_and_edges(spark):
@@ -274,6 +333,23 @@ def test_embedding_recall_and_edges(spark):
     want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.95}
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100
     assert embedding_dedup.near_pairs(df.limit(0)).count() == 0
+    links = {(r["vec_id"], r["class_id"], r["n_same"]): r["n_links"] for r in embedding_dedup.near_vectors(df).collect()}
+    assert set(links) == {(i, i, 1) for i in range(len(x))} and sum(links.values()) == 2 * len(got)
+    assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_embedding_copies_and_unequal_lengths(spark):
+    """Thousands of copies are one class; short vectors compare as if padded; int arrays, ties and clashing names."""
+    rng = np.random.default_rng(6)
+    v = np.zeros(64)
+    v[:16] = rng.normal(size=16)
+    rows = [(i, v.tolist(), i) for i in range(10, 2010)] + [(5, v[:16].tolist(), 0), (6, (v * 3).tolist(), 0), (7, (-v).tolist(), 0), (8, [float("inf")] * 3, 0), (9, [1.0, None], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid int")
+    got = {r["vec_id"]: (r["class_id"], r["n_same"], r["n_links"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert len(got) == 2003 and all(got[i] == (10, 2000, 2) for i in range(10, 2010))
+    assert got[5] == (5, 1, 2) and got[6] == (6, 1, 2) and got[7] == (7, 1, 0)
+    ints = spark.createDataFrame([(1, [1, 0]), (2, [1, 0]), (3, [100, 1])], "vec_id long, embedding array<int>")
+    assert {(r["vec_id"], r["class_id"], r["n_links"]) for r in embedding_dedup.near_vectors(ints).collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 1)}
 
 
 def test_hadamard_is_orthonormal():
