@@ -1,4 +1,8 @@
-"""Chat formatting with linked tool calls: hash join by identifier, topological order, schema checks, canonical JSON."""
+"""Chat formatting with linked tool calls: hash join by identifier, topological order, schema checks, canonical JSON.
+
+The turns of a conversation travel once, to the task that writes the conversation; calls and results meet there in a hash table
+keyed by their identifier. A conversation is one row of the result, so it has to fit in a task in any case.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -23,10 +27,13 @@ REPLY = {
         "additionalProperties": False,
     }
 }
+#: Arguments nested deeper than this are an error of their call.
+MAX_DEPTH = 100
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and no escapes but the needed ones; NaN and infinities become null."""
+    """JSON with sorted keys, no spaces and no escapes but the needed ones; NaN and infinities become null, lone surrogates U+FFFD."""
 
     def clean(v):
         if isinstance(v, float) and not math.isfinite(v):
@@ -35,7 +42,22 @@ def canonical(value) -> str:
             return {str(k): clean(x) for k, x in v.items()}
         return [clean(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(clean(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _LONE.sub("\ufffd", json.dumps(clean(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def parsed(text: str):
+    """The value of a JSON text; ValueError where it isn't one or is nested too deeply."""
+    try:
+        value = json.loads(text)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    level, depth = [value], 0
+    while level:
+        depth += 1
+        if depth > MAX_DEPTH:
+            raise ValueError("nested too deeply")
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
+    return value
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -112,88 +134,105 @@ def topological(ids: list[str], needs: dict[str, set[str]]) -> tuple[list[str],
     return out + rest, set(rest)
 
 
-def exchanges(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(calls, results, system) of a table (conv_id, turn, role, text).
+def exchanges(turns: list[tuple[int, str | None, str | None]]) -> tuple[list[dict], list[dict], str | None]:
+    """(calls, results, system) of a conversation's turns (turn, role, text).
 
-    Messages that hold tool calls are read as such: an assistant text that is a JSON object with ``tool_calls`` (id, name,
-    arguments) gives these calls, a ``tool`` text that is an object with ``tool_call_id`` and ``content`` gives a result. All
-    other user turns are calls of the tool "reply" (id "call-<turn>", the prompt, and "after": "$call-<turn before>" where an
-    earlier user turn exists), and an assistant turn is the result of the user turn just before it; an assistant turn that
-    follows none is the result of "none-<turn>". Turn order breaks ties by text.
-    """
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").where("conv_id is not null and turn is not null")
-    shape = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>,tool_call_id:string,content:string>"
-    t = t.withColumn("j", F.when(F.col("role").isin("assistant", "tool") & F.col("text").startswith("{"), F.from_json("text", shape)))
-    called = (F.col("role") == "assistant") & F.col("j.tool_calls").isNotNull()
-    answered = (F.col("role") == "tool") & F.col("j.tool_call_id").isNotNull()
-    plain = t.withColumn("kind", F.when(called, "c").when(answered, "r").otherwise("p"))
-    w = Window.partitionBy("conv_id").orderBy("turn", F.col("text").asc_nulls_first())
-    p = (
-        plain.where((F.col("kind") == "p") & F.col("role").isin("user", "assistant"))
-        .withColumn("prev_role", F.lag("role").over(w)).withColumn("prev_turn", F.lag("turn").over(w))
-        .withColumn("user_before", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    )
-    calls = p.where("role = 'user'").select(
-        "conv_id", "turn", F.concat(F.lit("call-"), F.col("turn").cast("string")).alias("call_id"), F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.concat(F.lit("$call-"), F.col("user_before").cast("string")).alias("after"), F.coalesce("text", F.lit("")).alias("prompt"))).alias("arguments"),
-    )
-    results = p.where("role = 'assistant'").select(
-        "conv_id", "turn", F.when(F.col("prev_role") == "user", F.concat(F.lit("call-"), F.col("prev_turn").cast("string"))).otherwise(F.concat(F.lit("none-"), F.col("turn").cast("string"))).alias("call_id"),
-        F.coalesce("text", F.lit("")).alias("content"),
-    )
-    given = plain.where("kind = 'c'").select("conv_id", "turn", F.explode("j.tool_calls").alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
-    back = plain.where("kind = 'r'").select("conv_id", "turn", F.col("j.tool_call_id").alias("call_id"), F.coalesce("j.content", F.lit("")).alias("content"))
-    system = plain.where("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system"))
-    return calls.union(given), results.union(back), system
-
-
-def link(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Full outer hash join of calls and results by (conv_id, call_id): one row for each pair, or for either alone.
-
-    The first of repeated calls and results of an id counts (by turn, then text). NULL ids never match: such a call stays
-    unanswered, such a result is an orphan.
+    Messages that hold tool calls are read as such: an assistant text that is a JSON object with a list of ``tool_calls`` (each with
+    id, name and arguments, or id and function: {name, arguments}) gives these calls, and its ``content``, if it has some, is an
+    assistant turn; a ``tool`` text that is an object with ``tool_call_id`` and ``content`` gives a result. All other user turns
+    are calls of the tool "reply" (id "call-<turn>", the prompt, and "after": "$call-<turn before>" where an earlier user turn
+    exists), and an assistant turn is the result of the user turn just before it; an assistant turn that follows none, a tool turn
+    without an id and a turn of any other role is the result of "none-<turn>", which no call has. The system texts are joined by
+    line ends. Equal turns count once; turn order breaks ties by text.
     """
+    calls, results, system = [], [], []
+    before, last = None, None  # the latest user turn; the last turn of user or assistant
+
+    def answer(turn, text):
+        results.append({"id": f"call-{last[1]}" if last and last[0] == "user" else f"none-{turn}", "turn": turn, "content": text})
 
-    def first(df, by):
-        w = Window.partitionBy("conv_id", "call_id").orderBy("turn", by)
-        one = df.where("call_id is not null").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-        return one.union(df.where("call_id is null"))
+    for turn, role, text in sorted(set(turns), key=lambda x: (x[0], x[2] is not None, x[2] or "", x[1] or "")):
+        data = None
+        if role in ("assistant", "tool") and text and text.lstrip().startswith("{"):
+            try:
+                data = parsed(text)
+            except ValueError:
+                data = None
+        text = text or ""
+        if role == "system":
+            system.append(text)
+        elif role == "user":
+            args = {"prompt": text} | ({"after": f"$call-{before}"} if before is not None else {})
+            calls.append({"id": f"call-{turn}", "turn": turn, "name": "reply", "args": args, "raw": canonical(args)})
+            before, last = turn, ("user", turn)
+        elif role == "assistant":
+            listed = data.get("tool_calls") if isinstance(data, dict) else None
+            if isinstance(listed, list) and listed:
+                for c in listed:
+                    c = c if isinstance(c, dict) else {}
+                    f = c["function"] if isinstance(c.get("function"), dict) else c
+                    args, name, key = f.get("arguments"), f.get("name"), c.get("id")
+                    raw = args if isinstance(args, str) else None if args is None else canonical(args)
+                    calls.append({"id": None if key is None else str(key), "turn": turn, "name": None if name is None else str(name), "raw": raw})
+                said = data.get("content")
+                if not said:
+                    continue
+                text = said if isinstance(said, str) else canonical(said)
+            answer(turn, text)
+            last = ("assistant", turn)
+        elif role == "tool" and isinstance(data, dict) and data.get("tool_call_id") is not None:
+            said = data.get("content")
+            results.append({"id": str(data["tool_call_id"]), "turn": turn, "content": said if isinstance(said, str) else "" if said is None else canonical(said)})
+        else:
+            results.append({"id": f"none-{turn}", "turn": turn, "content": text})
+    return calls, results, "\n".join(system) if system else None
 
-    c = first(calls, "arguments").select("conv_id", "call_id", F.col("turn").alias("call_turn"), "name", "arguments")
-    r = first(results, "content").select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("turn").alias("result_turn"), "content")
-    j = c.hint("shuffle_hash").join(r, (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "full")
-    return j.select(F.coalesce("conv_id", "r_conv").alias("conv_id"), F.coalesce("call_id", "r_id").alias("call_id"), "call_turn", "name", "arguments", "result_turn", "content")
 
+def link(calls: list[dict], results: list[dict]) -> tuple[list[tuple[dict, dict | None]], list[dict]]:
+    """(each call with its result or None, results without a call): a hash join by id.
 
-def assemble(conv_id: int, system: str | None, rows: list[dict], schemas: dict[str, dict]) -> dict:
-    """One conversation: figures and canonical JSON."""
-    calls = sorted((r for r in rows if r["call_turn"] is not None), key=lambda r: (r["call_turn"], r["call_id"] or "", r["arguments"] or ""))
-    orphans = sorted((r for r in rows if r["call_turn"] is None), key=lambda r: (r["result_turn"], r["content"]))
-    keys = [f"{r['call_id']}" if r["call_id"] is not None else f"\x00{i}" for i, r in enumerate(calls)]
-    by, needs, errors = dict(zip(keys, calls, strict=True)), {}, {}
-    for k, r in by.items():
+    The first of repeated calls and results of an id counts (by turn, then text). A call without an id stays unanswered.
+    """
+    by: dict = {}
+    for i, c in enumerate(sorted(calls, key=lambda c: (c["turn"], c["id"] or "", c["raw"] or ""))):
+        by.setdefault(c["id"] if c["id"] is not None else ("", i), c)
+    found: dict[str, dict] = {}
+    for r in sorted(results, key=lambda r: (r["turn"], r["content"])):
+        found.setdefault(r["id"], r)
+    return [(c, found.get(c["id"])) for c in by.values()], [r for k, r in found.items() if k not in by]
+
+
+def assemble(conv_id: int, turns: list[tuple[int, str | None, str | None]], schemas: dict[str, dict]) -> dict | None:
+    """One conversation: figures and canonical JSON; None where there is nothing besides system turns."""
+    calls, results, system = exchanges(turns)
+    linked, orphans = link(calls, results)
+    if not linked and not orphans:
+        return None
+    keys = [c["id"] if c["id"] is not None else f"\x00{i}" for i, (c, _) in enumerate(linked)]
+    by, needs, errors = dict(zip(keys, linked, strict=True)), {}, {}
+    for k, (c, _) in by.items():
         try:
-            args = json.loads(r["arguments"]) if r["arguments"] is not None else {}
+            args = c["args"] if "args" in c else parsed(c["raw"]) if c["raw"] is not None else {}
         except ValueError:
             args, errors[k] = None, ["$: not JSON"]
-        r["args"] = args
+        c["args"] = args
         needs[k] = references(args)
         if k not in errors:
-            s = schemas.get(r["name"])
-            errors[k] = [f"$: no tool {r['name']}"] if s is None else violations(args, s)
+            s = schemas.get(c["name"])
+            errors[k] = [f"$: no tool {c['name']}"] if s is None else violations(args, s)
             errors[k] += [f"$: no call {x}" for x in sorted(needs[k]) if x not in by]
     order, cyclic = topological(keys, needs)
-    out, valid, linked = [], 0, 0
+    out, valid = [], 0
     for k in order:
-        r = by[k]
+        c, r = by[k]
         e = errors[k] + (["$: cycle"] if k in cyclic else [])
-        valid, linked = valid + (not e), linked + (r["content"] is not None)
-        item = {"arguments": r["args"], "id": r["call_id"], "name": r["name"], "result": r["content"], "status": "linked" if r["content"] is not None else "unanswered", "valid": not e}
+        valid += not e
+        item = {"arguments": c["args"], "id": c["id"], "name": c["name"], "result": r and r["content"], "status": "linked" if r else "unanswered", "valid": not e}
         if e:
             item["errors"] = e
         out.append(item)
-    doc = {"calls": out, "conv_id": conv_id, "orphans": [{"id": r["call_id"], "result": r["content"]} for r in orphans], "system": system}
-    return {"conv_id": conv_id, "n_calls": len(calls), "n_linked": linked, "n_valid": valid, "n_orphans": len(orphans), "chat": canonical(doc)}
+    doc = {"calls": out, "conv_id": conv_id, "orphans": [{"id": r["id"], "result": r["content"]} for r in orphans], "system": system}
+    return {"conv_id": conv_id, "n_calls": len(out), "n_linked": sum(r is not None for _, r in linked), "n_valid": valid, "n_orphans": len(orphans), "chat": canonical(doc)}
 
 
 def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -201,21 +240,21 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Da
 
     See ``exchanges`` for what counts as a call. Calls stand in topological order of the results that their arguments name
     ("$<id>"), else by turn; each has its result or status "unanswered", and the violations of its tool's schema. Results without
-    a call are listed as orphans; system is the first system text or null. Rows with a NULL conv_id or turn are left out, a NULL
-    text counts as empty, repeated turns count once, other roles are ignored, and a conversation of which nothing is left
-    besides system turns has no row. Other columns aren't read.
+    a call are listed as orphans. Rows with a NULL conv_id or turn are left out, a NULL text counts as empty, repeated turns count
+    once, and a conversation of which nothing is left besides system turns has no row. Arguments that aren't JSON, or are nested
+    more than MAX_DEPTH deep, are null and an error of their call. Other columns aren't read.
     """
     small_batches(turns.sparkSession)
     schemas = REPLY if schemas is None else schemas
-    calls, results, system = exchanges(turns)
-    linked = link(calls, results)
-    rows = linked.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "call_turn", "name", "arguments", "result_turn", "content")).alias("rows"))
-    joined = rows.join(system.withColumnRenamed("conv_id", "s_conv"), F.col("conv_id") == F.col("s_conv"), "left").select("conv_id", "system", "rows")
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = t.where("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
     fields = [("conv_id", pa.int64()), ("n_calls", pa.int64()), ("n_linked", pa.int64()), ("n_valid", pa.int64()), ("n_orphans", pa.int64()), ("chat", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [assemble(c, s, r, schemas) for c, s, r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield pa.RecordBatch.from_pylist(got, schema=pa.schema(fields))
+            col = batch.column("turns")
+            off, flat = col.offsets.to_pylist(), list(zip(*(col.values.field(i).to_pylist() for i in range(3)), strict=True))
+            got = (assemble(c, flat[a:b], schemas) for c, a, b in zip(batch.column("conv_id").to_pylist(), off, off[1:], strict=False))
+            yield pa.RecordBatch.from_pylist([r for r in got if r is not None], schema=pa.schema(fields))
 
-    return joined.mapInArrow(run, "conv_id long, n_calls long, n_linked long, n_valid long, n_orphans long, chat string")
+    return rows.mapInArrow(run, "conv_id long, n_calls long, n_linked long, n_valid long, n_orphans long, chat string")

@@ -59,6 +59,29 @@ def test_sentencepiece_units_equal_whole_texts():
     assert sum(score[int(i)] for i in ids) == pytest.approx(brute_encode(a, t))
 
 
+def test_sentencepiece_long_units_equal_lockstep():
+    a = sentencepieces.Automaton.of(sentencepieces.load())
+    rng = random.Random(4)
+    raw = [" " + "".join(rng.choice("abcdefé日本🎉") for _ in range(n)) for n in (3, 700, 90, 1500, 260)]
+    buf = np.frombuffer("".join(raw).encode(), np.uint8)
+    size = np.array([len(r.encode()) for r in raw])
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    for x, y in zip(a.solve(buf, start, size), a.solve(buf, start, size, 1 << 30), strict=True):
+        assert np.array_equal(x, y)
+
+
+def test_sentencepiece_very_long_text_without_spaces(spark):
+    import time
+
+    t = "データ処理9f" * 40_000
+    df = spark.createDataFrame([(1, t, 5), (2, None, 6)], "doc_id long, text string, tokens int")
+    began = time.time()
+    e = sentencepieces.encode(df, intact="ok")
+    assert e.columns == ["doc_id", "text", "tokens", "ok"] and {r["doc_id"]: r["ok"] for r in e.collect()} == {1: True, 2: None} and time.time() - began < 30
+    back = sentencepieces.decode(e)
+    assert back.columns == ["doc_id", "tokens", "ok", "text"] and {r["doc_id"]: r["text"] for r in back.collect()} == {1: t, 2: None}
+
+
 def test_sentencepiece_frames(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(98, None), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "ids")
@@ -111,6 +134,56 @@ def test_quality_scores_are_those_of_the_vectors():
         assert np.allclose(quality.score_block(d, np.array([0, len(d)]), tab, bias, m.bits)[0], p / p.sum(), atol=1e-4)
 
 
+def test_quality_training_equals_plain_descent():
+    """fit against the same steps written out word by word."""
+    docs, labels = labelled(24)
+    bits, dim, rate, epochs, batch = 6, 2, 0.3, 3, 5
+    y = np.array([i % 3 for i in range(24)])
+    bags = [quality.bag(t.encode(), bits) for _, t, _ in docs]
+    m = quality.Model(bits, dim).fit(bags, y, epochs, rate, batch)
+    w = quality.Model(bits, dim)
+    v, o, c = w.vectors.tolist(), w.out.tolist(), w.bias.tolist()
+    sv, so, sc = [1e-6] * (1 << bits), [[1e-6] * 3 for _ in range(dim)], [1e-6] * 3
+    weight = [1 / math.sqrt(max(sum(y == k), 1) / 24) for k in range(3)]
+    rng, done, total = np.random.default_rng(7), 0, epochs * 5
+    for _ in range(epochs):
+        order = rng.permutation(24)
+        for at in range(0, 24, batch):
+            step, done = rate * max(0.05, 1 - done / total), done + 1
+            pick = order[at : at + batch]
+            gv, go, gc = {}, [[0.0] * 3 for _ in range(dim)], [0.0] * 3
+            for i in pick:
+                share = {int(b): int(n) / int(bags[i][1].sum()) for b, n in zip(*bags[i], strict=True)}
+                x = [64.0 * sum(v[b][k] * q for b, q in share.items()) for k in range(dim)]
+                z = [sum(x[k] * o[k][j] for k in range(dim)) + c[j] for j in range(3)]
+                e = [math.exp(q - max(z)) for q in z]
+                d = [(e[j] / sum(e) - (j == y[i])) * weight[y[i]] / len(pick) for j in range(3)]
+                for j in range(3):
+                    gc[j] += d[j]
+                    for k in range(dim):
+                        go[k][j] += x[k] * d[j]
+                for b, q in share.items():
+                    g = gv.setdefault(b, [0.0] * dim)
+                    for k in range(dim):
+                        g[k] += 64.0 * q * sum(d[j] * o[k][j] for j in range(3))
+            for b, g in gv.items():
+                sv[b] += sum(q * q for q in g) / dim
+                for k in range(dim):
+                    v[b][k] -= step * g[k] / math.sqrt(sv[b])
+            for j in range(3):
+                sc[j] += gc[j] ** 2
+                c[j] -= step * gc[j] / math.sqrt(sc[j])
+                for k in range(dim):
+                    so[k][j] += go[k][j] ** 2
+                    o[k][j] -= step * go[k][j] / math.sqrt(so[k][j])
+    assert np.allclose(m.vectors, v, atol=1e-9) and np.allclose(m.out, o, atol=1e-9) and np.allclose(m.bias, c, atol=1e-9)
+
+
+def test_quality_counts_have_no_cap():
+    b, n = quality.bag(b"x " * 100_000)
+    assert n.max() == 100_000 and quality.bag(b"")[0].size == 0
+
+
 def test_quality_edges(spark):
     docs, labels = labelled(80)
     df = spark.createDataFrame([*docs, (500, None, "s"), (501, "", "s"), (None, docs[0][1], "s"), docs[0]], DOCS).withColumnRenamed("source", "p")
@@ -234,6 +307,14 @@ def test_mixing_equals_brute_force(spark):
     assert kept.columns[-2:] == ["running", "n"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in got)
 
 
+def test_mixing_with_a_tiny_weight(spark):
+    rows = [(i, "a b c", "big" if i % 3 else "tiny") for i in range(900)]
+    w = {"tiny": 1e-9}
+    got = sorted((r["doc_id"], r["running"]) for r in mixing.mix(spark.createDataFrame(rows, DOCS), w, fraction=0.9).collect())
+    assert got == sorted(brute_mix(rows, w, 0.9))
+    assert mixing.mix(spark.createDataFrame([(1, "word " * 100_000, "a")], DOCS), fraction=1.0).first()["tokens"] == 100_000
+
+
 def test_mixing_repeated_rows_and_edges(spark):
     df = spark.createDataFrame([(1, "x y", "a")] * 4 + [(None, "z", None)], DOCS)
     assert mixing.select_mixture(df, budget=5).count() == 3
@@ -269,6 +350,33 @@ def test_flow_is_least_cost():
         assert sum(f[i][j] * cost[i][j] for i in range(n) for j in range(m)) == min(best.values())
 
 
+def test_even_flow_is_least_cost():
+    rng = random.Random(8)
+    for _ in range(200):
+        n, m = rng.randint(1, 4), rng.randint(1, 4)
+        supply, cap = [rng.randint(0, 5) for _ in range(n)], [rng.randint(0, 9) for _ in range(m)]
+        same = [i if i < m and rng.random() < 0.8 else -1 for i in range(n)]
+        if sum(supply) > sum(cap):
+            continue
+        cost = [[0 if same[i] == j else 1 for j in range(m)] for i in range(n)]
+        f, g = resharding.even_flow(supply, cap, same), resharding.min_cost_flow(supply, cap, cost)
+        assert [sum(x for (i, _), x in f.items() if i == k) for k in range(n)] == supply
+        assert all(sum(x for (_, j), x in f.items() if j == k) <= cap[k] for k in range(m))
+        assert sum(cost[i][j] * x for (i, j), x in f.items()) == sum(cost[i][j] * g[i][j] for i in range(n) for j in range(m))
+
+
+def test_reshard_query_writes_the_affected_shards(spark, tmp_path):
+    rows = [(i, "x" * 50, ["a", "b", None][i % 3], i, "t") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _touched int, shard string")
+    p = resharding.reshard(df, f"file://{tmp_path}/s", block_ids=64)
+    got = {r["doc_id"]: r for r in p.collect()}
+    touched = {x for r in got.values() if r["moved"] for x in (r["old_shard"], r["new_shard"])}
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert set(df.columns) < set(back.columns) and len(touched) > 3
+    name = (set(back.columns) - set(df.columns)).pop()
+    assert {r["doc_id"]: r[name] or "" for r in back.collect()} == {i: r["new_shard"] for i, r in got.items() if r["new_shard"] in touched}
+
+
 def test_reshard_plan_and_rewrite(spark, tmp_path):
     rows = [(i, "x" * 100, "a" if i % 3 else "b") for i in range(300)] + [(None, None, None)]
     df = spark.createDataFrame(rows, DOCS)
@@ -315,6 +423,35 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_every_turn_and_survives_bad_json(spark):
+    deep = '{"prompt":' + "[" * 100_000 + "]" * 100_000 + "}"
+    calls = [{"id": "s", "function": {"name": "add", "arguments": '{"a":"\\ud800"}'}}, {"id": "d", "name": "reply", "arguments": deep}, {"id": "o", "name": "add", "arguments": {"a": 1}}, 7, {"name": "add"}]
+    rows = [
+        (1, 0, "system", "one"), (1, 1, "system", "two"), (1, 2, "user", "q"), (1, 2, "user", "q"), (1, 3, "assistant", json.dumps({"content": "let me see", "tool_calls": calls})),
+        (1, 4, "tool", "plain result"), (1, 5, "tool", json.dumps({"tool_call_id": "o", "content": {"b": 2}})), (1, 6, "critic", "hm"), (1, 7, "assistant", '{"tool_calls":[]}'), (1, 8, "assistant", "{" * 50_000),
+        (2, 0, "user", "long " * 200_000), (2, 1, None, None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as turns", "2 as chat")
+    got = {r["conv_id"]: r for r in chat.format_chats(df, SCHEMAS | chat.REPLY).collect()}
+    c = json.loads(got[1]["chat"])
+    by = {x["id"]: x for x in c["calls"]}
+    assert c["system"] == "one\ntwo" and by["call-2"]["result"] == "let me see" and by["s"]["arguments"] == {"a": "\ufffd"} and by["s"]["valid"]
+    assert by["d"]["errors"] == ["$: not JSON"] and by["o"]["valid"] and by["o"]["result"] == '{"b":2}' and got[1]["n_calls"] == 6
+    assert [(o["id"], o["result"][:12]) for o in c["orphans"]] == [("none-4", "plain result"), ("none-6", "hm"), ("none-7", '{"tool_calls'), ("none-8", "{" * 12)]
+    assert got[2]["n_valid"] == 1 and len(got[2]["chat"]) > 1_000_000 and got[2]["n_orphans"] == 1
+
+
+def test_chat_tool_calls_through_the_registered_query(spark, tmp_path):
+    from candlewright.llm import queries
+
+    say = {"tool_calls": [{"id": "b", "name": "reply", "arguments": '{"prompt":"again","after":"$call-1"}'}, {"id": "a", "name": "reply", "arguments": '{"prompt":""}'}]}
+    rows = [(9, 1, "user", "hi"), (9, 2, "assistant", json.dumps(say)), (9, 3, "tool", json.dumps({"tool_call_id": "b", "content": "done"}))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    (r,) = queries.op2_chat_format(spark, f"file://{tmp_path}").collect()
+    assert (r["n_calls"], r["n_linked"], r["n_valid"], r["n_orphans"]) == (3, 1, 2, 0)
+    assert [(x["id"], x["status"], x["valid"]) for x in json.loads(r["chat"])["calls"]] == [("call-1", "unanswered", True), ("a", "unanswered", False), ("b", "linked", True)]
+
+
 def test_topological_order_is_stable():
     order, bad = chat.topological(["a", "b", "c", "d"], {"a": {"d"}, "c": {"b", "zz"}})
     assert order == ["b", "c", "d", "a"] and not bad
