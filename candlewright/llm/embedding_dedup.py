@@ -138,14 +138,21 @@ def _verify(threshold: float):
 
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: vec_id, uid; classes: uid, class_id, n_same, embedding), each written once. uid numbers the distinct vectors."""
+    """(rows: vec_id, uid, each once; classes: uid, class_id, n_same, embedding), the classes written once. uid numbers the classes.
+
+    Equal vectors are those whose two 64-bit hashes are equal, so that the vectors travel once and their rows without them.
+    """
     kind = dict(vectors.select("embedding").dtypes)["embedding"]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
-    v = v.where("vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x != 0)").dropDuplicates(["vec_id", "embedding"])
-    c = written(v.groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n_same")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    rows = v.join(c.select(F.col("embedding").alias("e"), "uid"), F.col("embedding") == F.col("e")).select("vec_id", "uid")
-    return rows, c
+    v = v.where("vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x != 0)")
+    same = F.transform("embedding", lambda x: x + F.lit(0).cast(kind[6:-1]))  # -0 and 0 are one
+    v = v.select("vec_id", "embedding", F.xxhash64(same).alias("k1"), F.xxhash64(F.lit(0x5EED), same).alias("k2"))
+    ids = v.select("vec_id", "k1", "k2").distinct()
+    n = ids.groupBy("k1", "k2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n_same"))
+    c = v.groupBy("k1", "k2").agg(F.first("embedding").alias("embedding")).join(n, ["k1", "k2"])
+    c = written(c.withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    return ids.join(c.select("k1", "k2", "uid"), ["k1", "k2"]).select("vec_id", "uid"), c
 
 
 def _linked(c: DataFrame, threshold: float, tables: int, hashes: int, probes: int, seed: int) -> DataFrame:

@@ -33,7 +33,7 @@ WARM = 32
 #: The gain at which the rounds of the first guess end.
 WARM_TOLERANCE = 0.02
 #: Bytes of text in an encoded block, words that one recursion takes at a time.
-BLOCK, SLICE = 16 << 20, 3 << 18
+BLOCK, SLICE = 12 << 20, 3 << 18
 #: Bytes of text for each range of the table of words; the table has from 8 to 4096 ranges.
 RANGE = 64 << 20
 
@@ -307,15 +307,15 @@ def _count(m: Model):
     def run(records):
         for b, h, x, off in _blocks_met(records, start, trans, total, smooth):
             obs, length, keys = x[1], x[2], x[3]
-            counts, stats = np.zeros((len(keys), s)), np.zeros(s * s + s + 2)
+            counts, stats = np.zeros((s, len(keys))), np.zeros(s * s + s + 2)
             for i, j in blocks(off, SLICE):
                 o = obs[off[i] : off[j]]
                 a, t, g, pos, ll = _expected(h, o, off[i:j] - off[i], length[i:j].astype(np.int64))
                 stats += np.concatenate([t.ravel(), a, [ll, len(o)]])
-                o = o[pos]
+                o = o[pos].astype(np.int64)
                 for k in range(s):
-                    counts[:, k] += np.bincount(o, g[:, k], minlength=len(keys))
-            at, (share, n) = _cuts(keys, parts), _pack(counts)
+                    counts[k] += np.bincount(o, g[:, k], minlength=len(keys))
+            at, (share, n) = _cuts(keys, parts), _pack(counts.T)
             for p in range(parts):
                 if at[p] < at[p + 1]:
                     yield p, ("add", b, (share[at[p] : at[p + 1]], n[at[p] : at[p + 1]]))

@@ -13,6 +13,10 @@ another place as well (a window with another anchor can't repeat), which loses n
    they give exactly the windows that occur more than once;
 4. the windows go back to their texts as bit masks and become spans of words.
 
+Suffixes at one anchor have to meet in one task, and a line that a third of all texts hold makes an anchor of a third of them. The
+few anchors with ``hot`` places or more (all places of a window share its anchor) therefore go another way, as exact as the sort:
+their windows are hashed whole (128 bits), counted with partial sums in every task, and joined with those that occur again.
+
 Order of occurrence is (doc_id, NULL last; text key; position). The first occurrence of a window stays, all others are repeats.
 Exact copies of a text take part once and share its result, so thousands of copies cost nothing.
 """
@@ -26,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, fresh, mix64, n_parts, small_batches, text_buffers, text_key, written
+from .common import U64, Words, _powers, blocks, fresh, mix64, n_parts, small_batches, text_buffers, text_key, written
 
 WINDOW, GRAM = 50, 10
+#: Places from which an anchor's windows are counted by hash.
+HOT = 1000
 _LAST = b"\xff"
 
 
@@ -183,7 +189,29 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int, object]]]) -> Iterator[tupl
             node //= 2
 
 
+_STEP = pa.schema([("target", pa.int32()), ("run", pa.binary()), *((c, pa.int64()) for c in ("w1", "w2", "doc_id", "h1", "h2", "s"))])
+
+
+def _step(**cols) -> pa.RecordBatch:
+    """A batch of runs or of windows; the columns of the other kind are NULL."""
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _STEP], schema=_STEP)
+
+
+def window_hashes(h: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows of so many words (given by their hashes) that begin at the starts."""
+    up, down = _powers(len(h) + 1)
+    out = []
+    for x in (h, mix64(h ^ U64(0xA0761D6478BD642F))):
+        c = np.zeros(len(h) + 1, U64)
+        np.cumsum(x * up[: len(h)], out=c[1:])
+        out.append(mix64((c[start + window] - c[start]) * down[start]).view(np.int64))
+    return out[0], out[1]
+
+
 def _runs(window: int, k: int, targets: int, most: int = 20_000):
+    """Sorted runs of the suffixes at ``packs``, and the hashes of the windows at ``hots``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold: list[tuple] = []
 
@@ -199,7 +227,7 @@ def _runs(window: int, k: int, targets: int, most: int = 20_000):
                 left = [x[1] for x in part]
                 meta = np.array([x[2] for x in part], np.int64)
                 blob = b"".join([np.array([len(part), len(rest)], np.int64).tobytes(), meta.tobytes(), lcp.tobytes(), size.tobytes(), np.array([len(x) for x in left], np.int32).tobytes(), rest, b"".join(left)])
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([blob], pa.binary())], names=["target", "run"])
+                yield _step(target=[t], run=[blob])
             hold.clear()
 
         for batch in batches:
@@ -208,13 +236,25 @@ def _runs(window: int, k: int, targets: int, most: int = 20_000):
             ids = batch.column("doc_id")
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-            packs = batch.column("packs")
+            packs, hots = batch.column("packs"), batch.column("hots")
             for i in range(len(batch)):
                 raw = data[off[i] : off[i + 1]]
                 w = Words(raw, np.array([0, len(raw)]))
+                h = w.hashes()
+                hot = hots[i].as_py()
+                if hot:
+                    x = np.array(hot, np.int64)
+                    near, n = x & 255, ((x >> 8) & 255) - (x & 255) + 1
+                    at = np.repeat((x >> 16) - near, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    w1, w2 = window_hashes(h, at, window)
+                    m = len(at)
+                    yield _step(w1=w1, w2=w2, doc_id=np.full(m, ids[i]), h1=np.full(m, h1[i]), h2=np.full(m, h2[i]), s=at)
+                cold = packs[i].as_py()
+                if not cold:
+                    continue
                 words = [raw[a:b].tobytes() for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-                g = w.grams(w.hashes(), k)[1]
-                for pack in sorted(packs[i].as_py()):
+                g = w.grams(h, k)[1]
+                for pack in sorted(cold):
                     p, back, near = pack >> 16, (pack >> 8) & 255, pack & 255
                     key = int(g[p]).to_bytes(8, "big") + b" ".join(words[p : p - near + window]) + b" "
                     hold.append((key, b" ".join(words[p - back : p]), (h1[i], h2[i], ids[i] if not null[i] else np.iinfo(np.int64).max, pack)))
@@ -347,7 +387,7 @@ def _spans(window: int):
 _SPANS = "array<struct<s:bigint,e:bigint>>"
 
 
-def _text_spans(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+def _text_spans(docs: DataFrame, window: int, k: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(keyed documents: doc_id, text, h1, h2, n_words aside; spans by distinct text: h1, h2, again, later)."""
     if not 1 <= k <= window <= k + 62:
         raise ValueError("window must be between k and k + 62 words")
@@ -361,15 +401,22 @@ def _text_spans(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFr
     found = keyed.select("text", "h1", "h2").mapInArrow(_find(window, k), "h long, h1 long, h2 long, pack long")
     by_gram = found.repartition(n_parts(spark), "h").dropDuplicates(["h", "h1", "h2", "pack"])
     twice = by_gram.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    packs = twice.groupBy("h1", "h2").agg(F.collect_list("pack").alias("packs"))
+    packs = twice.groupBy("h1", "h2").agg(F.collect_list(F.when(F.col("n") < hot, F.col("pack"))).alias("packs"), F.collect_list(F.when(F.col("n") >= hot, F.col("pack"))).alias("hots"))
     first = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
     cand = packs.join(first, ["h1", "h2"]).withColumnsRenamed({"h1": "c1", "h2": "c2"})
     texts = keyed.join(cand, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["h1", "h2"])
     targets = n_parts(spark)
+    form = ", ".join(["target int", "run binary", *(f"{c} long" for c in ("w1", "w2", "doc_id", "h1", "h2", "s"))])
+    steps = written(texts.select("doc_id", "text", "h1", "h2", "packs", "hots").mapInArrow(_runs(window, k, targets), form), "steps")
     masks = (
-        texts.select("doc_id", "text", "h1", "h2", "packs").mapInArrow(_runs(window, k, targets), "target int, run binary")
+        steps.where("target is not null").select("target", "run")
         .repartition(targets, "target").mapInArrow(_merge(window), "h1 long, h2 long, p long, again long, later long")
     )
+    place = F.struct("doc_id", "h1", "h2", "s")
+    wins = steps.where("w1 is not null").select("w1", "w2", place.alias("place"))
+    lead = wins.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
+    met = wins.join(lead, ["w1", "w2"])
+    masks = masks.union(met.select("place.h1", "place.h2", F.col("place.s").alias("p"), F.lit(1).cast("long").alias("again"), (F.col("place") != F.col("first")).cast("long").alias("later")))
     spans = (
         masks.groupBy("h1", "h2").agg(F.collect_list(F.struct("p", "again", "later")).alias("masks"))
         .mapInArrow(_spans(window), f"h1 long, h2 long, again {_SPANS}, later {_SPANS}")
@@ -377,7 +424,7 @@ def _text_spans(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFr
     return keyed, written(spans, "spans")
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: int = HOT) -> DataFrame:
     """Every passage of at least ``window`` words that occurs more than once: (doc_id, start_word, end_word, repeat).
 
     Rows with repeat = true are the stretches of words that an earlier place has too (these a dedup removes); rows with repeat
@@ -386,7 +433,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> D
     texts and texts of fewer words have no rows. A NULL doc_id is reported as NULL and comes after all others; repeated rows are
     copies of each other. Other columns aren't read.
     """
-    keyed, spans = _text_spans(docs, window, k)
+    keyed, spans = _text_spans(docs, window, k, hot)
     words = F.regexp_count("text", F.lit(r"[^\x00-\x20]+")).cast("long")
     rows = keyed.select("doc_id", "h1", "h2", F.when(F.length("text") >= 2 * window - 1, words).otherwise(0).alias("n"))
     w = Window.partitionBy("h1", "h2")
@@ -418,12 +465,12 @@ def cut_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: int = HOT) -> DataFrame:
     """The documents with every repeat cut out of the text; all columns stay, ``n_chars`` (if there is one) follows the text.
 
     Documents of which no word is left go; NULL, empty and wordless texts stay as they are. See ``repeated_passages``.
     """
-    _, spans = _text_spans(docs, window, k)
+    _, spans = _text_spans(docs, window, k, hot)
     c1, c2, g1, g2, rn, cut, new = fresh(docs, "h1", "h2", "g1", "g2", "rn", "cut", "new")
     h1, h2 = text_key("text")
     spans = spans.select(F.col("h1").alias(g1), F.col("h2").alias(g2), F.col("later").alias(cut))

@@ -157,10 +157,11 @@ def brute_spans(rows, window):
     return sorted((i, a, b, k) for i, (a, b), k in out)
 
 
-@pytest.mark.parametrize(("window", "k"), [(50, 10), (12, 4)])
-def test_repeats_equal_brute_force(spark, window, k):
+@pytest.mark.parametrize(("window", "k", "hot"), [(50, 10, 1000), (12, 4, 1000), (12, 4, 5), (50, 10, 2)])
+def test_repeats_equal_brute_force(spark, window, k, hot):
+    """By the sort alone, by the hashes alone, and by both."""
     rows = corpus()
-    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["repeat"]) for r in suffix_dedup.repeated_passages(frame(spark, rows), window, k).collect())
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["repeat"]) for r in suffix_dedup.repeated_passages(frame(spark, rows), window, k, hot).collect())
     assert got == brute_spans(rows, window)
 
 
@@ -214,7 +215,8 @@ def test_merge_in_pieces_equals_whole():
     for b in found:
         for d, x in zip(b.column("h1").to_pylist(), b.column("pack").to_pylist(), strict=True):
             packs[d].append(x)
-    rb = pa.RecordBatch.from_arrays([pa.array(keys), arr, pa.array(keys), pa.array(keys), pa.array(packs)], names=["doc_id", "text", "h1", "h2", "packs"])
+    none = pa.array([[]] * 30, pa.list_(pa.int64()))
+    rb = pa.RecordBatch.from_arrays([pa.array(keys), arr, pa.array(keys), pa.array(keys), pa.array(packs), none], names=["doc_id", "text", "h1", "h2", "packs", "hots"])
     runs = list(suffix_dedup._runs(12, 4, 2, 100)(iter([rb])))
 
     def rows(most):

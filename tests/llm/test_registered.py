@@ -72,6 +72,24 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert {r["doc_id"] for r in P.run(spark, sf_dir).select("doc_id").collect()} == ids[5]
 
 
+def test_pipeline_with_nulls_clashing_columns_and_an_empty_table(spark, tmp_path):
+    """Rows without text or id pass every stage but the mixture's budget; an empty table stays empty; names of helpers do no harm."""
+    import corpus_pipeline as P
+
+    long_ = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, f"{long_} tail{i}", "en", "src0", 10, i, "x") for i in range(6)] + [(7, None, "en", "src1", None, 0, None), (8, "", None, None, 0, 0, "y"), (None, "a lone text of few words", "en", "src1", 5, 1, "z"), (9, "again and again", "en", "src0", 5, 1, "z"), (9, "again and again", "en", "src0", 5, 1, "z")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h1 long, tokens string"
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for name, part in (("full", rows), ("none", [])):
+        docs = spark.createDataFrame(part, schema)
+        for i, (_, stage) in enumerate(P.STAGES):
+            before = docs.columns
+            stage(spark, docs, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"file://{tmp_path}/{name}{i}")
+            assert i == 4 or docs.columns == before
+        assert docs.columns == ["doc_id", "source", "tokens"] and (docs.count() > 0) == bool(part)
+
+
 def test_entry_lists_all():
     spec = importlib.util.find_spec("__spark_entry__")
     e = importlib.util.module_from_spec(spec)
