@@ -5,7 +5,7 @@ at equal offsets. Only suffixes that begin at an anchor are sorted, and of these
 another place as well (a window with another anchor can't repeat), which loses nothing.
 
 1. each text's anchors, hash-partitioned by their k-gram; those that occur once go;
-2. the texts with anchors left: tasks sort their suffixes (anchor hash, then the words up to the last window's end) into runs,
+2. the texts with anchors left: tasks sort their suffixes (anchor hash mixed once more, then the words up to the last window's end) into runs,
    front-coded per target range of the hash, with each suffix's left context as payload;
 3. each range merges its runs with a loser tree over (common prefix, rest): a comparison whose prefixes differ in length is
    settled by these lengths alone, and no byte of a known common prefix is looked at again. The merge yields the common prefix
@@ -253,7 +253,7 @@ def _runs(window: int, k: int, targets: int, most: int = 20_000):
                 if not cold:
                     continue
                 words = [raw[a:b].tobytes() for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-                g = w.grams(h, k)[1]
+                g = mix64(w.grams(h, k)[1])  # one to one; an anchor is the least of many hashes, so its own would all lie in the lowest ranges
                 for pack in sorted(cold):
                     p, back, near = pack >> 16, (pack >> 8) & 255, pack & 255
                     key = int(g[p]).to_bytes(8, "big") + b" ".join(words[p : p - near + window]) + b" "
@@ -410,7 +410,7 @@ def _text_spans(docs: DataFrame, window: int, k: int, hot: int) -> tuple[DataFra
     steps = written(texts.select("doc_id", "text", "h1", "h2", "packs", "hots").mapInArrow(_runs(window, k, targets), form), "steps")
     masks = (
         steps.where("target is not null").select("target", "run")
-        .repartition(targets, "target").mapInArrow(_merge(window), "h1 long, h2 long, p long, again long, later long")
+        .repartitionById(targets, F.col("target")).mapInArrow(_merge(window), "h1 long, h2 long, p long, again long, later long")
     )
     place = F.struct("doc_id", "h1", "h2", "s")
     wins = steps.where("w1 is not null").select("w1", "w2", place.alias("place"))
