@@ -8,6 +8,7 @@ Scoring folds the vectors into one logit per bucket and class (the average is li
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,13 +51,37 @@ def bag(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return b.astype(np.int32), n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32)
 
 
+def pack_bag(b: np.ndarray, n: np.ndarray) -> bytes:
+    """A bag without loss in about a byte a bucket: gaps and counts by byte planes, compressed."""
+    x = np.concatenate([np.diff(b, prepend=0).astype(np.uint32), n.astype(np.uint32)])
+    return zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_bag(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    m = len(x) // 2
+    return np.cumsum(x[:m], dtype=np.int64).astype(np.int32), x[m:]
+
+
+class Bags:
+    """Packed bags as a sequence, unpacked when asked for, so that the driver holds a byte a bucket."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return unpack_bag(self.packed[i])
+
+
 def _bags(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffers(batch.column("text"))
-            got = [bag(data[off[i] : off[i + 1]].tobytes(), bits) for i in range(len(batch))]
-            cols = [pa.array([x.tobytes() for x in part], pa.binary()) for part in zip(*got, strict=True)] if got else [pa.array([], pa.binary())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *cols], names=["doc_id", "y", "buckets", "counts"])
+            got = [pack_bag(*bag(data[off[i] : off[i + 1]].tobytes(), bits)) for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(got, pa.binary())], names=["doc_id", "y", "bag"])
 
     return run
 
@@ -71,7 +96,7 @@ class Model:
         self.out = g.normal(0, 1 / np.sqrt(dim), (dim, CLASSES))
         self.bias = np.zeros(CLASSES)
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 32, seed: int = 7) -> Model:
+    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]] | Bags, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 32, seed: int = 7) -> Model:
         """Minibatch SGD over bags of (bucket, count); classes weigh by the square root of their inverse frequency."""
         g = np.random.default_rng(seed)
         v, o, c = self.vectors, self.out, self.bias
@@ -85,9 +110,10 @@ class Model:
             for at in range(0, len(order), batch):
                 step, done = rate * max(0.05, 1 - done / total), done + 1
                 pick = order[at : at + batch]
-                n = np.array([len(docs[i][0]) for i in pick])
-                idx = np.concatenate([docs[i][0] for i in pick])
-                share = np.concatenate([docs[i][1] / max(int(docs[i][1].sum(dtype=np.int64)), 1) for i in pick])
+                part = [docs[i] for i in pick]
+                n = np.array([len(b) for b, _ in part])
+                idx = np.concatenate([b for b, _ in part])
+                share = np.concatenate([m / max(int(m.sum(dtype=np.int64)), 1) for _, m in part])
                 row = np.repeat(np.arange(len(pick)), n)
                 x = np.stack([np.bincount(row, v[idx, k] * share, minlength=len(pick)) for k in range(dim)], axis=1) * SCALE
                 z = x @ o + c
@@ -149,15 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     m = Model(seed=seed)
     one = texts.join(F.broadcast(lab), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # train_rows bounds the broadcast
-    got = one.select("doc_id", "y", "text").mapInArrow(_bags(m.bits), "doc_id long, y int, buckets binary, counts binary").toArrow()
+    got = one.select("doc_id", "y", "text").mapInArrow(_bags(m.bits), "doc_id long, y int, bag binary").toArrow()
     if not got.num_rows:
         return m
     y = got["y"].to_numpy()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    bags = []
-    for i in order.tolist():
-        b, n = (np.frombuffer(got[c][i].as_buffer(), kind) for c, kind in (("buckets", np.int32), ("counts", np.uint8)))
-        bags.append((b, n.view(np.uint16 if len(n) == 2 * len(b) else np.uint32)))
+    bags = Bags([got["bag"][i].as_py() for i in order.tolist()])
     return m.fit(bags, y[order].astype(np.int64), seed=seed)
 
 

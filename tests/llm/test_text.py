@@ -455,3 +455,12 @@ def test_chat_tool_calls_through_the_registered_query(spark, tmp_path):
 def test_topological_order_is_stable():
     order, bad = chat.topological(["a", "b", "c", "d"], {"a": {"d"}, "c": {"b", "zz"}})
     assert order == ["b", "c", "d", "a"] and not bad
+
+
+def test_packed_bags_come_back_whole():
+    cases = [(b"", 0), (b"a", 1), (b"one two one two " * 30000, 1), ("größe 漢字 x".encode(), 1)]
+    packed = quality.Bags([quality.pack_bag(*quality.bag(t)) for t, _ in cases])
+    for i, (t, _) in enumerate(cases):
+        b, n = quality.bag(t)
+        assert np.array_equal(packed[i][0], b) and np.array_equal(packed[i][1], n)
+    assert len(packed) == len(cases)
