@@ -75,7 +75,8 @@ def _meetings(fps: DataFrame, radius: int, n_blocks: int) -> DataFrame:
     64 bits are cut into ``n_blocks`` blocks; two fingerprints within the radius agree on at least ``n_blocks - radius`` of
     them, so a table for each such choice of blocks, keyed by their bits, finds every pair (recall 1). A pair that several
     tables find is kept by the first table that agrees, so no distinct is needed. A row is a fingerprint and the number of a
-    table; the key is computed from both on either side of the shuffle.
+    table; the key is computed from both on either side of the shuffle. Spark estimates these rows as if nothing had been
+    exploded, so the hint keeps it from broadcasting a row for each fingerprint and table.
     """
     if not 0 <= radius < n_blocks:
         raise ValueError("radius must be below the number of blocks")
@@ -93,7 +94,7 @@ def _meetings(fps: DataFrame, radius: int, n_blocks: int) -> DataFrame:
     first = agree.bitwiseAND(upto[t]) == bits[t]  # no other block agrees before the table's last one
     near = F.when(F.bit_count(x) <= radius, first).otherwise(False)
     return (
-        a.join(b, (F.col("a.t") == F.col("b.t")) & (key[0] == key[1]) & (F.col("a.fp") != F.col("b.fp")) & near)
+        a.join(b.hint("merge"), (F.col("a.t") == F.col("b.t")) & (key[0] == key[1]) & (F.col("a.fp") != F.col("b.fp")) & near)
         .select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"), F.bit_count(x).cast("int").alias("hamming"))
     )
 

@@ -322,6 +322,13 @@ def test_simhash_query_finds_inexact_copies(spark, tmp_path):
     assert sum(near[2 * i] == 2 * i + 1 for i in range(40)) > 25 > sum((fp[2 * i] ^ fp[2 * i + 1]).bit_count() <= 3 for i in range(40))
 
 
+def test_simhash_tables_are_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id AS fp").write.parquet(f"file://{tmp_path}/fps")
+    met = simhash._meetings(spark.read.parquet(f"file://{tmp_path}/fps"), simhash.NEAR_RADIUS, simhash.NEAR_BLOCKS)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_embedding_recall_and_edges(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 64))
