@@ -34,6 +34,10 @@ WARM = 32
 WARM_TOLERANCE = 0.02
 #: Bytes of text in an encoded block, words that one recursion takes at a time.
 BLOCK, SLICE = 12 << 20, 3 << 18
+#: Words whose alphas and betas stay in a core's cache.
+NEAR = 1 << 14
+#: By number of states, what _room keeps.
+_ROOM: dict[int, np.ndarray] = {}
 #: Bytes of text for each range of the table of words; the table has from 8 to 4096 ranges.
 RANGE = 64 << 20
 
@@ -97,13 +101,14 @@ def _layout(first: np.ndarray, length: np.ndarray):
 def _forward(m: HMM, e: np.ndarray, active: np.ndarray, base: np.ndarray, every: int, a: np.ndarray | None = None):
     """Lockstep forward recursion, scaled to a sum of 1 at every so many steps: log scales of the rows, the emissions' left out.
 
-    ``a`` gets the (scaled) alphas of all steps. Where a row ends, its sum counts into its likelihood.
+    ``a`` gets the (scaled) alphas of all steps; then only the sum of all rows' log scales is returned. Where a row ends, its sum
+    counts into its likelihood.
     """
-    start, trans, one = (x.astype(e.dtype, copy=False) for x in (m.start, m.trans, np.ones(len(m.start))))
+    start, trans, one = (x.astype(e.dtype, copy=False) for x in (m.start, m.trans, np.ones((len(m.start), len(m.start)))))
     log = np.zeros(active[0] if len(active) else 0)
     ends = np.append(active[1:], 0)
     hold = [np.empty((len(log), len(start)), e.dtype) for _ in range(2)] if a is None else None
-    prev, at = None, base.tolist()
+    prev, at, sums = None, base.tolist(), []
     for t, (n, left) in enumerate(zip(active.tolist(), ends.tolist(), strict=True)):
         now = a[at[t] : at[t + 1]] if hold is None else hold[t & 1][:n]
         if t:
@@ -112,13 +117,20 @@ def _forward(m: HMM, e: np.ndarray, active: np.ndarray, base: np.ndarray, every:
         else:
             np.multiply(e[:n], start, out=now)
         if t % every == every - 1:
-            c = now @ one
-            now /= c[:, None]
-            log[:n] += np.log(c)
+            c = np.dot(now, one)  # the sum in every column, as a division row by row costs several times as much
+            now /= c
+            if hold is None:
+                sums.append(c[:, 0])
+            else:
+                log[:n] += np.log(c[:, 0])
         if left < n:
-            log[left:n] += np.log(now[left:] @ one)
+            c = np.dot(now[left:], one[0])
+            if hold is None:
+                sums.append(c)
+            else:
+                log[left:n] += np.log(c)
         prev = now
-    return log
+    return log if hold is not None else np.log(np.concatenate(sums)).sum(dtype=np.float64) if sums else 0.0
 
 
 def log_likelihood(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -139,36 +151,68 @@ def expected_counts(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarr
     return start, trans, gamma
 
 
+def _room(size: int, states: int) -> np.ndarray:
+    """Two arrays [size, states] for a slice, kept for the next one of the task: fresh ones would cost as much in page faults as a recursion."""
+    have = _ROOM.get(states)
+    if have is not None and have.shape[1] >= size:
+        return have[:, :size]
+    new = np.empty((2, size, states), np.float32)
+    if size <= 2 * SLICE:
+        _ROOM[states] = new
+    return new
+
+
 def _expected(m: HMM, obs: np.ndarray, first: np.ndarray, length: np.ndarray):
-    """(start, transitions, gamma by step, places of its rows, log likelihood of all rows together).
+    """(start, transitions, gamma by step, places of its rows, log likelihood of all rows together); gamma holds until the next call.
 
     Alphas and betas carry scales of their own; each word's gamma and each pair's share are divided by their sums, so that the
-    scales fall out. Besides the two recursions all is done on the whole slice at once.
+    scales fall out. What isn't recursion is done on some steps at once, as many as stay in a core's cache.
     """
     s = len(m.start)
     _, active, base, pos = _layout(first, length)
     if not len(active):
         return np.zeros(s), np.zeros((s, s)), np.zeros((0, s), np.float32), pos, 0.0
     emit, c = m.scaled()
-    e = np.take(emit, obs[pos], axis=0)
-    a, one = np.empty_like(e), np.ones(s, np.float32)
-    ll = _forward(m, e, active, base, 2, a).sum() + c[obs].sum()
-    b = np.ones_like(e)
-    back, at = np.ascontiguousarray(m.trans.T), base.tolist()
-    for t in range(len(active) - 2, -1, -1):
-        i, j, k = at[t : t + 3]
-        w = e[j:k]  # from here on e holds emission times beta
-        w *= b[j:k]
-        if t & 1:
-            w /= (w @ one)[:, None]
-        np.dot(w, back, out=b[i : i + k - j])
-    b *= a
-    total = b @ one
-    b /= total[:, None]
-    before = np.arange(at[1], at[-1]) - np.repeat(active[:-1], active[1:]) if len(active) > 1 else np.zeros(0, np.int64)
-    a /= total[:, None]
-    trans = a[before].T @ e[at[1] :]
-    return b[: at[1]].sum(0, dtype=np.float64), trans.astype(np.float64) * m.trans, b, pos, ll
+    o = obs[pos]
+    e, a = _room(len(o), s)
+    np.take(emit, o, axis=0, out=e, mode="clip")
+    one, at = np.ones((s, s), np.float32), base.tolist()
+    ll = _forward(m, e, active, base, 2, a) + c[o].sum()
+    back = np.ascontiguousarray(m.trans.T)
+    trans = np.zeros((s, s))
+    room = np.empty((min(len(o), NEAR + int(active[0])), s), np.float32)
+    last, after = len(active), None  # steps from there on are done; the first of them as emission times beta
+    while last:
+        i = min(int(np.searchsorted(base, at[last] - NEAR, side="left")), last - 1)
+        lo, hi = at[i], at[last]
+        b = room[: hi - lo]
+        for t in range(last - 1, i - 1, -1):
+            j, k = at[t] - lo, at[t + 1] - lo
+            if after is None:
+                b[j:k] = 1
+            else:
+                n = len(after)
+                np.dot(after, back, out=b[j : j + n])
+                if j + n < k:
+                    b[j + n : k] = 1
+            after = e[at[t] : at[t + 1]]  # from here on e holds emission times beta
+            after *= b[j:k]
+            if not t & 1:
+                after /= np.dot(after, one)
+        g = a[lo:hi]
+        b *= g
+        total = np.dot(b, one)
+        b /= total
+        g /= total
+        # the pairs that begin in these steps; their later words are rows of the step after
+        f, z = at[i + 1], at[min(last + 1, len(active))]
+        if f < z:
+            n = active[i + 1 : min(last + 1, len(active))]
+            before = np.arange(f, z) - np.repeat(active[i : i + len(n)], n)
+            trans += np.dot(np.take(a, before, axis=0, mode="clip").T, e[f:z])
+        g[:] = b
+        last = i
+    return a[: at[1]].sum(0, dtype=np.float64), trans * m.trans, a, pos, ll
 
 
 def _range(p: int) -> int:
@@ -320,6 +364,7 @@ def _count(m: Model):
                 if at[p] < at[p + 1]:
                     yield p, ("add", b, (share[at[p] : at[p + 1]], n[at[p] : at[p + 1]]))
             yield b % parts, ("stats", stats)
+        _ROOM.clear()  # idle workers hold nothing
 
     return run
 

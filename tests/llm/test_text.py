@@ -234,6 +234,42 @@ def test_hmm_forward_and_counts_equal_brute_force():
     assert np.allclose(gamma[5:], want / want.sum(1, keepdims=True), atol=1e-4)
 
 
+def test_hmm_counts_of_many_steps_in_little_memory():
+    import tracemalloc
+
+    rng, s = np.random.default_rng(4), 8
+    m = hmm_lm.HMM.first(s, 50)
+    m.trans[:] = rng.dirichlet(np.full(s, 0.5), s)
+    length = np.concatenate([[9000, 7000, 0, 1], rng.integers(1, 120, 700)])
+    first = np.cumsum(length) - length
+    obs = rng.integers(0, 50, length.sum())
+    start, trans, gamma = hmm_lm.expected_counts(m, obs, first, length)
+    want_start, want = np.zeros(s), np.zeros((s, s))
+    emit, step = m.emit.astype(float), m.trans.astype(float)
+    for f, n in zip(first, length, strict=True):
+        o, a, b = obs[f : f + n], np.zeros((n, s)), np.ones((n, s))
+        for t in range(n):
+            a[t] = (a[t - 1] @ step if t else m.start) * emit[o[t]]
+            a[t] /= a[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = step @ (emit[o[t + 1]] * b[t + 1])
+            b[t] /= b[t].sum()
+        for t in range(1, n):
+            x = np.outer(a[t - 1], emit[o[t]] * b[t]) * step
+            want += x / x.sum()
+        g = a * b
+        g /= g.sum(1, keepdims=True)
+        assert np.allclose(gamma[f : f + n], g, atol=1e-4)
+        want_start += g[0] if n else 0
+    assert np.allclose(start, want_start, rtol=1e-4) and np.allclose(trans, want, rtol=1e-4)
+    # a slice after the first takes next to no fresh memory for its rows of 8 single-precision numbers
+    tracemalloc.start()
+    hmm_lm._expected(m, obs, first, length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(obs) * s * 4
+
+
 def test_hmm_training_raises_likelihood_and_edges(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(("a b " if rng.random() < 0.5 else "c d ") * 10), "s") for i in range(30)]
