@@ -480,23 +480,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = GRAM, hot: in
     j = d.where(~bare).join(spans, (F.col(c1) == F.col(g1)) & (F.col(c2) == F.col(g2)), "left")
     j = j.withColumn(rn, F.row_number().over(Window.partitionBy(c1, c2).orderBy(F.col("doc_id").asc_nulls_last())))
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def shorten(text, spans, rank):
         out = []
-        for t, s, r in zip(text, spans, rank, strict=True):
+        for t, s, r in zip(text.to_pylist(), spans.to_pylist(), rank.to_pylist(), strict=True):
             if t is None:
                 out.append(None)
             elif r > 1:
                 raw = np.frombuffer(t.encode(), np.uint8)
                 out.append("" if len(Words(raw, np.array([0, len(raw)]))) >= window else t)
-            elif s is not None and len(s):
+            elif s:
                 out.append(cut_text(t.encode(), [(x["s"], x["e"]) for x in s]).decode())
             else:
                 out.append(t)
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
+    shorten = shorten.asNondeterministic()  # else the filter below gets a call of its own, in one more Python worker for each task
     touched = (F.col(rn) > 1) | (F.size(F.coalesce(cut, F.array().cast(_SPANS))) > 0)
     # untouched texts don't travel to Python: the function gets NULL for them
     j = j.withColumn(new, shorten(F.when(touched, F.col("text")), F.when(touched, F.col(cut)), F.col(rn)))

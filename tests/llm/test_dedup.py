@@ -247,6 +247,12 @@ def test_loser_tree_merges_with_prefixes():
     assert out == sorted(all_)
 
 
+def test_repeats_are_cut_in_one_python_call(spark):
+    out = suffix_dedup.remove_repeats(frame(spark, corpus()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_simhash_pairs_equal_brute_force(spark):
     rng = random.Random(2)
     fps = [rng.getrandbits(63) for _ in range(60)]
