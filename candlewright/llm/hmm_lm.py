@@ -11,19 +11,21 @@ double precision, exact for the model in the table.
 from __future__ import annotations
 
 import gc
-import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
-from pyspark import RDD, TaskContext
-from pyspark.sql import DataFrame
+from pyspark import RDD
+from pyspark.core.rdd import Partitioner
+from pyspark.serializers import pack_long
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix64, shared_dir, small_batches, text_buffers
+from candlewright.shipping import ensure
+
+from .common import BLOCK_BYTES, U64, Words, blocks, mix64, shared_dir
 
 STATES, SMOOTH = 8, 0.01
 #: Training ends when two rounds running add less than so many nats a word to the corpus log likelihood, the later one no more.
@@ -230,12 +232,50 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bound), [len(keys)]]).astype(np.int64)
 
 
+def _placed(rdd: RDD, parts: int, place: Callable[[int], int]) -> RDD:
+    """partitionBy that hands over each record as soon as it is made; Spark's own holds a task's until there are ten for each
+    partition, which is all its blocks, and sends them as one. The result is serialised as any other table: else a union with one
+    would first send both through Python workers of their own."""
+    sc = rdd.ctx
+    one = sc._unbatched_serializer
+
+    def run(_: int, records: Iterable) -> Iterator[bytes]:
+        for rec in records:
+            yield pack_long(place(rec[0]) % parts)
+            yield one.dumps([rec])
+
+    keyed = rdd.mapPartitionsWithIndex(run, preservesPartitioning=True)
+    keyed._bypass_serializer = True
+    pairs = sc._jvm.PairwiseRDD(keyed._jrdd.rdd()).asJavaPairRDD()
+    out = RDD(sc._jvm.PythonRDD.valueOfPair(pairs.partitionBy(sc._jvm.PythonPartitioner(parts, id(place)))), sc, sc.serializer)
+    out.partitioner = Partitioner(parts, place)
+    return out
+
+
+def _some_rows(rows: Iterable[Row]) -> Iterator[list[Row]]:
+    """Rows (doc_id, text) together, of BLOCK_BYTES of text at most (a longer text stands alone)."""
+    out, size = [], 0
+    for r in rows:
+        n = len(r[1] or b"")
+        if out and (size + n > BLOCK_BYTES or len(out) == 4000):
+            yield out
+            out, size = [], 0
+        out.append(r)
+        size += n
+    if out:
+        yield out
+
+
 def _encoded(docs: DataFrame, symbols: int | None) -> RDD:
-    """Records (block, ("block", words as places in keys, words of each row, sorted keys, ids, NULL ids, NULL texts))."""
-    small_batches(docs.sparkSession, 4000)
+    """Records (block, ("block", words as places in keys, words of each row, sorted keys, ids, NULL ids, NULL texts)).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = count(TaskContext.get().partitionId() << 20)
+    The rows come as bytes to the worker that also places the blocks: Arrow would need a second worker for each task, whose memory
+    stays for the rounds after.
+    """
+    ensure(docs.sparkSession)
+
+    def run(part: int, rows: Iterable[Row]) -> Iterator[tuple[int, tuple]]:
+        seq = count(part << 20)
         held, size = [], 0
 
         def block():
@@ -246,29 +286,26 @@ def _encoded(docs: DataFrame, symbols: int | None) -> RDD:
             h = h[np.arange(len(h)) + np.repeat(first - (np.cumsum(n) - n), n)]
             length, ids, no_id, no_text = (x[order] for x in (length, ids, no_id, no_text))
             keys, obs = np.unique(h, return_inverse=True)
-            data = pickle.dumps(("block", obs.astype(np.int32), length.astype(np.int32), keys, ids, no_id, no_text), 5)
-            return pa.RecordBatch.from_arrays([pa.array([next(seq)], pa.int64()), pa.array([data], pa.binary())], names=["b", "data"])
-
-        for batch in batches:
-            data, off = text_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
-            for i, j in blocks(off):
-                w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                h = w.hashes()
-                if symbols is not None:
-                    h = mix64(h % U64(symbols))
-                null = [c[i:j].is_null().to_numpy(zero_copy_only=False) for c in (ids, batch.column("text"))]
-                held.append((h, w.counts, ids[i:j].fill_null(0).to_numpy(zero_copy_only=False), *null))
-                size += int(off[j] - off[i])
-                if size >= BLOCK:
-                    yield block()
-                    held, size = [], 0
+            return next(seq), ("block", obs.astype(np.int32), length.astype(np.int32), keys, ids, no_id, no_text)
+
+        for some in _some_rows(rows):
+            texts = [r[1] or b"" for r in some]
+            off = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+            w = Words(np.frombuffer(b"".join(texts), np.uint8), off)
+            h = w.hashes()
+            if symbols is not None:
+                h = mix64(h % U64(symbols))
+            null = [np.array([r[c] is None for r in some]) for c in (0, 1)]
+            held.append((h, w.counts, np.array([r[0] or 0 for r in some], np.int64), *null))
+            size += int(off[-1])
+            if size >= BLOCK:
+                yield block()
+                held, size = [], 0
         if held:
             yield block()
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = d.mapInArrow(run, "b long, data binary").rdd
-    return rows.map(lambda r: (r[0], pickle.loads(bytes(r[1])))).partitionBy(max(rows.getNumPartitions(), 1), _home)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).rdd
+    return _placed(rows.mapPartitionsWithIndex(run), max(rows.getNumPartitions(), 1), _home)
 
 
 def _asks(enc: RDD, parts: int) -> RDD:
@@ -279,7 +316,7 @@ def _asks(enc: RDD, parts: int) -> RDD:
         at = _cuts(x[3], parts)
         return [(p, ("ask", b, x[3][at[p] : at[p + 1]])) for p in range(parts) if at[p] < at[p + 1]]
 
-    return enc.flatMap(run).partitionBy(parts, _range)
+    return _placed(enc.flatMap(run), parts, _range)
 
 
 def _beside(*rdds: RDD) -> RDD:
@@ -326,7 +363,7 @@ def _with_emissions(m: Model, asks: RDD, enc: RDD) -> tuple[RDD, RDD]:
                 got[0][seen], got[1][seen] = share[at[seen]], n[at[seen]]
             yield x[1], ("emit", p, got)
 
-    sent = _beside(m.table, asks).mapPartitions(look_up).partitionBy(enc.getNumPartitions(), _home)
+    sent = _placed(_beside(m.table, asks).mapPartitions(look_up), enc.getNumPartitions(), _home)
     return _beside(sent, enc), sent
 
 
@@ -396,9 +433,10 @@ def _sums(table: RDD, states: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keep(table: RDD) -> None:
-    """Write the table into the checkpoint folder: a job over one partition brings this about, and no other copy is made."""
+    """Write the table into the checkpoint folder now, and make no other copy; a job of ours to bring this about would have a second
+    Python worker in its tasks and make a part of the table twice."""
     table.checkpoint()
-    table.ctx.runJob(table, lambda records: [0 for _ in records], [0])
+    table._jrdd.rdd().doCheckpoint()
 
 
 def _drop_shuffles(*rdds: RDD) -> None:
@@ -475,19 +513,18 @@ def _train(docs: DataFrame, states: int, symbols: int | None, rounds: int | None
             yield p, ("table", k, (share, n), none)
 
     table = (asks if guess is None else _beside(guess.table, asks)).mapPartitions(begin, preservesPartitioning=True)
+    _keep(table)  # the hashed one too: what reads an unkept table has a second Python worker in each of its tasks
+    size = _sums(table, states)[0]
     if guess is None:
         h = HMM.first(states, 1)
-        size = _sums(table, states)[0]
         m = Model(h.start, h.trans, table, parts, np.maximum(size[:-1], 1e-300), 0.0, symbols)
     else:
-        _keep(table)
-        size = _sums(table, states)[0]
         m = Model(guess.start, guess.trans, table, parts, size[:-1] + smooth * (size[-1] + 1), smooth, symbols)
         _forget(guess.table)
     last, gain = -np.inf, np.inf  # of the log likelihood a word
     for _ in count() if rounds is None else range(rounds):
         met, sent = _with_emissions(m, asks, enc)
-        adds = met.mapPartitions(_count(m)).partitionBy(parts, _range)
+        adds = _placed(met.mapPartitions(_count(m)), parts, _range)
         table = _beside(m.table, asks, adds).mapPartitions(_gather(states), preservesPartitioning=True)
         _keep(table)
         size, stats = _sums(table, states)

@@ -311,6 +311,32 @@ def test_hmm_tells_all_words_apart(spark):
         assert got[i] == pytest.approx(math.log((n + 0.01) / total), rel=1e-5)
 
 
+def test_hmm_blocks_leave_their_task_one_by_one(spark):
+    df = spark.range(0, 27, 1, 1).selectExpr("id AS doc_id", "repeat('some words here ', 65536) AS text")  # a megabyte each
+    enc = hmm_lm._encoded(df, None)
+    sizes = [len(x[4]) for _, x in enc.collect()]
+    assert len(sizes) == 3 and sum(sizes) == 27
+    assert enc._jrdd.count() == 3  # what the JVM holds at once: all blocks of a task in one piece before
+
+
+def test_hmm_tables_side_by_side_pass_no_worker_more(spark):
+    df = spark.createDataFrame([(i, f"a b w{i}", "s") for i in range(30)], DOCS)
+    m = hmm_lm.fit(df, 2, rounds=1)
+    _, enc, asks = m.source
+    for pair in ((m.table, asks), (hmm_lm._with_emissions(m, asks, enc)[1], enc)):
+        deps = hmm_lm._beside(*pair)._jrdd.rdd().dependencies()
+        assert [deps.apply(i).rdd().id() for i in range(deps.size())] == [r._jrdd.rdd().id() for r in pair]
+    assert hmm_lm.fit(df, 2, rounds=0).table.getCheckpointFile()  # else each task that reads the first guess makes it anew
+
+
+def test_hmm_reads_bytes_and_nulls_as_the_columns_have_them(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, CAST(X'61FF2062' AS STRING)), (2, CAST(X'61FE2062' AS STRING)), (NULL, 'b'), (4, NULL), (5, '') AS t(doc_id, text)").coalesce(1)
+    (_, (_, obs, length, keys, ids, no_id, no_text)), *more = hmm_lm._encoded(df, None).collect()
+    assert not more and len(keys) == 3 and len(obs) == 5  # the two bad bytes make different words
+    got = sorted(zip(ids.tolist(), length.tolist(), no_id.tolist(), no_text.tolist(), strict=True))
+    assert got == [(0, 1, True, False), (1, 2, False, False), (2, 2, False, False), (4, 0, False, True), (5, 0, False, False)]
+
+
 # mixing
 def brute_mix(rows, weights, fraction, seed=5):
     import hashlib
