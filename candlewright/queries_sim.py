@@ -618,5 +618,5 @@ def stream_sessions(spark, d):
 
 @query(f"""WITH RECURSIVE s AS (SELECT event_type AS symbol, event_id AS seq, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events), {Q.ewm('e', 's', 'x', '2.0/21')} SELECT symbol, seq, round(y, 6) AS ema FROM s JOIN e USING (symbol, rn)""")
 def stream_ema(spark, d):
-    return r6(ST.run_available(ST.running_ema(_ticks(spark, d), 20), f"cw_ema_{uuid.uuid4().hex[:8]}", "append"), "ema")
+    return r6(ST.run_ema(_ticks(spark, d), 20, "ema"), "ema")
 

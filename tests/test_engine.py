@@ -503,6 +503,56 @@ def test_streaming_mean_skips_missing_prices(spark, tmp_path):
             assert got[k, i] is None or np.isnan(got[k, i]) if np.isnan(y) else got[k, i] == pytest.approx(y)
 
 
+def _stored_events(spark, path, orders, price):
+    """Files in the order of ``orders``: one of event ids each, written one by one."""
+    for ids in orders:
+        rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), 0, "ab"[i % 2], price(i), "") for i in ids]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"file://{path}/events.parquet")
+
+
+def test_stored_events_are_one_batch_in_order_of_seq(spark, tmp_path):
+    """Many files, the later events first: neither a batch a file nor a mean in the files' order."""
+    from candlewright import catalog
+    from candlewright.streaming import bars as ST
+
+    _stored_events(spark, tmp_path, [range(40, 60), range(20, 40), range(20)], lambda i: float(i * i % 17))
+    got = {(r["symbol"], r["seq"]): r["ema"] for r in catalog.queries()["stream_ema"](spark, str(tmp_path)).collect()}
+    assert len(got) == 60
+    for k in (0, 1):
+        want = I.ewm(np.array([float(i * i % 17) for i in range(k, 60, 2)]), 2 / 21)
+        assert [got["ab"[k], i] for i in range(k, 60, 2)] == pytest.approx(want, abs=1e-6)
+    batches = []
+    q = ST.ticks(spark, f"{tmp_path}/events*.parquet", spark.read.parquet(f"{tmp_path}/events.parquet").schema).writeStream.foreachBatch(lambda df, i: batches.append(df.count())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert batches == [60]
+
+
+def test_streaming_table_spreads_a_symbol_and_carries_its_state(spark, tmp_path):
+    """One symbol over several tasks, gaps across their borders, a second batch with a symbol less and a new one."""
+    from candlewright.streaming import bars as ST
+
+    rng = np.random.default_rng(5)
+    px = {k: [None if i < lead or rng.random() < 0.4 or 70 <= i < 130 else float(rng.random()) for i in range(n)] for k, n, lead in (("a", 400, 0), ("b", 200, 150), ("c", 30, 40), ("d", 0, 0))}
+    px["d"] = [None] * 200 + [1.0, 2.0, None, 3.0]
+    first = [(k, i, p) for k, v in px.items() if k != "d" for i, p in enumerate(v) if i < 200]
+    second = [(k, i, p) for k, v in px.items() for i, p in enumerate(v) if i >= 200]
+    typ = "symbol string, seq long, price double"
+    for rows in (first, second):
+        spark.createDataFrame(rows, typ).repartition(1).write.mode("append").parquet(f"file://{tmp_path}/t")
+        ST.ema_table(spark.readStream.schema(typ).parquet(f"file://{tmp_path}/t"), 3, f"file://{tmp_path}/out", f"file://{tmp_path}/c", part_rows=50).awaitTermination()
+    out = spark.read.parquet(f"file://{tmp_path}/out/ema").collect()
+    assert len(out) == len(first) + len(second)
+    got = {(r["symbol"], r["seq"]): r["ema"] for r in out}
+    for k, v in px.items():
+        begin = 200 if k == "d" else 0
+        want = I.ewm(np.array([np.nan if p is None else p for p in v[begin:]]), 0.5)
+        for i, y in enumerate(want, begin):
+            assert got[k, i] is None if np.isnan(y) else got[k, i] == pytest.approx(y)
+    assert spark.read.parquet(f"file://{tmp_path}/out/work/rows").where("symbol = 'a'").select("part").distinct().count() > 1
+    state = {r["symbol"]: r["y"] for r in spark.read.parquet(f"file://{tmp_path}/out/state/batch=1").collect()}
+    assert set(state) == {"a", "b", "c", "d"} and state["c"] is None and state["d"] == pytest.approx(got["d", 203])
+
+
 # reports, audits, loaders
 def test_report_lists_ranking_and_best(spark, tmp_path):
     rows = [(f"s{i}", 0.1 * i, 0.2 - 0.05 * i, -0.1 * (i + 1), 1.0 + i) for i in range(5)] + [("none", None, None, None, None)]
