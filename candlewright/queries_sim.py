@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -165,7 +166,8 @@ _P = "pv AS (SELECT l_suppkey AS run_id, abs(sin(l_suppkey * 12.9898)) * abs(sin
 @query(f"""WITH {_P}, o AS (SELECT *, row_number() OVER (ORDER BY p, run_id) AS i, count(*) OVER () AS m FROM pv), q AS (SELECT run_id, least(min(p * m / i) OVER (ORDER BY p, run_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS q FROM o)
  SELECT run_id, round(q, 6) AS q_value, q <= 0.05 AS significant FROM q""")
 def fdr_control(spark, d):
-    x = F.abs(F.sin(F.col("s_suppkey") * 12.9898))
+    # the product is exact in SQL, where 12.9898 is a decimal
+    x = F.abs(F.sin((F.col("s_suppkey").cast("decimal(19,0)") * F.lit(Decimal("12.9898"))).cast("double")))
     p = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("run_id"), (x * x).alias("p_value"))
     return r6(T.benjamini_hochberg(p).select("run_id", "q_value", "significant"), "q_value")
 

@@ -241,6 +241,32 @@ def test_fdr_by_hand(spark):
     assert q == pytest.approx({4: 0.025, 0: 0.025, 2: 0.05, 1: 0.05, 3: 1.0})
 
 
+def test_fdr_of_many_tests_goes_over_them_once(spark, tmp_path):
+    """Ties, zeros and missing values over many ranges equal the rule written out; a frame to the end of all rows takes the square of them."""
+    n = 10_000
+    rng = np.random.default_rng(11)
+    p = np.where(rng.random(n) < 0.2, rng.random(n) ** 8, np.round(rng.random(n), 3))
+    p[:50], p[50:90] = 0.0, np.nan
+    df = spark.createDataFrame([(int(i), float(v), f"t{i}") for i, v in enumerate(p)], "run_id int, p_value double, name string").repartition(7)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = T.benjamini_hochberg(df, alpha=0.1)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.toPandas().sort_values("run_id")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert "currentrow$(), unboundedfollowing" not in plan.lower() and out.columns == ["run_id", "p_value", "name", "q_value", "significant"]
+    x = np.where(np.isnan(p), 1.0, p)
+    at = np.lexsort((np.arange(n), x))
+    want = np.empty(n)
+    want[at] = np.minimum(np.minimum.accumulate((x[at] * n / np.arange(1, n + 1))[::-1])[::-1], 1.0)
+    assert got["q_value"].to_numpy().tolist() == want.tolist() and got["significant"].tolist() == (want <= 0.1).tolist()
+    assert got["name"].tolist() == [f"t{i}" for i in range(n)]
+
+
 def test_bootstrap_modes_agree(spark):
     rng = np.random.default_rng(3)
     r = spark.createDataFrame([(0, datetime.fromisoformat("2020-01-01") + timedelta(days=i), float(x)) for i, x in enumerate(rng.normal(0.002, 0.01, 300))], "run_id int, date timestamp_ntz, r double")
